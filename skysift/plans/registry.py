@@ -28,7 +28,7 @@ def query(name: str, views: str = "", sql: str | None = None):
 
 def twin(views: str, sql: str) -> str:
     names = views.split()
-    text = sql.strip()
+    text = " ".join(sql.split())
     recursive = text.upper().startswith("RECURSIVE ")
     text = text[len("RECURSIVE ") :] if recursive else text
     if not names:
