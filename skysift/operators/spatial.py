@@ -170,27 +170,29 @@ def runs(mask: DataFrame, frame: list[str]) -> DataFrame:
     )
 
 
-def mask_components(mask: DataFrame, frame: list[str], tile: int = 64) -> DataFrame:
-    """Eight-neighbour components of flagged pixels with area and bounding box."""
+def label_runs(mask: DataFrame, frame: list[str], tile: int = 64) -> DataFrame:
+    """Runs of flagged pixels with the label of their eight-neighbour component.
+
+    Runs of neighbouring rows touch when their column ranges meet or are diagonal;
+    candidates come from an equi-join on column tiles.
+    """
     pieces = cut(
         runs(mask, frame).withColumn("v", F.struct(F.col("r").alias("r"), F.col("c1").alias("c")))
     )
-    spread = pieces.select(
-        *frame,
-        "r",
-        "c1",
-        "c2",
-        "v",
-        F.explode(F.sequence(F.floor(F.col("c1") / tile), F.floor((F.col("c2") + 1) / tile))).alias("t"),
-    )
+    last_tile = F.floor((F.col("c2") + 1) / tile)
+    spread = pieces.withColumn("t", F.explode(F.sequence(F.floor(F.col("c1") / tile), last_tile)))
     upper = spread.select(
         *frame, (F.col("r") + 1).alias("r"), "t", F.col("c1").alias("u1"), F.col("c2").alias("u2"), F.col("v").alias("a")
     )
     lower = spread.withColumnRenamed("v", "b")
     touching = (F.col("u1") <= F.col("c2") + 1) & (F.col("c1") <= F.col("u2") + 1)
-    edges = upper.join(lower, [*frame, "r", "t"]).filter(touching).select(*frame, "a", "b").distinct()
-    labelled = components(pieces.select(*frame, "v", "r", "c1", "c2"), edges, frame)
-    return labelled.groupBy(*frame, "label").agg(
+    edges = upper.join(lower, [*frame, "r", "t"]).filter(touching).select(*frame, "a", "b")
+    return components(pieces.select(*frame, "v", "r", "c1", "c2"), edges, frame).drop("v")
+
+
+def mask_components(mask: DataFrame, frame: list[str], tile: int = 64) -> DataFrame:
+    """Eight-neighbour components of flagged pixels with area and bounding box."""
+    return label_runs(mask, frame, tile).groupBy(*frame, "label").agg(
         F.sum(F.col("c2") - F.col("c1") + 1).alias("area"),
         F.min("c1").alias("min_c"),
         F.max("c2").alias("max_c"),

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("detection", "localization", "rasters")
+MODULES = ("detection", "localization", "rasters", "floods")
 
 
 def load() -> None:
