@@ -48,7 +48,7 @@ def mask_parts(pixels: DataFrame, min_share: float = 0.005, tile: int = 64) -> t
 
 def largest_part(parts: DataFrame) -> DataFrame:
     """Validated water, largest component and its aspect per frame with water."""
-    rank = F.struct(F.col("area"), -F.col("label.r"), -F.col("label.c"))
+    rank = F.struct(F.col("area"), -F.col("label"))
     top = parts.groupBy(*FRAME).agg(
         F.max("total").alias("total"),
         F.sum("area").alias("water"),

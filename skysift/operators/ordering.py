@@ -7,16 +7,12 @@ per-block table carries what must cross a block edge.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096
-
+from skysift.lineage import is_empty
 
-def _same(keys: list[str], left: str, right: str) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
+BLOCK = 4096
 
 
 def numbered(
@@ -136,3 +132,17 @@ def quantiles(
     return picked.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_name") == name, value_at)).alias(name) for name in points]
     )
+
+
+def bounded_quantiles(
+    df: DataFrame, keys: list[str], value: str, points: dict[str, float], limit: int = 1_000_000
+) -> DataFrame:
+    """Quantiles by the built-in aggregate while every key stays under ``limit`` rows.
+
+    The built-in keeps the values of a key in one buffer; beyond the limit the
+    binned form takes over.
+    """
+    finite = df.filter(F.col(value).isNotNull() & ~F.isnan(value))
+    if is_empty(finite.groupBy(*keys).count().filter(F.col("count") > limit)):
+        return finite.groupBy(*keys).agg(*[F.percentile(value, F.lit(p)).alias(n) for n, p in points.items()])
+    return quantiles(df, keys, value, points)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,20 +25,22 @@ def ring(df: DataFrame, names: list[str], reach: int = 1) -> DataFrame:
 
 
 def radius_pairs(
-    points: DataFrame, radius: float, group: str = "scene_id", key: str = "point_id", strict: bool = False
+    points: DataFrame, radius: float | Column, group: str = "scene_id", key: str = "point_id", strict: bool = False
 ) -> DataFrame:
     """Pairs of points within ``radius``: equi-join on grid cells, then exact distance."""
     names = ["_cx", "_cy", "_cz"]
-    gridded = cells(points.select(group, key, "x", "y", "z"), radius, ["x", "y", "z"], names)
+    radius = radius if isinstance(radius, Column) else F.lit(float(radius))
+    sized = points.select(group, key, "x", "y", "z", radius.alias("_radius"))
+    gridded = cells(sized, F.col("_radius"), ["x", "y", "z"], names)
     left = ring(gridded, names).select(
-        group, *names, F.col(key).alias("a"), *[F.col(c).alias(f"a{c}") for c in "xyz"]
+        group, *names, "_radius", F.col(key).alias("a"), *[F.col(c).alias(f"a{c}") for c in "xyz"]
     )
     right = gridded.select(
         group, *names, F.col(key).alias("b"), *[F.col(c).alias(f"b{c}") for c in "xyz"]
     )
     dx, dy, dz = (F.col(f"a{c}") - F.col(f"b{c}") for c in "xyz")
     dist = F.sqrt(dx * dx + dy * dy + dz * dz)
-    near = dist < radius if strict else dist <= radius
+    near = dist < F.col("_radius") if strict else dist <= F.col("_radius")
     return (
         left.join(right, [group, *names])
         .withColumn("dist", dist)
@@ -119,43 +123,80 @@ def box_pixels(
     )
 
 
-def components(vertices: DataFrame, edges: DataFrame, group: list[str], max_rounds: int = 200) -> DataFrame:
+EDGE_LIMIT = 200_000
+RUN_UNIT = 1 << 31
+
+
+def components(
+    vertices: DataFrame, edges: DataFrame, group: list[str], limit: int = EDGE_LIMIT, max_rounds: int = 200
+) -> DataFrame:
     """Smallest vertex id of each connected component.
 
-    ``vertices(group, v)`` and ``edges(group, a, b)``; ids may be any orderable
-    type.  Each round takes the minimum label of the neighbours and then jumps to
-    the label of the label, so the rounds grow with the logarithm of a chain.
+    ``vertices(group, v)`` and ``edges(group, a, b)`` with long ids.  Groups with
+    at most ``limit`` edges are settled one by one in parallel; a larger group is
+    never gathered but labelled in distributed rounds.
+    """
+    edges = cut(edges.filter(F.col("a") != F.col("b")).select(*group, "a", "b"))
+    hot = edges.groupBy(*group).count().filter(F.col("count") > limit).select(*group)
+    if is_empty(hot):
+        labels = _settle_groups(edges, group)
+    else:
+        hot = cut(hot)
+        labels = _settle_groups(edges.join(hot, group, "left_anti"), group).unionByName(
+            _settle_rounds(edges.join(hot, group, "left_semi"), group, max_rounds)
+        )
+    return vertices.join(labels, [*group, "v"], "left").withColumn("label", F.coalesce("label", "v"))
+
+
+def _settle_groups(edges: DataFrame, group: list[str]) -> DataFrame:
+    types = dict(edges.dtypes)
+    schema = ", ".join(f"{g} {types[g]}" for g in group) + ", v long, label long"
+
+    def settle(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, flat = np.unique(pdf[["a", "b"]].to_numpy(np.int64), return_inverse=True)
+        a, b = flat.reshape(-1, 2).T
+        label = np.arange(len(ids))
+        while True:
+            low = np.minimum(label[a], label[b])
+            new = label.copy()
+            np.minimum.at(new, a, low)
+            np.minimum.at(new, b, low)
+            new = new[new]
+            if np.array_equal(new, label):
+                break
+            label = new
+        return pd.DataFrame({**dict(zip(group, keys)), "v": ids, "label": ids[label]})
+
+    return edges.groupBy(*group).applyInPandas(settle, schema)
+
+
+def _settle_rounds(edges: DataFrame, group: list[str], max_rounds: int) -> DataFrame:
+    """Rounds of taking the smallest neighbour label and the label of the label.
+
+    The jump halves the way to the root, so rounds grow with the logarithm of the
+    longest chain.
     """
     both = cut(
-        edges.select(*group, "a", "b")
-        .unionByName(edges.select(*group, F.col("b").alias("a"), F.col("a").alias("b")))
-        .filter(F.col("a") != F.col("b"))
-        .distinct()
+        edges.unionByName(edges.select(*group, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     )
-    touched = both.select(*group, F.col("a").alias("v")).distinct()
-    labels = cut(touched.withColumn("label", F.col("v")))
+    # The first hook needs no join: every vertex takes its smallest neighbour.
+    labels = cut(both.groupBy(*group, F.col("a").alias("v")).agg(F.min("b").alias("_b")).select(
+        *group, "v", F.least("v", "_b").alias("label")
+    ))
     for _ in range(max_rounds):
-        source = labels.select(*group, F.col("v").alias("b"), "label")
-        lowest = both.join(source, [*group, "b"]).groupBy(*group, "a").agg(F.min("label").alias("_low"))
-        hooked = labels.join(lowest.withColumnRenamed("a", "v"), [*group, "v"], "left").select(
-            *group, "v", F.col("label").alias("_old"), F.least("label", "_low").alias("label")
+        source = labels.select(*group, F.col("v").alias("b"), F.col("label").alias("_l"))
+        lowest = both.join(source, [*group, "b"]).groupBy(*group, F.col("a").alias("v")).agg(F.min("_l").alias("_low"))
+        roots = labels.select(*group, F.col("v").alias("label"), F.col("label").alias("_root"))
+        stepped = cut(
+            labels.join(lowest, [*group, "v"])
+            .join(roots, [*group, "label"])
+            .select(*group, "v", F.col("label").alias("_old"), F.least("label", "_low", "_root").alias("label"))
         )
-        hooked = cut(hooked)
-        roots = hooked.select(*group, F.col("v").alias("label"), F.col("label").alias("_root"))
-        jumped = cut(
-            hooked.join(roots, [*group, "label"], "left").select(
-                *group, "v", "_old", F.coalesce(F.least("label", "_root"), "label").alias("label")
-            )
-        )
-        moved = not is_empty(jumped.filter(F.col("label") != F.col("_old")))
-        labels = jumped.select(*group, "v", "label")
+        moved = not is_empty(stepped.filter(F.col("label") != F.col("_old")))
+        labels = stepped.select(*group, "v", "label")
         if not moved:
-            break
-    else:
-        raise RuntimeError("components did not settle; raise max_rounds")
-    return vertices.join(labels, [*group, "v"], "left").withColumn(
-        "label", F.coalesce("label", "v")
-    )
+            return labels
+    raise RuntimeError("components did not settle; raise max_rounds")
 
 
 def runs(mask: DataFrame, frame: list[str]) -> DataFrame:
@@ -173,11 +214,14 @@ def runs(mask: DataFrame, frame: list[str]) -> DataFrame:
 def label_runs(mask: DataFrame, frame: list[str], tile: int = 64) -> DataFrame:
     """Runs of flagged pixels with the label of their eight-neighbour component.
 
+    A label is the first pixel of the component in reading order, as
+    ``row * RUN_UNIT + column``.
+
     Runs of neighbouring rows touch when their column ranges meet or are diagonal;
     candidates come from an equi-join on column tiles.
     """
     pieces = cut(
-        runs(mask, frame).withColumn("v", F.struct(F.col("r").alias("r"), F.col("c1").alias("c")))
+        runs(mask, frame).withColumn("v", F.col("r") * RUN_UNIT + F.col("c1"))
     )
     last_tile = F.floor((F.col("c2") + 1) / tile)
     spread = pieces.withColumn("t", F.explode(F.sequence(F.floor(F.col("c1") / tile), last_tile)))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("detection", "localization", "rasters", "floods")
+MODULES = ("detection", "localization", "rasters", "floods", "clouds")
 
 
 def load() -> None:

@@ -24,7 +24,7 @@ PARTS = """wet AS (SELECT mission_id, frame_idx, r, c FROM pix WHERE is_water),
 @query("k09_mask_components", "pix", f"RECURSIVE {PARTS} SELECT {FR}, CAST(floor(label / 100) AS BIGINT) AS top_r, label % 100 AS top_c, area, min_c, max_c, min_r, max_r FROM part")
 def _(v):
     out = spatial.mask_components(v.pix.filter("is_water"), ["mission_id", "frame_idx"], 4)
-    return out.select("mission_id", "frame_idx", F.col("label.r").alias("top_r"), F.col("label.c").alias("top_c"), "area", "min_c", "max_c", "min_r", "max_r")
+    return out.select("mission_id", "frame_idx", F.floor(F.col("label") / spatial.RUN_UNIT).alias("top_r"), (F.col("label") % spatial.RUN_UNIT).alias("top_c"), "area", "min_c", "max_c", "min_r", "max_r")
 
 
 OVER = """ov AS (SELECT a.mission_id, a.frame_idx, a.det_id, any_value(a.class_name) AS class_name, avg(CAST(b.{flag} AS INT)) AS share FROM rbox a JOIN {mask} b

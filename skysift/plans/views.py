@@ -129,7 +129,7 @@ GROUP BY mission_id, frame_idx, r, c
 
 # One cloud per supplier residue.
 VIEWS["pts"] = """
-SELECT CAST(l_suppkey % 8 AS BIGINT) AS scene_id, l_orderkey * 8 + l_linenumber AS point_id,
+SELECT CAST(l_suppkey % 8 AS BIGINT) AS scene_id, (l_orderkey * 8 + l_linenumber) * 1048576 + (l_partkey * 1009 + l_suppkey) % 1048576 AS point_id,
        l_quantity / 50e0 AS x, l_extendedprice / 105000e0 AS y, l_discount * 10e0 AS z,
        1e0 + l_tax * 5e0 AS conf, CAST(l_linenumber % 5 AS DOUBLE) / 4e0 AS red,
        CAST(l_linenumber % 3 AS DOUBLE) / 2e0 AS grn, l_discount * 5e0 AS blu,
