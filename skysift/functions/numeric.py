@@ -15,7 +15,8 @@ def half_even(col: Column, places: int = 0) -> Column:
 def clip(col: Column, low: float | Column, high: float | Column) -> Column:
     low = low if isinstance(low, Column) else F.lit(low)
     high = high if isinstance(high, Column) else F.lit(high)
-    return F.least(F.greatest(col, low), high)
+    # greatest and least skip nulls, so a missing value must be kept missing here.
+    return F.when(col.isNotNull(), F.least(F.greatest(col, low), high))
 
 
 def is_finite(*cols: Column) -> Column:

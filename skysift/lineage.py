@@ -8,6 +8,7 @@ when that is unset (tests, a laptop) a temporary folder is used.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="skysift-", dir="/tmp"))
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for written tables, next to the checkpoints."""
+    ensure_checkpoint_dir(spark)
+    root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)

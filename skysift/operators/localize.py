@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skysift.functions.camera import to_pixel, to_world, unproject
+from skysift.functions.camera import measure, to_pixel, to_world, unproject
 from skysift.functions.numeric import half_even, is_finite, norm, settled, truncate
 from skysift.lineage import cut
 from skysift.operators.ordering import quantiles
@@ -217,7 +217,7 @@ def fuse_positions(obs: DataFrame, outlier_m: float = 2.5) -> DataFrame:
         F.when(placed_flag, F.lit("LOCALIZED_3D")).otherwise(F.lit("UNLOCALIZED")).alias("location_status"),
         *[settled(F.when(some, F.col(f"_i{a}")).otherwise(F.col(f"_a{a}")), 2).alias(f"{a}_m") for a in "xyz"],
         settled(F.when(some, F.col("_ie")).otherwise(F.col("_ae")), 2).alias("reprojection_error_px"),
-        settled(F.least(F.lit(0.98), conf + F.least(F.lit(0.15), used * 0.03)), 3).alias("confidence"),
+        F.when(placed_flag, settled(F.least(F.lit(0.98), conf + F.least(F.lit(0.15), used * 0.03)), 3)).alias("confidence"),
         "source_frames",
         "observation_count",
     )
@@ -254,3 +254,17 @@ def localization_gate(obs: DataFrame, quality: DataFrame) -> DataFrame:
     values = {c: F.when(allowed, F.col(c)) for c in ("x_m", "y_m", "z_m", "reprojection_error_px")}
     values["location_status"] = F.when(allowed, F.col("location_status")).otherwise(F.lit("UNLOCALIZED"))
     return gated.withColumns(values).drop("localization_allowed")
+
+
+def measure_pairs(targets: DataFrame, cameras: DataFrame, wanted: DataFrame, speed: float = 5.0) -> DataFrame:
+    """Measurements of the ``wanted`` pairs (``a``, ``b``) of named positions.
+
+    Names come from the targets, the cameras and ``ORIGIN``; only the asked pairs
+    are joined, never all of them.
+    """
+    origin = wanted.sparkSession.createDataFrame([("ORIGIN", 0.0, 0.0, 0.0)], "id string, x double, y double, z double")
+    places = targets.unionByName(cameras).unionByName(origin)
+    end = lambda side: places.select(F.col("id").alias(side), *[F.col(c).alias(side + c) for c in "xyz"])
+    joined = wanted.join(end("a"), "a").join(end("b"), "b")
+    a, b = [F.col("a" + c) for c in "xyz"], [F.col("b" + c) for c in "xyz"]
+    return joined.select("a", "b", *[value.alias(name) for name, value in measure(a, b, speed).items()])

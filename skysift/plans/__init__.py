@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("detection", "localization", "rasters", "floods", "clouds")
+MODULES = ("detection", "localization", "rasters", "floods", "clouds", "triage", "transfers")
 
 
 def load() -> None:

@@ -320,7 +320,7 @@ def _(v):
     al AS (SELECT mission_id, track_id, list_sort(list_distinct(list(frame_idx))) AS source_frames, count(*) AS observation_count FROM tr GROUP BY ALL)
     SELECT al.mission_id, al.track_id, CASE WHEN n IS NULL THEN 'UNLOCALIZED' ELSE 'LOCALIZED_3D' END AS location_status,
       {RS('ax', 2)} AS x_m, {RS('ay', 2)} AS y_m, {RS('az', 2)} AS z_m, {RS('ae', 2)} AS reprojection_error_px,
-      {RS('least(0.98e0, CASE WHEN n IS NULL THEN NULL ELSE ac + least(0.15e0, n * 0.03e0) END)', 3)} AS confidence, source_frames, observation_count
+      CASE WHEN n IS NOT NULL THEN {RS('least(0.98e0, ac + least(0.15e0, n * 0.03e0))', 3)} END AS confidence, source_frames, observation_count
     FROM al LEFT JOIN fu ON al.mission_id = fu.mission_id AND al.track_id = fu.track_id""",
 )
 def _(v):
