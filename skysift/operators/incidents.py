@@ -54,17 +54,17 @@ def _split(inc: DataFrame, radius: float, link: Column, limit: int) -> DataFrame
         big.withColumns(
             {
                 "_cell": F.when(placed, F.xxhash64(F.lit("cell"), *names)),
-                "_link": F.when(link.isNotNull(), F.xxhash64(F.lit("link"), link.cast("string"))),
+                "_tie": F.when(link.isNotNull(), F.xxhash64(F.lit("link"), link.cast("string"))),
             }
         )
     )
     occupied = big.filter(F.col("_cell").isNotNull()).select(*group, *names, F.col("_cell").alias("b")).distinct()
     around = ring(occupied.withColumnRenamed("b", "a"), names)
     adjacent = around.join(occupied, [*group, *names]).select(*group, "a", "b")
-    linked = big.filter(F.col("_cell").isNotNull() & F.col("_link").isNotNull()).select(
-        *group, F.col("_cell").alias("a"), F.col("_link").alias("b")
+    linked = big.filter(F.col("_cell").isNotNull() & F.col("_tie").isNotNull()).select(
+        *group, F.col("_cell").alias("a"), F.col("_tie").alias("b")
     ).distinct()
-    anchor = F.coalesce("_cell", "_link", F.xxhash64(F.lit("alone"), "seq"))
+    anchor = F.coalesce("_cell", "_tie", F.xxhash64(F.lit("alone"), "seq"))
     anchored = big.withColumn("v", anchor)
     labels = components(anchored.select(*group, "v").distinct(), adjacent.unionByName(linked), group)
     return rest.unionByName(

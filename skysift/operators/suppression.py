@@ -8,6 +8,8 @@ boxes it overlaps.  Both give the greedy result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,7 +66,7 @@ def _grids(df: DataFrame, bar: float, neighbours: bool) -> DataFrame:
     so a pair shares a level when each box enters its own level and the next.
     """
     base = 1.0 / bar
-    level = lambda side: F.floor(F.log(F.lit(base), side.cast("double")))
+    level = lambda side: F.floor(F.log(side.cast("double")) / math.log(base))
     width, height = F.col("x2") - F.col("x1") + 1, F.col("y2") - F.col("y1") + 1
     out = df.withColumn("_lx", F.explode(F.array(level(width), level(width) + 1))).withColumn(
         "_ly", F.explode(F.array(level(height), level(height) + 1))
