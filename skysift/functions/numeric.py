@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def half_even(col: Column, places: int = 0) -> Column:
     """Round half to even at ``places`` decimals, and never return ``-0.0``."""
     unit = float(10**places)
-    return F.rint(col * F.lit(unit)) / F.lit(unit) + F.lit(0.0)
+    return F.rint(col * unit) / unit + 0.0
 
 
 def clip(col: Column, low: float | Column, high: float | Column) -> Column:
@@ -33,7 +33,8 @@ def norm(*cols: Column) -> Column:
 
 def fixed(col: Column, places: int) -> Column:
     """Text with exactly ``places`` decimals, rounded half to even."""
-    return F.format_string(f"%.{places}f", half_even(col, places))
+    value = half_even(col, places)
+    return F.coalesce(value.try_cast(f"decimal(18,{places})").cast("string"), value.cast("string"))
 
 
 def truncate(col: Column) -> Column:

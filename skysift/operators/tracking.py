@@ -9,6 +9,7 @@ of live tracks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -30,7 +31,8 @@ OUTPUT = f"mission_id long, block long, kind int, det_id long, frame_idx long, {
 OUTPUT_NAMES = ["mission_id", "block", "kind", "det_id", "frame_idx", *STATE_NAMES]
 INPUT = ["mission_id", "block", "frame_idx", "det_id", "conf", "class_name", "x1", "y1", "x2", "y2", "cx", "cy"]
 
-Step = Callable[[pd.DataFrame, list[dict]], tuple[list[dict], list[dict]]]
+Assigned = list[tuple[int, int, int, int, int, int]]
+Step = Callable[[pd.DataFrame, list[dict]], tuple[Assigned, list[dict]]]
 
 
 def tracking_confidence(length: Column) -> Column:
@@ -38,27 +40,33 @@ def tracking_confidence(length: Column) -> Column:
     return F.when(length <= 1, F.lit(0.55)).otherwise(grown)
 
 
-def _new_track(row, frame: int, position: int) -> dict:
+BOX = ("x1", "y1", "x2", "y2", "cx", "cy")
+
+
+def _new_track(values: dict, i: int, frame: int, position: int) -> dict:
     return {
-        "founder": row.det_id, "f_frame": frame, "f_pos": position,
-        "x1": row.x1, "y1": row.y1, "x2": row.x2, "y2": row.y2, "cx": row.cx, "cy": row.cy,
-        "cls": row.class_name, "last_frame": frame, "length": 1,
+        "founder": int(values["det_id"][i]), "f_frame": frame, "f_pos": position,
+        **{name: float(values[name][i]) for name in BOX},
+        "cls": values["class_name"][i], "last_frame": frame, "length": 1,
     }
 
 
-def _observe(track: dict, row, frame: int) -> None:
-    for name in ("x1", "y1", "x2", "y2", "cx", "cy"):
-        track[name] = getattr(row, name)
+def _observe(track: dict, values: dict, i: int, frame: int) -> None:
+    for name in BOX:
+        track[name] = float(values[name][i])
     track["last_frame"] = frame
     track["length"] += 1
 
 
-def pair_scores(tracks: list[dict], rows: pd.DataFrame, frame: int) -> tuple[np.ndarray, np.ndarray]:
-    """Score of every (track, detection) and whether the pair may match."""
-    t = {k: np.array([tr[k] for tr in tracks], dtype=float)[:, None] for k in ("x1", "y1", "x2", "y2", "cx", "cy")}
-    d = {k: rows[k].to_numpy(float)[None, :] for k in ("x1", "y1", "x2", "y2", "cx", "cy")}
+def _assigned(values: dict, i: int, frame: int, track: dict) -> tuple:
+    return int(values["det_id"][i]), frame, track["founder"], track["f_frame"], track["f_pos"], track["length"]
+
+
+def pair_scores(tracks: list[dict], d: dict[str, np.ndarray], frame: int) -> tuple[np.ndarray, np.ndarray]:
+    """Score of every (track, detection) of a frame and whether the pair may match."""
+    t = {k: np.array([tr[k] for tr in tracks])[:, None] for k in BOX}
     t_cls = np.array([tr["cls"] for tr in tracks], dtype=object)[:, None]
-    d_cls = rows["class_name"].to_numpy(object)[None, :]
+    d_cls = d["class_name"][None, :]
     missed = np.array([frame - tr["last_frame"] for tr in tracks], dtype=float)[:, None]
     iw = np.minimum(t["x2"], d["x2"]) - np.maximum(t["x1"], d["x1"])
     ih = np.minimum(t["y2"], d["y2"]) - np.maximum(t["y1"], d["y1"])
@@ -73,70 +81,77 @@ def pair_scores(tracks: list[dict], rows: pd.DataFrame, frame: int) -> tuple[np.
     other_score = np.maximum(iou, 0.5 * np.maximum(0.0, 1.0 - dist / 200.0)) + np.where(same, 0.15, 0.0)
     far = ~same & (iou < 0.20) & (dist > 45.0)
     allowed = np.where(persons, dist <= radius, ~far & (other_score > 0.15))
-    return np.where(persons, person_score, other_score), allowed & (missed <= IDLE_FRAMES)
+    return np.where(persons, person_score, other_score), allowed.astype(bool) & (missed <= IDLE_FRAMES)
 
 
-def _greedy_step(rows: pd.DataFrame, state: list[dict]) -> tuple[list[dict], list[dict]]:
+def _greedy_step(rows: pd.DataFrame, state: list[dict]) -> tuple[Assigned, list[dict]]:
     """Walk the frames of one block: best pairs first, the rest found new tracks."""
-    rows = rows.assign(_other=rows["class_name"] != "person").sort_values(
-        ["frame_idx", "_other", "conf", "det_id"], ascending=[True, True, False, False]
-    )
-    tracks, assigned = list(state), []
-    for frame, frame_rows in rows.groupby("frame_idx", sort=True):
-        frame = int(frame)
+    frames = rows["frame_idx"].to_numpy(np.int64)
+    classes = rows["class_name"].to_numpy(object)
+    order = np.lexsort((-rows["det_id"].to_numpy(np.int64), -rows["conf"].to_numpy(float), classes != "person", frames))
+    values = {name: rows[name].to_numpy(float)[order] for name in BOX}
+    values["class_name"], values["det_id"] = classes[order], rows["det_id"].to_numpy(np.int64)[order]
+    frames = frames[order]
+    tracks: list[dict] = list(state)
+    assigned: Assigned = []
+    starts = np.unique(frames, return_index=True)[1].tolist() + [len(frames)]
+    for low, high in zip(starts[:-1], starts[1:]):
+        frame = int(frames[low])
         tracks = [tr for tr in tracks if frame - tr["last_frame"] <= IDLE_FRAMES]
         owner: dict[int, dict] = {}
         if tracks:
-            score, allowed = pair_scores(tracks, frame_rows, frame)
+            score, allowed = pair_scores(tracks, {k: v[low:high] for k, v in values.items()}, frame)
             ti, di = np.nonzero(allowed)
+            best = np.lexsort((di, ti, -score[ti, di]))
             taken: set[int] = set()
-            for k in np.lexsort((di, ti, -score[ti, di])):
-                if int(ti[k]) in taken or int(di[k]) in owner:
-                    continue
-                taken.add(int(ti[k]))
-                owner[int(di[k])] = tracks[ti[k]]
-        for position, row in enumerate(frame_rows.itertuples(index=False)):
-            track = owner.get(position)
+            for a, b in zip(ti[best].tolist(), di[best].tolist()):
+                if a not in taken and b not in owner:
+                    taken.add(a)
+                    owner[b] = tracks[a]
+        for i in range(low, high):
+            track = owner.get(i - low)
             if track is None:
-                track = _new_track(row, frame, position)
+                track = _new_track(values, i, frame, i - low)
                 tracks.append(track)
             else:
-                _observe(track, row, frame)
-            assigned.append({"det_id": row.det_id, "frame_idx": frame, **track})
-    if len(rows):
-        last = int(rows["frame_idx"].max())
+                _observe(track, values, i, frame)
+            assigned.append(_assigned(values, i, frame, track))
+    if len(frames):
+        last = int(frames[-1])
         tracks = [tr for tr in tracks if last + 1 - tr["last_frame"] <= IDLE_FRAMES]
     return assigned, tracks
 
 
 def _nearest_step(legacy_iou: bool) -> Step:
-    def step(rows: pd.DataFrame, state: list[dict]) -> tuple[list[dict], list[dict]]:
+    def step(rows: pd.DataFrame, state: list[dict]) -> tuple[Assigned, list[dict]]:
         """Each detection joins the best track of its class; tracks never expire."""
         tracks, assigned = list(state), []
         rows = rows.sort_values(["frame_idx", "det_id"])
-        for position, row in enumerate(rows.itertuples(index=False)):
+        values = {name: rows[name].to_numpy() for name in (*BOX, "det_id", "class_name", "frame_idx")}
+        for i in range(len(rows)):
+            x1, y1, x2, y2, cx, cy = (float(values[name][i]) for name in BOX)
             best, best_score = None, -1.0
             for track in tracks:
-                if track["cls"] != row.class_name:
+                if track["cls"] != values["class_name"][i]:
                     continue
-                dist = float(np.hypot(row.cx - track["cx"], row.cy - track["cy"]))
-                iw = max(0, min(row.x2, track["x2"]) - max(row.x1, track["x1"]) + 1)
-                ih = max(0, min(row.y2, track["y2"]) - max(row.y1, track["y1"]) + 1)
-                top = (row.x1, track["x1"]) if legacy_iou else (row.y1, track["y1"])
-                a = (row.x2 - row.x1 + 1) * (row.y2 - top[0] + 1)
-                b = (track["x2"] - track["x1"] + 1) * (track["y2"] - top[1] + 1)
+                dist = math.hypot(cx - track["cx"], cy - track["cy"])
+                iw = max(0.0, min(x2, track["x2"]) - max(x1, track["x1"]) + 1)
+                ih = max(0.0, min(y2, track["y2"]) - max(y1, track["y1"]) + 1)
+                top, old_top = (x1, track["x1"]) if legacy_iou else (y1, track["y1"])
+                a = (x2 - x1 + 1) * (y2 - top + 1)
+                b = (track["x2"] - track["x1"] + 1) * (track["y2"] - old_top + 1)
                 iou = iw * ih / (a + b - iw * ih + 1e-6)
                 if iou > 0.2 or dist < 60.0:
                     score = iou + 1.0 / (1.0 + dist)
                     if score > best_score:
                         best, best_score = track, score
-            frame = int(row.frame_idx)
+            frame = int(values["frame_idx"][i])
             if best is None:
-                best = _new_track(row, frame, position)
+                best = _new_track(values, i, frame, i)
                 tracks.append(best)
             else:
-                _observe(best, row, frame)
-            assigned.append({"det_id": row.det_id, "frame_idx": frame, **best})
+                _observe(best, values, i, frame)
+            assigned.append(_assigned(values, i, frame, best))
         return assigned, tracks
 
     return step
@@ -148,9 +163,13 @@ def _runner(step: Step):
             return pd.DataFrame(columns=OUTPUT_NAMES)
         state = entry.sort_values(["f_frame", "f_pos"])[STATE_NAMES].to_dict("records")
         assigned, tracks = step(rows, state)
-        out = [{"kind": 0, **a} for a in assigned]
-        out += [{"kind": 1, "det_id": tr["founder"], "frame_idx": tr["last_frame"], **tr} for tr in tracks]
-        return pd.DataFrame(out).assign(mission_id=keys[0], block=keys[1])[OUTPUT_NAMES]
+        seen = pd.DataFrame(assigned, columns=["det_id", "frame_idx", "founder", "f_frame", "f_pos", "length"]).assign(
+            kind=0, cls="", last_frame=0, **{name: 0.0 for name in BOX}
+        )
+        left = pd.DataFrame(tracks, columns=STATE_NAMES)
+        left = left.assign(kind=1, det_id=left["founder"], frame_idx=left["last_frame"])
+        out = pd.concat([seen, left[seen.columns]]) if len(left) else seen
+        return out.assign(mission_id=keys[0], block=keys[1])[OUTPUT_NAMES]
 
     return run
 
@@ -205,7 +224,7 @@ def track(det: DataFrame, block_frames: int = BLOCK_FRAMES) -> DataFrame:
     Reads ``class_name, conf, x1..y2, cx, cy``; adds ``track_id, track_length``
     and ``tracking_conf``.
     """
-    found = _block_scan(det, _greedy_step, block_frames)
+    found = cut(_block_scan(det, _greedy_step, block_frames))
     block = F.floor(F.col("f_frame") / BLOCK)
     founders = numbered(
         found.filter(F.col("det_id") == F.col("founder")).select("mission_id", "founder", "f_frame", "f_pos"),
@@ -220,10 +239,12 @@ def track(det: DataFrame, block_frames: int = BLOCK_FRAMES) -> DataFrame:
 
 def track_simple(det: DataFrame, legacy_iou: bool = False, block_frames: int = BLOCK_FRAMES) -> DataFrame:
     """Nearest-track tracker without expiry; object ids ``CLASS_nnn`` per mission."""
-    found = _block_scan(det, _nearest_step(legacy_iou), block_frames)
+    found = cut(_block_scan(det, _nearest_step(legacy_iou), block_frames))
     block = F.floor(F.col("f_frame") / BLOCK)
     founders = numbered(
-        found.filter(F.col("det_id") == F.col("founder")).select("mission_id", "founder", "cls", "f_frame"),
+        found.filter(F.col("det_id") == F.col("founder")).select("mission_id", "founder", "f_frame").join(
+            det.select("mission_id", F.col("det_id").alias("founder"), F.col("class_name").alias("cls")), ["mission_id", "founder"]
+        ),
         ["mission_id", "cls"], block, [F.col("f_frame"), F.col("founder")], "_n",
     ).select(
         "mission_id", "founder",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skysift.functions import boxes
 from skysift.functions.numeric import half_even
+from skysift.lineage import cut
 from skysift.operators import detect, reports
 from skysift.operators.suppression import nms
 from skysift.plans.registry import FX, R, RS, query
@@ -383,7 +384,7 @@ def _(v):
     "SELECT c.*, switches FROM c JOIN s ON c.mission_id = s.mission_id",
 )
 def _(v):
-    kept = nms(boxes.confidence_gate(v.trk))
+    kept = cut(nms(boxes.confidence_gate(v.trk)))
     temporal = detect.temporal_metrics(kept)
     return reports.class_counts(detect.validate(kept, temporal), temporal)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skysift.functions import boxes, camera
 from skysift.functions.numeric import half_even
+from skysift.lineage import cut
 from skysift.operators import localize, tracking
 from skysift.plans.registry import R, RS, query
 
@@ -303,7 +304,7 @@ LOOKED = f"""{MS}, {UV}, n AS (SELECT uv.det_id, r, c, depth, px, py, pz, greate
       CASE WHEN ring IS NULL THEN 'FAILED' WHEN ring = 0 THEN 'DIRECT_HIT' ELSE 'NEIGHBORHOOD_' || (ring * 2 + 1) || 'x' || (ring * 2 + 1) END AS status FROM looked""",
 )
 def _(v):
-    samples = model_samples(v)
+    samples = cut(model_samples(v))
     found = localize.lookup(v.obs.drop("x", "y", "z"), samples, samples, v.cam)
     return found.select("det_id", "location_status", "x_m", "y_m", "z_m", "neighborhood_size", "status")
 

@@ -43,11 +43,10 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     if due:
         rows = pd.DataFrame(due)
         assigned, tracks = _greedy_step(rows, tracks)
-        born = sorted({(a["f_frame"], a["f_pos"], a["founder"]) for a in assigned if str(int(a["founder"])) not in ids})
-        for _, _, founder in born:
-            ids[str(int(founder))], next_id = next_id, next_id + 1
+        for _, _, founder in sorted({(a[3], a[4], a[2]) for a in assigned if str(a[2]) not in ids}):
+            ids[str(founder)], next_id = next_id, next_id + 1
         yield pd.DataFrame(
-            [(key[0], a["frame_idx"], a["det_id"], ids[str(int(a["founder"]))], a["length"]) for a in assigned],
+            [(key[0], frame, det_id, ids[str(founder)], length) for det_id, frame, founder, _, _, length in assigned],
             columns=["mission_id", "frame_idx", "det_id", "track_id", "track_length"],
         ).astype("int64")
         live = {str(int(t["founder"])) for t in tracks}
