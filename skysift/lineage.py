@@ -28,6 +28,16 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
+def fan_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` into the configured number of shuffle partitions.
+
+    Used before work that is heavy per byte (folds, grouped Python, cell
+    expansion): sized by bytes alone, such input would be merged into few tasks.
+    A grouping by the same keys afterwards needs no further shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skysift.config import CloudRules
 from skysift.functions.camera import camera_centre
 from skysift.functions.numeric import clip, half_even, is_finite, norm, settled
-from skysift.lineage import cut, is_empty
+from skysift.lineage import cut, fan_out, is_empty
 from skysift.operators.ordering import BLOCK, bounded_quantiles, numbered, previous
 from skysift.operators.spatial import cells, components, radius_pairs, ring
 
@@ -85,21 +85,19 @@ def voxel_downsample(points: DataFrame, sizes: DataFrame | None = None) -> DataF
 # ------------------------------------------------------------------ outliers
 
 
-def _weighted(points: DataFrame) -> DataFrame:
-    """Distinct positions with their multiplicity; one id stands for all copies."""
-    return points.groupBy("scene_id", *XYZ).agg(F.min("point_id").alias("point_id"), F.count(F.lit(1)).alias("_w"))
-
-
 def neighbour_counts(points: DataFrame, radius: Column, enough: int) -> DataFrame:
-    """Neighbours within ``radius`` (the point itself included), per position.
+    """Neighbours within ``radius`` (the point itself included), per distinct position.
+
+    ``radius`` is one value per scene; one point id stands for all copies.
 
     Copies count by weight.  A position whose small cell already holds ``enough``
     points gets that count at once; only the others are compared one by one, so
     crowded cells never produce all their pairs.
     """
-    sized = cut(_weighted(points.withColumn("_radius", radius)).join(
-        points.withColumn("_radius", radius).groupBy("scene_id").agg(F.max("_radius").alias("_radius")), "scene_id"
-    ))
+    weighted = points.withColumn("_radius", radius).groupBy("scene_id", *XYZ).agg(
+        F.min("point_id").alias("point_id"), F.count(F.lit(1)).alias("_w"), F.max("_radius").alias("_radius")
+    )
+    sized = cut(fan_out(weighted, "scene_id", "point_id"))
     fine = cells(sized, F.col("_radius") / 1.7321, XYZ, ["_fx", "_fy", "_fz"])
     crowd = fine.groupBy("scene_id", "_fx", "_fy", "_fz").agg(F.sum("_w").alias("_crowd"))
     fine = fine.join(crowd, ["scene_id", "_fx", "_fy", "_fz"]).drop("_fx", "_fy", "_fz")
@@ -138,7 +136,7 @@ def knn_distance(points: DataFrame, k: int = 20, cell: Column | float = 0.1, max
     large, until a cell spans the scene.
     """
     cell = cell if isinstance(cell, Column) else F.lit(float(cell))
-    base = cut(points.withColumn("_cell", cell).select("scene_id", "point_id", *XYZ, "_cell"))
+    base = cut(fan_out(points.withColumn("_cell", cell).select("scene_id", "point_id", *XYZ, "_cell"), "scene_id", "point_id"))
     reach = base.groupBy("scene_id").agg(
         norm(*[F.max(c) - F.min(c) for c in XYZ]).alias("_span"), F.count(F.lit(1)).alias("_n")
     )
@@ -199,7 +197,7 @@ def dbscan(points: DataFrame, eps: Column, min_points: int = 10) -> DataFrame:
     components of cells, not of points; a border point joins the smallest
     cluster it touches.
     """
-    sized = cut(points.withColumn("_eps", eps).select("scene_id", "point_id", *XYZ, "_eps"))
+    sized = cut(fan_out(points.withColumn("_eps", eps).select("scene_id", "point_id", *XYZ, "_eps"), "scene_id", "point_id"))
     counts = neighbour_counts(sized.select("scene_id", "point_id", *XYZ, "_eps"), F.col("_eps"), min_points)
     flagged = cut(
         sized.join(counts.filter(F.col("neighbours") >= min_points).select("scene_id", *XYZ, F.lit(True).alias("_core")),

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skysift.lineage import cut, is_empty
+from skysift.lineage import cut, fan_out, is_empty
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -39,7 +39,7 @@ def block_fold(
     slots = [*keys, "_block"]
     packed = F.struct(*[F.col(c) for c in [*order, *[i for i in items if i not in order]]])
     blocks = (
-        df.withColumn("_block", block).groupBy(*slots).agg(F.array_sort(F.collect_list(packed)).alias("_items"))
+        fan_out(df.withColumn("_block", block), *slots).groupBy(*slots).agg(F.array_sort(F.collect_list(packed)).alias("_items"))
     )
     none = F.lit(None).cast(state)
 

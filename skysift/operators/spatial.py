@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skysift.lineage import cut, is_empty
+from skysift.lineage import cut, fan_out, is_empty
 
 
 def cells(df: DataFrame, size: Column | float, axes: list[str], names: list[str]) -> DataFrame:
@@ -167,7 +167,7 @@ def _settle_groups(edges: DataFrame, group: list[str]) -> DataFrame:
             label = new
         return pd.DataFrame({**dict(zip(group, keys)), "v": ids, "label": ids[label]})
 
-    return edges.groupBy(*group).applyInPandas(settle, schema)
+    return fan_out(edges, *group).groupBy(*group).applyInPandas(settle, schema)
 
 
 def _settle_rounds(edges: DataFrame, group: list[str], max_rounds: int) -> DataFrame:
@@ -221,7 +221,7 @@ def label_runs(mask: DataFrame, frame: list[str], tile: int = 64) -> DataFrame:
     candidates come from an equi-join on column tiles.
     """
     pieces = cut(
-        runs(mask, frame).withColumn("v", F.col("r") * RUN_UNIT + F.col("c1"))
+        fan_out(runs(mask, frame), *frame, "r").withColumn("v", F.col("r") * RUN_UNIT + F.col("c1"))
     )
     last_tile = F.floor((F.col("c2") + 1) / tile)
     spread = pieces.withColumn("t", F.explode(F.sequence(F.floor(F.col("c1") / tile), last_tile)))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skysift.functions.boxes import overlap_plus_one
-from skysift.lineage import cut, is_empty
+from skysift.lineage import cut, fan_out, is_empty
 
 GROUP = ["mission_id", "frame_idx", "_person"]
 BOX = ["x1", "y1", "x2", "y2"]
@@ -41,7 +41,7 @@ def _fold(pooled: DataFrame, iou: float, person_iou: float) -> DataFrame:
     item = F.struct(
         (-F.col("conf")).alias("_o1"), (-F.col("det_id")).alias("_o2"), *[F.col(c) for c in pooled.columns]
     )
-    grouped = pooled.groupBy(*GROUP).agg(F.array_sort(F.collect_list(item)).alias("_all"))
+    grouped = fan_out(pooled, *GROUP).groupBy(*GROUP).agg(F.array_sort(F.collect_list(item)).alias("_all"))
     empty = F.expr("filter(_all, x -> false)")
 
     def clash(a: Column, b: Column) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from skysift.functions.boxes import overlap
 from skysift.functions.numeric import half_even, norm
-from skysift.lineage import cut, is_empty
+from skysift.lineage import cut, fan_out, is_empty
 from skysift.operators.ordering import BLOCK, numbered
 
 BLOCK_FRAMES = 256
@@ -182,10 +182,10 @@ def _block_scan(det: DataFrame, step: Step, block_frames: int) -> DataFrame:
     alone = lambda key, pdf: run(key, pdf, pd.DataFrame(columns=STATE_NAMES))
     spans = rows.groupBy("mission_id").agg(F.min("block").alias("lo"), F.max("block").alias("hi"))
     if is_empty(spans.filter(F.col("lo") < F.col("hi"))):
-        done = rows.groupBy(*keys).applyInPandas(alone, OUTPUT)
+        done = fan_out(rows, *keys).groupBy(*keys).applyInPandas(alone, OUTPUT)
         return done.filter(F.col("kind") == 0)
 
-    rows = cut(rows)
+    rows = cut(fan_out(rows, *keys))
     follow = cut(
         rows.select(*keys).distinct().withColumn(
             "next", F.lead("block").over(Window.partitionBy("mission_id").orderBy("block"))
