@@ -128,6 +128,7 @@ def validate(det: DataFrame, temporal: DataFrame, rules: ClassRules = ClassRules
     v_max, v_min = f"{rules.vehicle_max_area:.0f}", f"{rules.vehicle_min_area:.0f}"
 
     # Each case: condition, final class, confidence, changed, evidence.
+    # The evidence texts, read by users of the exported records.
     cases: list[tuple[Column, Column, Column, bool, Column]] = [
         (weak, none, conf * 0.5, True,
          say("Confidence ", text["conf"], " below class threshold ", fixed(bar, 2), " for ", cls, ".")),

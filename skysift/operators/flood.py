@@ -150,6 +150,7 @@ def _state_ladder(df: DataFrame) -> DataFrame:
     )
     coded = df.withColumn("_code", code)
     pick = lambda *values: F.element_at(F.array(*values), F.col("_code") + 1)
+    # State names and evidence texts.
     states = ("NO_WATER", "WATER_BODY", "VALIDATED_INUNDATION", "POTENTIAL_INUNDATION", "WATER_BODY")
     sure = F.least(F.lit(1.0), 0.40 + ratio * 1.5 + bldg * 0.3 + F.col("flat") * 0.2)
     percent = fixed(ratio * 100.0, 1)

@@ -54,6 +54,7 @@ def rescue_priority(
     medium = (
         (classification == "POTENTIAL_ISOLATED_PERSON") | ((score >= 0.40) & (flood_pct > 10.0)) | (flood_pct > 15.0)
     )
+    # The action texts of the priorities.
     priority = F.when(high, F.lit("HIGH")).when(medium, F.lit("MEDIUM")).otherwise(F.lit("LOW"))
     return {
         "rescue_priority": priority,
@@ -133,6 +134,7 @@ def fuse_tracks(person: DataFrame) -> DataFrame:
     priority = F.col("rescue_priority")
     ground = settled(clip(1.0 - iso_m, 0.0, 1.0), 3)
     distress = priority.isin("HIGH", "MEDIUM") | (iso_m > 0.35) | (flood_m > 15.0)
+    # The reason texts of the targets.
     reason = (
         F.when(priority == "HIGH", F.concat(
             F.lit("Person observed across "), n.cast("string"), F.lit(" frame(s) on "),

@@ -186,7 +186,7 @@ FLOODS = """mf0 AS (SELECT mission_id, frame_idx, CASE WHEN mission_id % 4 = 0 T
   mf AS (SELECT *, CASE WHEN water_ratio > 0.2e0 THEN 'VALIDATED_INUNDATION' WHEN water_ratio > 0.08e0 THEN 'POTENTIAL_INUNDATION' ELSE 'NO_WATER' END AS water_state FROM mf0)"""
 LISTED = "list_filter([{}], lambda x: x IS NOT NULL)"
 
-RISK_A = f"""{FUSED}, {FLOODS}, tg AS (SELECT mission_id, count(*) AS people, count(*) FILTER (rescue_priority = 'HIGH') AS hi, count(*) FILTER (rescue_priority = 'MEDIUM') AS md FROM fused WHERE mission_id % 5 <> 1 GROUP BY 1),
+RISK_A = f"""{FUSED}, {FLOODS}, tg AS (SELECT mission_id, count(*) AS people, count(*) FILTER (rescue_priority = 'HIGH') AS hi, count(*) FILTER (rescue_priority = 'MEDIUM') AS md FROM fused GROUP BY 1),
   wa AS (SELECT mission_id, bool_or(water_state = 'VALIDATED_INUNDATION') AS sure, bool_or(water_state = 'POTENTIAL_INUNDATION') AS maybe, max(water_ratio) AS ratio FROM mf GROUP BY 1),
   ri AS (SELECT wa.*, coalesce(people, 0) AS people, coalesce(hi, 0) AS hi, coalesce(md, 0) AS md FROM wa LEFT JOIN tg USING (mission_id)),
   rl AS (SELECT *, CASE WHEN hi > 0 AND sure THEN 'CRITICAL' WHEN sure OR hi > 0 THEN 'HIGH' WHEN maybe OR md > 0 THEN 'MEDIUM' ELSE 'LOW / NO DISASTER EVIDENCE' END AS risk_level FROM ri),
@@ -196,8 +196,7 @@ RISK_A = f"""{FUSED}, {FLOODS}, tg AS (SELECT mission_id, count(*) AS people, co
 
 
 def risk_a(v):
-    # Some missions report nobody, so that every branch of the rules is met.
-    return rescue.scene_risk(mission_floods(v), targets(v).filter(F.col("mission_id") % 5 != 1))
+    return rescue.scene_risk(mission_floods(v), targets(v))
 
 
 @query("e21_scene_risk", "person cam", f"{RISK_A} SELECT * FROM risk")
@@ -207,7 +206,7 @@ def _(v):
 
 @query(
     "e22_scene_risk_ratio", "person cam",
-    f"""{PEOPLE}, {FLOODS}, tg AS (SELECT mission_id, count(*) AS people, count(*) FILTER (rescue_priority = 'HIGH') AS hi FROM pe WHERE mission_id % 5 <> 1 GROUP BY 1),
+    f"""{PEOPLE}, {FLOODS}, tg AS (SELECT mission_id, count(*) AS people, count(*) FILTER (rescue_priority = 'HIGH') AS hi FROM pe GROUP BY 1),
     wa AS (SELECT mission_id, avg(water_ratio) AS ratio FROM mf GROUP BY 1), j AS (SELECT mission_id, {R('ratio', 6)} AS ratio, mission_id % 7 = 2 AS act, coalesce(people, 0) AS people, coalesce(hi, 0) AS hi FROM wa LEFT JOIN tg USING (mission_id)),
     k AS (SELECT *, act OR ratio >= 0.15e0 AS fl, 50e0 + least(40e0, ratio * 100e0) AS base FROM j)
     SELECT mission_id, CASE WHEN fl AND hi > 0 THEN 'CRITICAL' WHEN fl THEN 'HIGH' WHEN ratio >= 0.04e0 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
@@ -215,7 +214,7 @@ def _(v):
     {LISTED.format(f"CASE WHEN fl THEN 'Validated flood inundation confirmed covering ' || {FX('ratio * 100e0', 1)} || '% of aerial scene.' WHEN ratio >= 0.04e0 THEN 'Potential flood inundation detected covering ' || {FX('ratio * 100e0', 1)} || '% of scene.' ELSE 'Routine aerial monitoring. No active flood inundation evidence detected.' END, CASE WHEN fl AND hi > 0 THEN 'CRITICAL SAR: ' || hi || ' stranded victim(s) isolated by floodwaters.' WHEN fl AND people = 0 THEN 'Zero persons detected in available aerial frames (continuous optical search active).' END")} AS risk_reasons FROM k""",
 )
 def _(v):
-    counts = rescue.score_people(people(v)).filter(F.col("mission_id") % 5 != 1).groupBy("mission_id").agg(
+    counts = rescue.score_people(people(v)).groupBy("mission_id").agg(
         F.count(F.lit(1)).alias("people"), F.count_if(F.col("rescue_priority") == "HIGH").alias("high")
     )
     water = mission_floods(v).groupBy("mission_id").agg(half_even(F.avg("water_ratio"), 6).alias("flood_ratio"))
@@ -231,18 +230,18 @@ def frame_hazards(v):
 
 
 def frame_damage(v):
-    return v.cam.filter((F.col("mission_id") % 6 > 3) & (F.col("frame_idx") % 9 == 0)).select(
-        "mission_id", "frame_idx", F.when(F.col("frame_idx") % 2 == 0, F.lit("HIGH")).otherwise(F.lit("MEDIUM")).alias("severity")
+    return v.det.filter("raw_class = 'boat' AND conf > 0.9D").select(
+        "mission_id", "frame_idx", F.when(F.col("conf") > 0.95, F.lit("HIGH")).otherwise(F.lit("MEDIUM")).alias("severity")
     )
 
 
 HAZDMG = f"""{FLOODS}, hz AS (SELECT mission_id, frame_idx, CASE WHEN frame_idx % 6 = 0 THEN 'BLOCKED_ROAD_DEBRIS' ELSE 'FLOOD_ZONE' END AS incident_type, {R('water_ratio * 100e0', 1)} AS coverage_pct FROM mf WHERE water_ratio > 0.05e0),
-  dm AS (SELECT mission_id, frame_idx, CASE WHEN frame_idx % 2 = 0 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM cam WHERE mission_id % 6 > 3 AND frame_idx % 9 = 0)"""
+  dm AS (SELECT mission_id, frame_idx, CASE WHEN conf > 0.95e0 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM det WHERE raw_class = 'boat' AND conf > 0.9e0)"""
 
 
 @query(
     "e23_hazard_risk", "det cam",
-    f"""{HAZDMG}, p AS (SELECT mission_id, count(*) FILTER (raw_class = 'person' AND mission_id % 3 <> 0) AS n FROM det GROUP BY 1), h AS (SELECT mission_id, count(*) AS hz, max(coverage_pct) FILTER (incident_type = 'FLOOD_ZONE') AS cover, count(*) FILTER (incident_type = 'BLOCKED_ROAD_DEBRIS') AS debris FROM hz GROUP BY 1),
+    f"""{HAZDMG}, p AS (SELECT mission_id, count(*) FILTER (raw_class = 'person' AND conf > 0.97e0) AS n FROM det GROUP BY 1), h AS (SELECT mission_id, count(*) AS hz, max(coverage_pct) FILTER (incident_type = 'FLOOD_ZONE') AS cover, count(*) FILTER (incident_type = 'BLOCKED_ROAD_DEBRIS') AS debris FROM hz GROUP BY 1),
     d AS (SELECT mission_id, count(*) AS dmg, count(*) FILTER (severity = 'HIGH') AS severe FROM dm GROUP BY 1),
     j AS (SELECT p.*, coalesce(hz, 0) + coalesce(dmg, 0) > 0 AS act, cover, coalesce(debris, 0) AS debris, coalesce(severe, 0) AS severe FROM p LEFT JOIN h USING (mission_id) LEFT JOIN d USING (mission_id)),
     k AS (SELECT *, CASE WHEN act THEN CASE WHEN n > 0 THEN least(40e0, n * 20e0) ELSE 0e0 END + CASE WHEN cover IS NULL THEN 0e0 ELSE least(50e0, 25e0 + cover * 0.6e0) END + CASE WHEN severe > 0 THEN 25e0 ELSE 0e0 END + CASE WHEN debris > 0 THEN 15e0 ELSE 0e0 END ELSE 0e0 END AS s FROM j)
@@ -250,7 +249,7 @@ HAZDMG = f"""{FLOODS}, hz AS (SELECT mission_id, frame_idx, CASE WHEN frame_idx
     {LISTED.format(f"CASE WHEN n > 0 AND act THEN '+ ' || n || ' Person(s) detected in active disaster zone (+' || {FX('least(40e0, n * 20e0)', 0)} || ' pts)' WHEN n > 0 THEN 'Information: ' || n || ' Person(s) detected in normal environment (No emergency exposure).' ELSE 'No person detected in analyzed drone imagery.' END, CASE WHEN cover IS NOT NULL THEN '+ Active flood water coverage detected (' || {FX('cover', 1)} || '% area) (+' || {FX('least(50e0, 25e0 + cover * 0.6e0)', 0)} || ' pts)' END, CASE WHEN severe > 0 THEN '+ Visual structural damage / roof disruption detected on ' || severe || ' building(s) (+25 pts)' END, CASE WHEN debris > 0 THEN '+ Ground route obstruction / debris blockage detected (+15 pts)' END")} AS risk_reasons FROM k""",
 )
 def _(v):
-    seen = v.det.select("mission_id", F.when((F.col("mission_id") % 3 != 0), F.col("raw_class")).alias("class_name"))
+    seen = v.det.select("mission_id", F.when(F.col("conf") > 0.97, F.col("raw_class")).alias("class_name"))
     return rescue.hazard_risk(seen, frame_hazards(v), frame_damage(v))
 
 
@@ -471,7 +470,7 @@ def _(v):
     "e35_pipeline_status", "person cam",
     f"""{FUSED}, {FLOODS}, c AS (SELECT cam.mission_id, count(*) AS frames, any_value(flood_frames) AS ff, any_value(loc) AS loc, any_value(vr) AS vr, any_value(tg) AS tg FROM cam
       LEFT JOIN (SELECT mission_id, count(*) FILTER (water_ratio > 0.1e0) AS flood_frames FROM mf GROUP BY 1) f ON cam.mission_id = f.mission_id
-      LEFT JOIN (SELECT mission_id, count(x) AS loc, count(*) FILTER (reprojection_error_px <= 5) AS vr FROM person WHERE mission_id % 4 <> 1 GROUP BY 1) p ON cam.mission_id = p.mission_id
+      LEFT JOIN (SELECT mission_id, count(x) AS loc, count(*) FILTER (reprojection_error_px <= 5) AS vr FROM person GROUP BY 1) p ON cam.mission_id = p.mission_id
       LEFT JOIN (SELECT mission_id, count(*) AS tg FROM fused WHERE rescue_priority = 'HIGH' GROUP BY 1) t ON cam.mission_id = t.mission_id GROUP BY 1)
     SELECT mission_id, 'FRAMES' AS stage, CASE WHEN frames > 0 THEN 'SUCCESS' ELSE 'FAILED' END AS status FROM c
     UNION ALL SELECT mission_id, '2D-3D', CASE WHEN loc > 0 THEN 'SUCCESS' WHEN frames > 0 THEN 'PARTIAL' ELSE 'FAILED' END FROM c
@@ -482,7 +481,7 @@ def _(v):
 def _(v):
     frames = v.cam.groupBy("mission_id").agg(F.count(F.lit(1)).alias("frames"))
     floods = mission_floods(v).groupBy("mission_id").agg(F.count_if(F.col("water_ratio") > 0.1).alias("flood_frames"))
-    placed = v.person.filter("mission_id % 4 <> 1").groupBy("mission_id").agg(
+    placed = v.person.groupBy("mission_id").agg(
         F.count("x").alias("localized"), F.count_if(F.col("reprojection_error_px") <= 5).alias("valid_reprojections")
     )
     high = targets(v).filter("rescue_priority = 'HIGH'").groupBy("mission_id").agg(F.count(F.lit(1)).alias("targets"))
@@ -493,12 +492,12 @@ def _(v):
 @query(
     "e37_report_summary", "person trk cam",
     f"""{RISK_A}, {VALIDATED} SELECT c.mission_id, frames, selected_frames, coalesce(people, 0) AS people, coalesce(vehicles, 0) AS vehicles, risk_level, risk_score
-    FROM (SELECT mission_id, count(*) AS frames, count(*) FILTER (frame_idx % 3 = 0) AS selected_frames FROM cam GROUP BY 1) c
+    FROM (SELECT mission_id, count(*) AS frames, any_value(sf) AS selected_frames FROM cam JOIN (SELECT mission_id AS m, count(DISTINCT frame_idx) AS sf FROM det WHERE conf > 0.9e0 GROUP BY 1) s ON s.m = cam.mission_id GROUP BY 1) c
     LEFT JOIN (SELECT mission_id, count(*) FILTER (final_class = 'PERSON') AS people, count(*) FILTER (final_class IN ('VEHICLE', 'BOAT')) AS vehicles FROM val GROUP BY 1) d ON c.mission_id = d.mission_id
     LEFT JOIN risk ON c.mission_id = risk.mission_id""",
 )
 def _(v):
-    return reports.report_summary(v.cam, v.cam.filter("frame_idx % 3 = 0"), validated(v), risk_a(v))
+    return reports.report_summary(v.cam, v.det.filter("conf > 0.9D").select("mission_id", "frame_idx").distinct(), validated(v), risk_a(v))
 
 
 @query(
