@@ -1,12 +1,14 @@
 """Cutting lineage for iterative operators.
 
 Iterations write through reliable checkpoints, so a lost executor never loses
-state.  The cluster names the shared folder in ``spark.checkpoint.dir``; only
-when that is unset (tests, a laptop) a temporary folder is used.
+state.  The cluster names the shared folder in ``spark.checkpoint.dir``.  Where it
+is unset, only a single-machine session gets a temporary folder; on a cluster the
+operators stop with an error instead of writing to a folder that others cannot see.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,6 +20,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="skysift-", dir="/tmp"))
 
 
