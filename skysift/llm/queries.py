@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysift.llm import licenses, quality, secrets
+from skysift.llm import encode, licenses, packing, quality, secrets, warc, wavelet
 from skysift.llm.common import table, texts
 
 
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), encode.public_path(encode.BYTE_LEVEL), end_id=2, size=1024)
+
+
 def op5_secret_ledger(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as a path with one version; its findings from a new ledger."""
     versions = secrets.as_versions(texts(table(spark, folder, "documents")))
@@ -32,13 +36,25 @@ def op7_quality_trees(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(docs, quality.fit_tables(spark, folder, docs))
 
 
+def op8_wavelet_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    index = wavelet.write_tokens(table(spark, folder, "documents"), encode.public_path(encode.WORD_LEVEL), end_id=1)
+    return wavelet.read_tokens(index)
+
+
+def op9_warc_index(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.read_records(warc.write_archives(table(spark, folder, "pages")))
+
+
 def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, folder, "documents"))
 
 
 QUERIES = {
+    "op4_packing": op4_packing,
     "op5_secret_ledger": op5_secret_ledger,
     "op7_quality_trees": op7_quality_trees,
+    "op8_wavelet_tokens": op8_wavelet_tokens,
+    "op9_warc_index": op9_warc_index,
     "op10_license_scan": op10_license_scan,
 }
 ORACLES: dict[str, str] = {}
