@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysift.llm import encode, licenses, packing, quality, secrets, warc, wavelet
+from skysift.llm import encode, licenses, packing, quality, secrets, simhash, warc, wavelet
 from skysift.llm.common import table, texts
 
 
+def op2_simhash_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.classes(table(spark, folder, "documents"), size=3, distance=2)
+
+
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), encode.public_path(encode.BYTE_LEVEL), end_id=2, size=1024)
 
@@ -50,6 +54,7 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_simhash_variants": op2_simhash_variants,
     "op4_packing": op4_packing,
     "op5_secret_ledger": op5_secret_ledger,
     "op7_quality_trees": op7_quality_trees,
