@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysift.llm import encode, licenses, packing, quality, secrets, simhash, warc, wavelet
+from skysift.llm import decontaminate, encode, licenses, packing, quality, secrets, simhash, warc, wavelet
 from skysift.llm.common import table, texts
 
 
@@ -13,6 +13,10 @@ def op2_simhash_variants(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.classes(table(spark, folder, "documents"), size=3, distance=2)
 
 
+def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), encode.public_path(encode.BYTE_LEVEL), end_id=2, size=1024)
 
@@ -55,6 +59,7 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op2_simhash_variants": op2_simhash_variants,
+    "op3_decontaminate": op3_decontaminate,
     "op4_packing": op4_packing,
     "op5_secret_ledger": op5_secret_ledger,
     "op7_quality_trees": op7_quality_trees,
