@@ -9,7 +9,7 @@ the budget is lost.
 Test items are a stated query set: they are read in blocks of bounded size, and every block is matched against all texts, so
 what is sent to the tasks is bounded by ``block_chars`` however many items there are.
 
-Texts and items are compared lower-cased (A-Z), with every run of white space as one blank.
+Texts and items are compared in lower case, with every run of white space as one blank.
 
 Defined results: null texts and items are empty; empty items match nothing; equal items are each reported; repeated rows
 and null ids are reported like any other; an empty table gives no rows; extra columns are ignored.
@@ -25,14 +25,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skysift.llm.common import BLANKS, materialize, texts
+from skysift.llm.common import materialize, texts
 
 MATCHES = "doc_id long, item_id long, distance int, start long, end long"
-_LOWER = {c: c + 32 for c in range(65, 91)} | {ord(c): " " for c in BLANKS}
 
 
 def normal(text: str) -> str:
-    return " ".join(x for x in text.translate(_LOWER).split(" ") if x)
+    return " ".join(text.lower().split())
 
 
 def ends_within(pattern: str, text: str, budget: int) -> list[tuple[int, int]]:
