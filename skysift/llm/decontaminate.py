@@ -15,8 +15,6 @@ Defined results: null texts and items are empty; empty items match nothing; equa
 and null ids are reported like any other; an empty table gives no rows; extra columns are ignored.
 """
 
-from __future__ import annotations
-
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skysift.llm.common import materialize, texts
+from skysift.llm.common import texts
 
 MATCHES = "doc_id long, item_id long, distance int, start long, end long"
 
@@ -72,7 +70,7 @@ class Part:
     start: int
     end: int
     budget: int
-    parent: Part | None
+    parent: "Part | None"
 
 
 def leaves(item: int, text: str, budget: int) -> list[Part]:
@@ -116,7 +114,7 @@ class Matcher:
         if not self.any:
             return []
         best: dict[int, tuple[int, int]] = {}
-        looked: set[tuple[Part | int, int]] = set()
+        looked: set[tuple] = set()
         for last, (size, parts) in self.pieces.iter(text):
             for part in parts:
                 if best.get(part.item, (1,))[0]:
@@ -180,18 +178,18 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = 0.1, block_chars: i
     return found
 
 
+def _cleanness(shared, rate: float):
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(shared.value, rate)
+        for batch in batches:
+            yield pd.Series([t is None or not matcher.find(normal(t)) for t in batch], dtype=bool)
+
+    return clean
+
+
 def keep_clean(docs: DataFrame, items: DataFrame, rate: float = 0.1, block_chars: int = 4_000_000) -> DataFrame:
     """The documents in which no item matches, with all their columns."""
-    spark = docs.sparkSession
-    out = docs
     for block in _blocks(items, block_chars):
-        shared = spark.sparkContext.broadcast(block)
-
-        @F.pandas_udf("boolean")
-        def clean(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            matcher = Matcher(shared.value, rate)
-            for batch in batches:
-                yield pd.Series([not matcher.find(normal(t)) if t is not None else True for t in batch], dtype=bool)
-
-        out = materialize(out.where(clean("text")), "clean") if out is not docs else out.where(clean("text"))
-    return out
+        docs = docs.where(_cleanness(docs.sparkSession.sparkContext.broadcast(block), rate)("text"))
+    return docs

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysift.llm import decontaminate, encode, licenses, packing, quality, secrets, simhash, warc, wavelet
+from skysift.llm import decontaminate, encode, licenses, packing, passages, quality, secrets, simhash, warc, wavelet
 from skysift.llm.common import table, texts
 
 
+def op1_passage_chains(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.passages(table(spark, folder, "documents"))
+
+
 def op2_simhash_variants(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.classes(table(spark, folder, "documents"), size=3, distance=2)
 
@@ -58,6 +62,7 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_passage_chains": op1_passage_chains,
     "op2_simhash_variants": op2_simhash_variants,
     "op3_decontaminate": op3_decontaminate,
     "op4_packing": op4_packing,
