@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysift.llm import decontaminate, encode, licenses, packing, passages, quality, secrets, simhash, warc, wavelet
+from skysift.llm import decontaminate, encode, licenses, packing, passages, quality, secrets, simhash, suffix_dedup, warc, wavelet
 from skysift.llm.common import table, texts
 
 
@@ -43,6 +43,10 @@ def op5_secret_ledger(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, folder, "documents"), length=50)
+
+
 def op7_quality_trees(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return quality.judge(docs, quality.fit_tables(spark, folder, docs))
@@ -67,6 +71,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_packing": op4_packing,
     "op5_secret_ledger": op5_secret_ledger,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_quality_trees": op7_quality_trees,
     "op8_wavelet_tokens": op8_wavelet_tokens,
     "op9_warc_index": op9_warc_index,
