@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,11 +41,11 @@ def confidence_gate_points(points: DataFrame, conf: float = 0.5, floor: int = 10
 def cap_points(points: DataFrame, n: int, seed: int = 7, key: str = "point_id") -> DataFrame:
     """``n`` points of each scene without replacement, the same for a given seed.
 
-    Points are ranked by a hash; the hash range is cut into blocks, so no task
-    sorts a whole scene.
+    Points are ranked by the MD5 of scene, point and seed; the hash range is cut
+    into blocks, so no task sorts a whole scene.
     """
-    hashed = points.withColumn("_hash", F.xxhash64("scene_id", key, F.lit(seed)))
-    block = F.shiftright("_hash", 52)
+    hashed = points.withColumn("_hash", F.md5(F.concat_ws(":", "scene_id", key, F.lit(seed))))
+    block = F.conv(F.substring("_hash", 1, 3), 16, 10).cast("long")
     ranked = numbered(hashed, ["scene_id"], block, [F.col("_hash"), F.col(key)], "_rank")
     return ranked.filter(F.col("_rank") <= n).drop("_rank", "_hash")
 
@@ -250,14 +252,21 @@ def cluster_filter(clustered: DataFrame, min_points: int = 50, min_share: float
     return chosen.unionByName(untouched)
 
 
+def _beyond(points: DataFrame, least: int, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Apply a stage to scenes of more than ``least`` points; smaller ones pass as they are."""
+    rich = points.groupBy("scene_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > least).select("scene_id")
+    done = stage(points.join(rich, "scene_id", "left_semi"))
+    return done.unionByName(points.join(rich, "scene_id", "left_anti").select(*done.columns))
+
+
 def filter_cloud(points: DataFrame, rules: CloudRules = CloudRules()) -> dict[str, DataFrame]:
     """All filter stages in order; each stage feeds the next."""
     gated = cut(confidence_gate_points(points, rules.conf))
     sizes = cut(effective_sizes(gated, rules))
     thin = cut(voxel_downsample(gated, sizes))
     with_cell = thin.join(sizes.select("scene_id", "voxel"), "scene_id")
-    steady = cut(statistical_outliers(with_cell, rules.sor_k, rules.sor_ratio, F.col("voxel") * 5.0))
-    dense = cut(radius_outliers(steady, sizes, rules.ror_points))
+    steady = cut(_beyond(with_cell, rules.sor_k, lambda p: statistical_outliers(p, rules.sor_k, rules.sor_ratio, F.col("voxel") * 5.0)))
+    dense = cut(_beyond(steady, rules.ror_points, lambda p: radius_outliers(p, sizes, rules.ror_points)))
     clustered = dbscan(dense, F.col("voxel") * 5.0, rules.cluster_min)
     final = cut(cluster_filter(clustered))
     return {"raw": points, "after_confidence": gated, "after_voxel": thin, "after_sor": steady, "after_ror": dense, "after_dbscan": final}

@@ -288,7 +288,11 @@ def segment_with(pixels: DataFrame, fn: Callable, schema: StructType | str) -> D
     return pixels.groupBy("mission_id", "frame_idx").applyInPandas(fn, schema)
 
 
-def infer_mission_with(frames: DataFrame, fn: Callable, schema: StructType | str, window: int = 256) -> DataFrame:
-    """Run a user's multi-view model over windows of at most ``window`` frame indices."""
-    cut_frames = frames.withColumn("window_no", F.floor(F.col("frame_idx") / window))
-    return cut_frames.groupBy("mission_id", "window_no").applyInPandas(fn, schema)
+def infer_mission_with(frames: DataFrame, fn: Callable, schema: StructType | str, window: int | None = None) -> DataFrame:
+    """Run a user's multi-view model once per mission, on frames that a selection has bounded (see ``uniform_subsample``).
+
+    With ``window`` a mission is cut into stretches of so many frame indices, for models that work on such.
+    """
+    if window is None:
+        return frames.groupBy("mission_id").applyInPandas(fn, schema)
+    return frames.groupBy("mission_id", F.floor(F.col("frame_idx") / window)).applyInPandas(fn, schema)

@@ -479,6 +479,17 @@ def person_context(
         return F.when(~wet, cases[0]).when(stranded, cases[1]).when(isolated, cases[2]).otherwise(cases[3])
 
     percent = half_even(ratio * 100.0, 1)
+    near, share = fixed(d, 0), fixed(ratio * 100.0, 0)
+    # Fixed texts: they must equal the published ones.
+    evidence = pick(
+        "Person observed in dry environment with no significant floodwater detected.",
+        F.when(
+            up,
+            F.concat(F.lit("Person is isolated on an elevated structure surrounded by floodwater ("), share, F.lit("% water perimeter coverage; distance to water: "), near, F.lit("px).")),
+        ).otherwise(F.concat(F.lit("Person is located in/adjacent to floodwater ("), share, F.lit("% water contact) with restricted dry ground access."))),
+        F.concat(F.lit("Person detected within "), near, F.lit("px of floodwater with potential access route.")),
+        F.concat(F.lit("Person observed on accessible dry ground ("), near, F.lit("px from floodwater).")),
+    )
     return joined.withColumns(
         {
             "classification": pick("NORMAL_PERSON", "POTENTIAL_STRANDED_PERSON", "POTENTIAL_ISOLATED_PERSON", "NORMAL_PERSON"),
@@ -490,6 +501,7 @@ def person_context(
             "elevation_context": F.when(wet & up, F.lit("ELEVATED_STRUCTURE")).otherwise(F.lit("GROUND_LEVEL")),
             "elevation_relative_m": F.when(wet & up, F.lit(2.0)).otherwise(F.lit(0.0)),
             "isolation_score": F.when(wet, score).otherwise(F.lit(0.0)),
+            "evidence": evidence,
         }
     ).drop("_d", "_ratio", "_up", "_wet")
 

@@ -19,10 +19,10 @@ def reject_reason(frames: DataFrame, rules: FrameRules = FrameRules()) -> DataFr
     """First failed quality criterion of a frame with its value, null when it passes."""
     percent = lambda c: fixed(F.col(c) * 100.0, 1)
     reason = (
-        F.when(F.col("sharpness") < rules.min_sharpness, F.lit("Blurry"))
+        F.when(F.col("sharpness") < rules.min_sharpness, F.concat(F.lit("Blurry (sharpness: "), fixed(F.col("sharpness"), 2), F.lit(f" < {rules.min_sharpness:.1f})")))
         .when(F.col("underexposed_ratio") > rules.max_under, F.concat(F.lit("Underexposed ("), percent("underexposed_ratio"), F.lit("%)")))
         .when(F.col("overexposed_ratio") > rules.max_over, F.concat(F.lit("Overexposed ("), percent("overexposed_ratio"), F.lit("%)")))
-        .when(F.col("mean_brightness") < rules.min_brightness, F.lit("Too dark"))
+        .when(F.col("mean_brightness") < rules.min_brightness, F.concat(F.lit("Too dark (brightness: "), fixed(F.col("mean_brightness"), 2), F.lit(")")))
         .when(F.col("sky_ratio") > rules.max_sky, F.concat(F.lit("Sky dominant ("), percent("sky_ratio"), F.lit("%)")))
     )
     return frames.withColumn("reject_reason", reason)

@@ -182,11 +182,16 @@ def fuse_tracks(person: DataFrame) -> DataFrame:
     )
 
 
+def _number(name: str) -> Column:
+    """The last number in an id, as a number: #9 stands before #10."""
+    return F.nullif(F.regexp_extract(name, r"(\d+)\D*$", 1), F.lit("")).cast("long")
+
+
 def order_targets(targets: DataFrame) -> DataFrame:
-    """Rank of each target in its mission: state, priority, isolation."""
+    """Rank of each target in its mission: state, priority, isolation, then the number in its id (first seen first)."""
     state, priority = _place(F.col("detection_state"), STATES), _place(F.col("rescue_priority"), PRIORITIES)
     block = state * 4 + priority
-    order = [state, priority, F.col("isolation_score").desc(), F.col("target_id")]
+    order = [state, priority, F.col("isolation_score").desc(), _number("target_id"), F.col("target_id")]
     return numbered(targets, ["mission_id"], block, order, "target_rank")
 
 
@@ -246,6 +251,12 @@ def rank_priorities(person: DataFrame) -> DataFrame:
     return rank_by_score(cut(score_people(person)))
 
 
+def representative(seen: DataFrame, keys: list[str]) -> DataFrame:
+    """Detections of the highest and the lowest confidence of each key; of equal ones the smaller id."""
+    best, worst = F.struct(F.col("conf"), -F.col("det_id")), F.struct("conf", "det_id")
+    return seen.groupBy(*keys).agg(F.max_by("det_id", best).alias("best_det"), F.min_by("det_id", worst).alias("worst_det"))
+
+
 def top_k(people: DataFrame, k: int = 5) -> DataFrame:
     order = [F.col("priority_score").desc(), F.col("frame_idx"), F.col("det_id")]
     return top_rows(people, ["mission_id"], order, k)

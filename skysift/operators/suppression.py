@@ -3,7 +3,8 @@
 Ordinary frames run as one array fold per (mission, frame, pool).  A pool with
 more boxes than ``limit`` never meets in one task: it is settled in rounds, where
 a box is kept once it is the best of its grid neighbourhood and then removes the
-boxes it overlaps.  Both give the greedy result.
+boxes it overlaps.  Both give the greedy result.  Detection ids need to be unique
+within a frame only.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ def nms(det: DataFrame, iou: float = 0.45, person_iou: float = 0.40, limit: int
     hot = cut(hot)
     small = _fold(pooled.join(hot, GROUP, "left_anti"), iou, person_iou)
     kept = _rounds(pooled.join(hot, GROUP, "left_semi"), iou, person_iou)
-    large = pooled.join(kept.select("det_id"), "det_id", "left_semi").select(*small.columns)
+    large = pooled.join(kept, [*GROUP, "det_id"], "left_semi").select(*small.columns)
     return small.unionByName(large).drop("_person")
 
 
@@ -109,10 +110,10 @@ def _rounds(pooled: DataFrame, iou: float, person_iou: float) -> DataFrame:
             _grids(waiting, bar, False)
             .join(near, slots)
             .filter(overlap_plus_one(a, b) > _bar(iou, person_iou))
-            .select("_score")
+            .select(*GROUP, "_score")
             .distinct()
         )
-        done = beaten.unionByName(winners.select("_score"))
-        waiting = cut(waiting.join(done, "_score", "left_anti"))
+        done = beaten.unionByName(winners.select(*GROUP, "_score"))
+        waiting = cut(waiting.join(done, [*GROUP, "_score"], "left_anti"))
         kept = winners if kept is None else kept.unionByName(winners)
-    return kept.select(F.col("_score.det_id").alias("det_id"))
+    return kept.select(*GROUP, F.col("_score.det_id").alias("det_id"))

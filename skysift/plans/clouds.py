@@ -235,7 +235,11 @@ def _(v):
     return cloud.stage_counts(cloud.filter_cloud(v.pts))
 
 
-@query("h02_cap_points")
+@query(
+    "h02_cap_points", "pts",
+    """rk AS (SELECT scene_id, point_id, row_number() OVER (PARTITION BY scene_id ORDER BY md5(scene_id || ':' || point_id || ':7'), point_id) AS rank FROM pts)
+    SELECT scene_id, point_id FROM rk WHERE rank <= 300""",
+)
 def _(v):
     return cloud.cap_points(v.pts, 300).select("scene_id", "point_id")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skysift.functions import boxes
@@ -162,6 +163,21 @@ def _(v):
     return nms(v.det).select("mission_id", "frame_idx", "det_id")
 
 
+@query(
+    "k01_nms_dense", "det",
+    f"""RECURSIVE dense AS (SELECT mission_id, frame_idx // 5 AS frame_idx, row_number() OVER (PARTITION BY mission_id, frame_idx // 5 ORDER BY det_id) AS det_id, conf, raw_class, x1, y1, x2, y2 FROM det),
+    {nms_sql('dense')} SELECT mission_id, frame_idx, det_id FROM kept""",
+)
+def _(v):
+    """Crowded frames, most settled in rounds; ids repeat from frame to frame and from mission to mission."""
+    own = Window.partitionBy("mission_id", F.floor(F.col("frame_idx") / 5)).orderBy("det_id")
+    dense = v.det.select(
+        "mission_id", F.floor(F.col("frame_idx") / 5).alias("frame_idx"), F.row_number().over(own).cast("long").alias("det_id"),
+        "conf", "raw_class", "x1", "y1", "x2", "y2",
+    )
+    return nms(dense, limit=30).select("mission_id", "frame_idx", "det_id")
+
+
 @query(
     "s01_union_detections",
     "det",

@@ -265,7 +265,12 @@ CTX = f"""{PP}, {NEAR}, rg AS (SELECT a.det_id, avg(CAST(b.is_water AS INT)) AS
     CASE WHEN wet THEN {R('d', 1)} ELSE 999e0 END AS flood_distance_px, CASE WHEN wet THEN {R('ratio * 100e0', 1)} ELSE 0e0 END AS surrounding_flood_pct,
     CASE WHEN wet THEN {R('d * 0.05e0', 2)} ELSE 99e0 END AS nearest_water_distance_m, CASE WHEN wet AND up THEN 'ELEVATED_STRUCTURE' ELSE 'GROUND_LEVEL' END AS elevation_context,
     CASE WHEN wet AND up THEN 2e0 ELSE 0e0 END AS elevation_relative_m,
-    CASE WHEN wet THEN {R('0.45e0 * least(1e0, greatest(0e0, 1e0 - d / 120e0)) + 0.35e0 * least(1e0, greatest(0e0, ratio * 1.5e0)) + 0.2e0 * CASE WHEN up THEN 0.85e0 ELSE 0.3e0 END', 3)} ELSE 0e0 END AS isolation_score FROM kx)"""
+    CASE WHEN wet THEN {R('0.45e0 * least(1e0, greatest(0e0, 1e0 - d / 120e0)) + 0.35e0 * least(1e0, greatest(0e0, ratio * 1.5e0)) + 0.2e0 * CASE WHEN up THEN 0.85e0 ELSE 0.3e0 END', 3)} ELSE 0e0 END AS isolation_score,
+    CASE k WHEN 'dry' THEN 'Person observed in dry environment with no significant floodwater detected.'
+      WHEN 'a' THEN CASE WHEN up THEN 'Person is isolated on an elevated structure surrounded by floodwater (' || {FX('ratio * 100e0', 0)} || '% water perimeter coverage; distance to water: ' || {FX('d', 0)} || 'px).'
+        ELSE 'Person is located in/adjacent to floodwater (' || {FX('ratio * 100e0', 0)} || '% water contact) with restricted dry ground access.' END
+      WHEN 'b' THEN 'Person detected within ' || {FX('d', 0)} || 'px of floodwater with potential access route.'
+      ELSE 'Person observed on accessible dry ground (' || {FX('d', 0)} || 'px from floodwater).' END AS evidence FROM kx)"""
 
 
 @query("j09_person_context", "rbox pix", f"{CTX} SELECT * EXCLUDE (mission_id, frame_idx) FROM ctx")
@@ -273,7 +278,7 @@ def _(v):
     out = flood.person_context(v.rbox.filter("raw_class = 'person'"), v.pix, (8, 8), 4)
     return out.select(
         "det_id", "classification", "flood_proximity", "accessible_dry_area", "flood_distance_px", "surrounding_flood_pct",
-        "nearest_water_distance_m", "elevation_context", "elevation_relative_m", "isolation_score",
+        "nearest_water_distance_m", "elevation_context", "elevation_relative_m", "isolation_score", "evidence",
     )
 
 

@@ -121,8 +121,8 @@ def judged(v):
 
 
 JUDGED = f"""{QUALITY}, qm AS (SELECT * REPLACE (CASE WHEN mission_id % 3 = 0 THEN 0e0 ELSE sharpness END AS sharpness) FROM ql),
-  jd AS (SELECT *, CASE WHEN sharpness < 20000 THEN 'Blurry' WHEN underexposed_ratio > 0.25e0 THEN 'Underexposed (' || {FX('underexposed_ratio * 100e0', 1)} || '%)'
-    WHEN overexposed_ratio > 0.02e0 THEN 'Overexposed (' || {FX('overexposed_ratio * 100e0', 1)} || '%)' WHEN mean_brightness < 15 THEN 'Too dark'
+  jd AS (SELECT *, CASE WHEN sharpness < 20000 THEN 'Blurry (sharpness: ' || {FX('sharpness', 2)} || ' < 20000.0)' WHEN underexposed_ratio > 0.25e0 THEN 'Underexposed (' || {FX('underexposed_ratio * 100e0', 1)} || '%)'
+    WHEN overexposed_ratio > 0.02e0 THEN 'Overexposed (' || {FX('overexposed_ratio * 100e0', 1)} || '%)' WHEN mean_brightness < 15 THEN 'Too dark (brightness: ' || {FX('mean_brightness', 2)} || ')'
     WHEN sky_ratio > 0.03e0 THEN 'Sky dominant (' || {FX('sky_ratio * 100e0', 1)} || '%)' END AS reject_reason FROM qm)"""
 
 

@@ -156,7 +156,7 @@ PT = """kept AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY poi
 )
 def _(v):
     folder = shared_folder(v.spark, "text")
-    sinks.write_colmap_text(v.pts, v.cam, folder, cap=10_000_000)
+    sinks.write_colmap_text(v.pts, v.cam, folder)
 
     def part(name: str, key: str) -> DataFrame:
         rows = v.spark.read.schema(f"value string, {key} long").text(f"{folder}/{name}")

@@ -80,7 +80,7 @@ def _(v):
     "h03_order_targets", "person",
     f"""{FUSED}, o AS (SELECT *, list_position(['VALIDATED RESCUE TARGET', 'POTENTIAL STRANDED PERSON', 'PERSON REPROJECTION VALID', 'PERSON 3D LOCALIZED', 'PERSON 3D CANDIDATE', 'PERSON CONTEXTUALIZED'], detection_state) AS a,
       list_position(['HIGH', 'MEDIUM', 'LOW'], rescue_priority) AS b FROM fused)
-    SELECT mission_id, target_id, detection_state, rescue_priority, row_number() OVER (PARTITION BY mission_id ORDER BY a, b, isolation_score DESC, target_id) AS target_rank FROM o""",
+    SELECT mission_id, target_id, detection_state, rescue_priority, row_number() OVER (PARTITION BY mission_id ORDER BY a, b, isolation_score DESC, CAST(nullif(regexp_extract(target_id, '(\\d+)\\D*$', 1), '') AS BIGINT), target_id) AS target_rank FROM o""",
 )
 def _(v):
     return rescue.order_targets(targets(v)).select("mission_id", "target_id", "detection_state", "rescue_priority", "target_rank")
@@ -163,8 +163,7 @@ def _(v):
     "SELECT mission_id, track_id, arg_max(det_id, conf * 1e9 - det_id) AS best_det, arg_min(det_id, conf * 1e9 + det_id) AS worst_det FROM trk GROUP BY 1, 2",
 )
 def _(v):
-    best, worst = F.struct(F.col("conf"), -F.col("det_id")), F.struct("conf", "det_id")
-    return v.trk.groupBy("mission_id", "track_id").agg(F.max_by("det_id", best).alias("best_det"), F.min_by("det_id", worst).alias("worst_det"))
+    return rescue.representative(v.trk, ["mission_id", "track_id"]).select("mission_id", "track_id", "best_det", "worst_det")
 
 
 # --------------------------------------------------------------- scene risk

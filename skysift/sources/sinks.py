@@ -120,9 +120,9 @@ def image_lines(cameras: DataFrame) -> DataFrame:
     return placed.select("mission_id", "id", F.concat(line, F.lit("\n")).alias("value"))
 
 
-def point_lines(points: DataFrame, cap: int = 200_000, blocks: int = 1024) -> DataFrame:
-    """``id x y z r g b 0.5`` per point, at most ``cap`` of each scene."""
-    kept = cap_points(points, cap)
+def point_lines(points: DataFrame, cap: int | None = None, blocks: int = 1024) -> DataFrame:
+    """``id x y z r g b 0.5`` per point; with ``cap`` a sample of at most so many of each scene."""
+    kept = points if cap is None else cap_points(points, cap)
     span = kept.groupBy("scene_id").agg(F.min("point_id").alias("_lo"), F.max("point_id").alias("_hi"))
     ranged = kept.join(span, "scene_id")
     block = F.floor((F.col("point_id") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * blocks)
@@ -137,7 +137,7 @@ def _write_lines(lines: DataFrame, key: str, folder: str) -> None:
     ordered.select(key, "value").write.mode("overwrite").partitionBy(key).text(folder)
 
 
-def write_colmap_text(points: DataFrame, cameras: DataFrame, folder: str, cap: int = 200_000) -> None:
+def write_colmap_text(points: DataFrame, cameras: DataFrame, folder: str, cap: int | None = None) -> None:
     """Text reconstruction: cameras, images and points, one folder per scene."""
     _write_lines(camera_lines(cameras), "mission_id", f"{folder}/cameras")
     _write_lines(image_lines(cameras), "mission_id", f"{folder}/images")
