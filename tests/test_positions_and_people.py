@@ -172,3 +172,17 @@ def test_quaternion_is_unit(spark):
     )
     q = to_quaternion(turn).first()
     assert math.isclose(q.qw**2 + q.qx**2 + q.qy**2 + q.qz**2, 1.0) and math.isclose(abs(q.qz), 1.0)
+
+
+def test_targets_of_equal_state_keep_the_order_of_their_numbers(spark):
+    rows = [(1, f"PERSON #{i}", "PERSON LOCALIZED", "LOW", 0.5) for i in range(1, 131)]
+    df = spark.createDataFrame(rows, "mission_id long, target_id string, detection_state string, rescue_priority string, isolation_score double")
+    got = [r.target_id for r in rescue.order_targets(df).orderBy("target_rank").collect()]
+    assert got == [r[1] for r in rows]
+
+
+def test_small_scenes_pass_the_outlier_stages(spark):
+    rows = [(1, i, float(i), 0.0, 0.0) for i in range(8)] + [(2, i, float(i), 0.0, 0.0) for i in range(30)]
+    df = spark.createDataFrame(rows, "scene_id long, point_id long, x double, y double, z double")
+    got = cloud._beyond(df, 10, lambda p: p.limit(0))
+    assert {(r.scene_id, r.point_id) for r in got.collect()} == {(1, i) for i in range(8)}

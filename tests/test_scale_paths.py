@@ -51,6 +51,15 @@ def test_suppression_fold_and_rounds_match_greedy(spark):
     assert {r.det_id for r in nms(det, limit=10).collect()} == want
 
 
+def test_suppression_with_ids_that_repeat_between_missions(spark):
+    rows = [(m, f, i, *rest) for m in (1, 2) for f in (0, 1) for (_, _, i, *rest) in crowd(20, copies=2, seed=10 * m + f)]
+    det = spark.createDataFrame(rows, BOXES)
+    keys = lambda df: {(r.mission_id, r.frame_idx, r.det_id) for r in df.collect()}
+    whole = keys(nms(det))
+    assert keys(nms(det, limit=2)) == whole
+    assert {(m, f) for m, f, _ in whole} == {(1, 0), (1, 1), (2, 0), (2, 1)}
+
+
 def test_suppression_of_known_pairs(spark):
     rows = [
         (1, 0, 1, "car", 0.85, 100, 100, 300, 300), (1, 0, 2, "person", 0.28, 120, 120, 140, 160),
