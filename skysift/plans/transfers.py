@@ -6,6 +6,7 @@ is compared is what was written.
 
 from __future__ import annotations
 
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,31 @@ from skysift.streaming import incidents as stream_incidents
 from skysift.streaming import rollup, tracker
 
 
+@query(
+    "a01_read_frames", "cam",
+    """f AS (SELECT mission_id, frame_idx, printf('%06d', (frame_idx * 37) % 1000003) AS stem, CASE WHEN frame_idx % 9 = 0 THEN 'MP4' WHEN frame_idx % 11 = 0 THEN 'txt' ELSE 'jpg' END AS ext FROM cam)
+    SELECT 'mission_' || mission_id AS mission, CASE ext WHEN 'MP4' THEN 'clip' ELSE 'image' END AS kind, frame_idx % 5 + 1 AS size_bytes,
+      printf('frame_%05d.jpg', row_number() OVER (PARTITION BY mission_id ORDER BY stem) - 1) AS name FROM f WHERE ext <> 'txt'""",
+)
+def _(v):
+    """A file for each frame of the events, in folders by mission, listed again."""
+    folder = shared_folder(v.spark, "frames")
+    frames = v.cam.select("mission_id", "frame_idx")
+    frames.mapInPandas(lambda batches: _put_frames(batches, folder), "mission_id long").write.format("noop").mode("overwrite").save()
+    return readers.read_frames(v.spark, folder).select("mission", "kind", "size_bytes", "name")
+
+
+def _put_frames(batches, folder: str):
+    store, root = fs.FileSystem.from_uri(folder)
+    for batch in batches:
+        for mission, frame in zip(batch["mission_id"].tolist(), batch["frame_idx"].tolist(), strict=True):
+            suffix = "MP4" if frame % 9 == 0 else "txt" if frame % 11 == 0 else "jpg"
+            store.create_dir(f"{root}/mission_{mission}", recursive=True)
+            with store.open_output_stream(f"{root}/mission_{mission}/{frame * 37 % 1000003:06d}.{suffix}") as out:
+                out.write(b"x" * (frame % 5 + 1))
+        yield batch[["mission_id"]]
+
+
 @query(
     "a02_sample_folder", "cam",
     """n AS (SELECT cam.mission_id, cam.frame_idx, count(*) OVER (PARTITION BY mission_id) AS n FROM cam)
