@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skysift.lineage import shared_folder
+from skysift.llm.common import materialize
 
 FINDINGS = "array<struct<kind:string,start:long,end:long>>"
 
@@ -150,6 +151,7 @@ def findings_by_path(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] =
             ).alias("found"),
         )
     )
+    found = materialize(found, "ledger-findings")  # on its own, the join can split a blob that very many paths hold
     findings = F.transform("found", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     paths = _addressed(versions).select("path", "version", "blob")
     return paths.join(found, F.col("blob") == F.col("address"), "left").select("path", "version", "blob", findings.alias("findings"))
