@@ -108,8 +108,8 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int) -> DataFram
         enc, end = encode.encoder(vocabulary), end_id.to_bytes(4, "little")
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"].astype("object").where(batch["doc_id"].notna(), None), batch["text"], strict=True):
-                ids = enc.ids(text) + end
+            for doc_id, ids in encode.encoded(enc, batch):
+                ids += end
                 for k, (start, length) in enumerate(cut_points(len(ids) // 4, size)):
                     rows.append((doc_id, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), part, seen[length]))
                     seen[length] += 1

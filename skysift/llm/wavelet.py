@@ -169,10 +169,10 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, shard_tokens: in
             return row
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].astype("object").where(batch["doc_id"].notna(), None), batch["text"], strict=True):
-                own = enc.ids(text) + end
+            for doc_id, own in encode.encoded(enc, batch):
+                own += end
                 ids.append(own)
-                doc_ids.append(None if doc_id is None else int(doc_id))
+                doc_ids.append(doc_id)
                 lengths.append(len(own) // 4)
                 total += lengths[-1]
                 if total >= shard_tokens:
