@@ -159,4 +159,7 @@ def read_records(selected: DataFrame, gap: int = 1 << 16, most: int = 1 << 23, s
             yield pd.DataFrame(out, columns=[x.split()[0] for x in RECORDS.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
 
     place = (F.col("offset") / stretch).cast("long")
-    return selected.select("file", "offset", "length").repartition("file", place).sortWithinPartitions("file", "offset").mapInPandas(run, RECORDS)
+    rows = selected.select("file", "offset", "length")
+    size = rows.agg(F.sum("length")).first()[0] or 0
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // stretch))  # rows stand for bytes elsewhere
+    return rows.repartition(tasks, "file", place).sortWithinPartitions("file", "offset").mapInPandas(run, RECORDS)

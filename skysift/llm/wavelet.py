@@ -211,5 +211,6 @@ def read_tokens(index: DataFrame) -> DataFrame:
                     "ids_crc32": [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)],
                 })
 
-    few = shards.select("file", "base", "inside").repartition(F.col("file"))
+    tasks = max(1, index.count() // 2)  # a row stands for a whole file, so rows, not bytes, are dealt
+    few = shards.select("file", "base", "inside").repartition(tasks, "file")
     return few.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
