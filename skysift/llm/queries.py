@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysift.llm import decontaminate, encode, licenses, packing, passages, quality, secrets, simhash, suffix_dedup, warc, wavelet
+from skysift.llm import (
+    decontaminate,
+    encode,
+    kernels,
+    laesa,
+    licenses,
+    orchard,
+    packing,
+    passages,
+    quality,
+    secrets,
+    simhash,
+    suffix_dedup,
+    warc,
+    wavelet,
+)
 from skysift.llm.common import table, texts
 
 
@@ -65,6 +80,19 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, folder, "documents"))
 
 
+def op11_orchard_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return orchard.with_label_errors(*orchard.compress(table(spark, folder, "embeddings"), parts=16, entries=64, rounds=2))
+
+
+def op12_language_kernels(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return kernels.identify(docs, kernels.fit(docs))
+
+
+def op13_laesa_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return laesa.cluster(table(spark, folder, "embeddings"), k=40, rounds=5, dim=64, seed=2)
+
+
 QUERIES = {
     "op1_passage_chains": op1_passage_chains,
     "op2_simhash_variants": op2_simhash_variants,
@@ -76,5 +104,8 @@ QUERIES = {
     "op8_wavelet_tokens": op8_wavelet_tokens,
     "op9_warc_index": op9_warc_index,
     "op10_license_scan": op10_license_scan,
+    "op11_orchard_codes": op11_orchard_codes,
+    "op12_language_kernels": op12_language_kernels,
+    "op13_laesa_clusters": op13_laesa_clusters,
 }
 ORACLES: dict[str, str] = {}
