@@ -1,19 +1,20 @@
-"""Ordered folds over groups, cut into blocks.
+"""Ordered walks over groups.
 
-A fold walks the rows of a key in order with a small state.  Rows are cut into
-blocks by a monotone block number; every block folds in parallel from the state
-its predecessor ended with, and blocks whose entry state changed fold again until
-none does.  A key with one block needs one pass and no action beyond the check.
+``ordered_walk`` streams the sorted rows of each key past a small state, so a key of any
+length needs one pass and no more memory than its state.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skysift.lineage import cut, fan_out, is_empty
+from skysift.lineage import fan_out
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -21,63 +22,52 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def block_fold(
-    df: DataFrame,
-    keys: list[str],
-    block: Column,
-    order: list[str],
-    items: list[str],
-    state: str,
-    event: str,
-    step: Callable[[Column, Column], Column],
+class Walker(Protocol):
+    """State of one key; both methods return finished output rows as tuples."""
+
+    def take(self, rows: dict[str, np.ndarray]) -> list[tuple]: ...
+
+    def close(self) -> list[tuple]: ...
+
+
+def edges(columns: dict[str, np.ndarray], names: list[str], size: int) -> list[int]:
+    """Places where a run of equal values of ``names`` begins, and the end."""
+    new = np.zeros(size, bool)
+    for name in names:
+        new[1:] |= columns[name][1:] != columns[name][:-1]
+    return [0, *np.flatnonzero(new).tolist(), size]
+
+
+def ordered_walk(
+    df: DataFrame, keys: list[str], order: list[Column], start: Callable[[tuple], Walker], schema: str
 ) -> DataFrame:
-    """Fold ``step(state, item) -> struct(s, e)`` over each key.
+    """Walk the rows of every key in order; ``start(key)`` makes the state of a key.
 
-    Returns ``keys, _block, events, state`` with one row per block; ``events`` has
-    one entry per item and ``state`` is the exit state of the block.
+    A walker gets the rows of its key in pieces, cut wherever an Arrow batch ends.  ``keys`` and the columns that a walker
+    reads as numbers must not be null, and ``order`` must be total for results that do not depend on the plan.
     """
-    slots = [*keys, "_block"]
-    packed = F.struct(*[F.col(c) for c in [*order, *[i for i in items if i not in order]]])
-    blocks = (
-        fan_out(df.withColumn("_block", block), *slots).groupBy(*slots).agg(F.array_sort(F.collect_list(packed)).alias("_items"))
-    )
-    none = F.lit(None).cast(state)
-
-    def run(rows: DataFrame, entry: Column) -> DataFrame:
-        start = F.struct(entry.alias("s"), F.array().cast(f"array<{event}>").alias("e"))
-
-        def advance(acc: Column, item: Column) -> Column:
-            return let(
-                step(acc["s"], item),
-                lambda out: F.struct(out["s"].alias("s"), F.concat(acc["e"], F.array(out["e"])).alias("e")),
-            )
-
-        folded = rows.withColumn("_out", F.aggregate("_items", start, advance))
-        return folded.select(*slots, F.col("_out.e").alias("events"), F.col("_out.s").alias("state"))
-
-    spans = df.select(*keys, block.alias("_block")).groupBy(*keys).agg(
-        F.min("_block").alias("lo"), F.max("_block").alias("hi")
-    )
-    if is_empty(spans.filter(F.col("lo") < F.col("hi"))):
-        return run(blocks, none)
-
-    blocks = cut(blocks)
-    follow = cut(
-        blocks.select(*slots).withColumn("_next", F.lead("_block").over(Window.partitionBy(*keys).orderBy("_block")))
-    ).filter(F.col("_next").isNotNull())
-
-    def entries(done: DataFrame) -> DataFrame:
-        exits = done.select(*slots, "state").join(follow, slots)
-        return exits.select(*keys, F.col("_next").alias("_block"), F.col("state").alias("_entry"))
-
-    done = cut(run(blocks, none))
-    used = entries(done).withColumn("_entry", none)
-    while True:
-        wanted = cut(entries(done))
-        before = used.select(*slots, F.col("_entry").alias("_before"))
-        stale = cut(wanted.join(before, slots).filter(~F.col("_entry").eqNullSafe(F.col("_before"))).select(*slots))
-        if is_empty(stale):
-            return done
-        again = run(blocks.join(wanted.join(stale, slots, "left_semi"), slots), F.col("_entry"))
-        done = cut(done.join(stale, slots, "left_anti").unionByName(again))
-        used = wanted
+    names = [part.strip().split(" ")[0] for part in schema.split(",")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key: tuple | None = None
+        walker: Walker | None = None
+        for pdf in batches:
+            out: list[tuple] = []
+            columns = {c: pdf[c].to_numpy() for c in pdf.columns}
+            cuts = edges(columns, keys, len(pdf))
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                if low == high:
+                    continue
+                here = tuple(columns[k][low] for k in keys)
+                if walker is None or here != key:
+                    if walker is not None:
+                        out += walker.close()
+                    key, walker = here, start(here)
+                out += walker.take({c: v[low:high] for c, v in columns.items()})
+            if out:
+                yield pd.DataFrame.from_records(out, columns=names)
+        if walker is not None and (out := walker.close()):
+            yield pd.DataFrame.from_records(out, columns=names)
+
+    sorted_rows = fan_out(df, *keys).sortWithinPartitions(*keys, *order)
+    return sorted_rows.mapInPandas(run, schema)

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from skysift.config import FrameRules
 from skysift.functions.numeric import fixed, settled
 from skysift.lineage import cut
-from skysift.operators.folds import block_fold, let
 from skysift.operators.ordering import BLOCK, numbered, top_rows
-from skysift.operators.raster import cosine
+from skysift.operators.successors import verdicts
 
 DEDUP_BLOCK = 256
 
@@ -51,34 +50,13 @@ def dedup_frames(
 
     A duplicate that is a quarter sharper replaces the kept frame.  Reads
     ``fingerprint, sharpness``; returns the outcome and the similarity of every
-    frame: ``kept``, ``replaced`` or ``duplicate``.
+    frame: ``kept``, ``replaced`` or ``duplicate``.  A frame without a fingerprint is like
+    no other.  ``block`` frames are looked at together (``successors``).
     """
-    state = "struct<at:bigint,fingerprint:array<double>,sharpness:double>"
-    event = "struct<at:bigint,verdict:string,similarity:double,against:bigint>"
-
-    def step(last: Column, x: Column) -> Column:
-        def judge(sim: Column) -> Column:
-            twin = last.isNotNull() & (sim > threshold)
-            sharper = x["sharpness"] > last["sharpness"] * 1.25
-            verdict = (
-                F.when(last.isNull() | ~(sim > threshold), F.lit("kept"))
-                .when(sharper, F.lit("replaces"))
-                .otherwise(F.lit("duplicate"))
-            )
-            here = F.struct(x[order].alias("at"), x["fingerprint"].alias("fingerprint"), x["sharpness"].alias("sharpness"))
-            return F.struct(
-                F.when(twin & ~sharper, last).otherwise(here).alias("s"),
-                F.struct(
-                    x[order].alias("at"), verdict.alias("verdict"), sim.alias("similarity"), last["at"].alias("against")
-                ).alias("e"),
-            )
-
-        return let(cosine(last["fingerprint"], x["fingerprint"]), judge)
-
-    folded = block_fold(
-        frames, ["mission_id"], F.floor(F.col(order) / block), [order], ["fingerprint", "sharpness"], state, event, step
-    )
-    events = cut(folded.select("mission_id", F.explode("events").alias("e")).select("mission_id", "e.*"))
+    placed = numbered(frames, ["mission_id"], F.floor(F.col(order) / BLOCK), [F.col(order)], "pos", start=0)
+    columns = [F.col(order).cast("long").alias("at"), F.col("fingerprint").cast("array<double>").alias("fingerprint")]
+    rows = placed.select(F.col("mission_id").cast("long").alias("mission_id"), F.col("pos").cast("long").alias("pos"), *columns, F.col("sharpness").cast("double").alias("sharpness"))
+    events = cut(verdicts(rows, threshold, block))
     gone = events.filter(F.col("verdict") == "replaces").select(
         "mission_id", F.col("against").alias("at"), F.col("similarity").alias("_by")
     )

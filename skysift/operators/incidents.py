@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from skysift.functions.numeric import fixed, half_even, norm
 from skysift.lineage import cut, is_empty
-from skysift.operators.folds import block_fold, let
+from skysift.operators import merging
 from skysift.operators.ordering import BLOCK, numbered
 from skysift.operators.spatial import cells, components, radius_pairs, ring
+from skysift.sources.versioned import latest
 
-MERGE_BLOCK = 256
 GROUP_LIMIT = 20_000
 
 
@@ -75,60 +75,10 @@ def _split(inc: DataFrame, radius: float, link: Column, limit: int) -> DataFrame
     )
 
 
-# Incident state of the folds: one entry per merged incident.
-MERGED = (
-    "struct<seq:bigint,frame:bigint,frames:array<bigint>,conf:double,x:double,y:double,z:double,"
-    "err:double,link:string,n:bigint>"
-)
-EVENT = "struct<seq:bigint,owner:bigint,rule:string>"
-
-
-def _fold(inc: DataFrame, radius: float, link: Column, limit: int, merge) -> tuple[DataFrame, DataFrame]:
-    """Merged incidents and the owner of every report."""
-    ready = inc.withColumn("_link", link.cast("string"))
-    parts = _split(ready, radius, F.col("_link"), limit)
-    items = ["_link", "confidence", "x", "y", "z", "reprojection_error_px"]
-
-    def step(state: Column, r: Column) -> Column:
-        have = F.coalesce(state, F.array().cast(f"array<{MERGED}>"))
-        here = r["x"].isNotNull() & r["y"].isNotNull() & r["z"].isNotNull()
-        by_link = F.array_position(F.transform(have, lambda e: F.coalesce(e["link"] == r["_link"], F.lit(False))), True)
-        gap = lambda e: norm(*[e[c] - r[c] for c in "xyz"])
-        by_place = F.array_position(
-            F.transform(have, lambda e: F.coalesce(here & e["x"].isNotNull() & (gap(e) < radius), F.lit(False))), True
-        )
-        return let(F.struct(by_link.alias("link"), by_place.alias("place")), lambda hit: merge(have, r, hit, here))
-
-    folded = cut(
-        block_fold(
-            parts, ["mission_id", "type", "_part"], F.floor(F.col("frame_idx") / MERGE_BLOCK), ["frame_idx", "seq"],
-            items, f"array<{MERGED}>", EVENT, step,
-        )
-    )
-    last = folded.groupBy("mission_id", "type", "_part").agg(F.max_by("state", "_block").alias("state"))
-    merged = last.select("mission_id", "type", F.explode("state").alias("m")).select("mission_id", "type", "m.*")
-    owners = folded.select("mission_id", "type", F.explode("events").alias("e")).select("mission_id", "type", "e.*")
-    return merged, owners
-
-
-def _report(r: Column, conf: Column, here: Column) -> Column:
-    at = lambda c: F.when(here, r[c])
-    return F.struct(
-        r["seq"].alias("seq"), r["frame_idx"].alias("frame"), F.array(r["frame_idx"]).alias("frames"), conf.alias("conf"),
-        at("x").alias("x"), at("y").alias("y"), at("z").alias("z"), r["reprojection_error_px"].alias("err"),
-        r["_link"].alias("link"), F.lit(1).cast("long").alias("n"),
-    )
-
-
-def _apply(have: Column, spot: Column, new: Column, change, r: Column, rule: Column) -> Column:
-    """Append a new incident, or change the one at ``spot`` (1-based)."""
-    grown = F.concat(have, F.array(new))
-    edited = F.transform(have, lambda e, i: F.when(i == spot - 1, change(e)).otherwise(e))
-    owner = F.when(spot > 0, F.get(have, (spot - 1).cast("int"))["seq"]).otherwise(r["seq"])
-    return F.struct(
-        F.when(spot > 0, edited).otherwise(grown).alias("s"),
-        F.struct(r["seq"].alias("seq"), owner.alias("owner"), rule.alias("rule")).alias("e"),
-    )
+def _merged(inc: DataFrame, link: Column, radius: float, rule: type[merging.MergeWalk], limit: int) -> DataFrame:
+    parts = _split(inc.withColumn("_link", link.cast("string")), radius, F.col("_link"), limit)
+    # Both uses of the walk's answers read one written copy.
+    return merging.collected(cut(merging.walk(parts, F.col("_link"), radius, rule, ["_part"])))
 
 
 def _numbered_ids(merged: DataFrame, pattern: str) -> DataFrame:
@@ -144,26 +94,7 @@ def merge_incidents(inc: DataFrame, radius: float = 2.0, limit: int = GROUP_LIMI
     A track match unites the frames, keeps the higher confidence and fills a
     missing location; a place match only unites the frames.
     """
-
-    def merge(have: Column, r: Column, hit: Column, here: Column) -> Column:
-        on_track = hit["link"] > 0
-        spot = F.when(on_track, hit["link"]).otherwise(hit["place"])
-
-        def change(e: Column) -> Column:
-            fill = on_track & e["x"].isNull() & here
-            take = lambda c, v: F.when(fill, v).otherwise(e[c])
-            return F.struct(
-                e["seq"].alias("seq"), e["frame"].alias("frame"), merge_frames(e["frames"], F.array(r["frame_idx"])).alias("frames"),
-                F.when(on_track & (r["confidence"] > e["conf"]), r["confidence"]).otherwise(e["conf"]).alias("conf"),
-                take("x", r["x"]).alias("x"), take("y", r["y"]).alias("y"), take("z", r["z"]).alias("z"),
-                take("err", r["reprojection_error_px"]).alias("err"), e["link"].alias("link"), (e["n"] + 1).alias("n"),
-            )
-
-        rule = F.when(on_track, F.lit("track")).when(spot > 0, F.lit("place")).otherwise(F.lit("new"))
-        return _apply(have, spot, _report(r, half_even(r["confidence"], 2), here), change, r, rule)
-
-    merged, _ = _fold(inc, radius, F.col("track_id"), limit, merge)
-    return _finish(_numbered_ids(merged, "INC-%03d"))
+    return finish(_merged(inc, F.col("track_id"), radius, merging.ByTrack, limit), "INC-%03d")
 
 
 def merge_incidents_boost(inc: DataFrame, radius: float = 3.0, limit: int = GROUP_LIMIT) -> DataFrame:
@@ -173,35 +104,13 @@ def merge_incidents_boost(inc: DataFrame, radius: float = 3.0, limit: int = GROU
     ``INCIDENT_nnn``.
     """
     link = F.when(F.col("object_id") != "N/A", F.col("object_id"))
+    return finish(_merged(inc, link, radius, merging.Boosting, limit), "INCIDENT_%03d")
 
-    def merge(have: Column, r: Column, hit: Column, here: Column) -> Column:
-        both = (hit["link"] > 0) & (hit["place"] > 0)
-        spot = F.when(both, F.least(hit["link"], hit["place"])).otherwise(F.greatest(hit["link"], hit["place"]))
 
-        def change(e: Column) -> Column:
-            raised = half_even(F.least(F.lit(0.98), F.greatest(e["conf"], r["confidence"]) + 0.04), 3)
-
-            def moved(conf: Column) -> Column:
-                move = here & (e["x"].isNull() | (r["confidence"] > conf - 0.05))
-                take = lambda c, v: F.when(move, v).otherwise(e[c])
-                return F.struct(
-                    e["seq"].alias("seq"), e["frame"].alias("frame"), merge_frames(e["frames"], F.array(r["frame_idx"])).alias("frames"),
-                    conf.alias("conf"), take("x", r["x"]).alias("x"), take("y", r["y"]).alias("y"), take("z", r["z"]).alias("z"),
-                    take("err", r["reprojection_error_px"]).alias("err"), e["link"].alias("link"), (e["n"] + 1).alias("n"),
-                )
-
-            return let(raised, moved)
-
-        rule = F.when(spot > 0, F.lit("merged")).otherwise(F.lit("new"))
-        return _apply(have, spot, _report(r, half_even(r["confidence"], 3), here), change, r, rule)
-
-    merged, _ = _fold(inc, radius, link, limit, merge)
-    return _finish(_numbered_ids(merged, "INCIDENT_%03d"))
-
-
-def _finish(merged: DataFrame) -> DataFrame:
+def finish(merged: DataFrame, pattern: str) -> DataFrame:
+    """Numbered incidents from the rows of a walk (``merging.collected``)."""
     placed = F.col("x").isNotNull()
-    return merged.select(
+    return _numbered_ids(merged, pattern).select(
         "mission_id", "incident_id", "type", F.col("seq").alias("first_seq"), F.col("link").alias("linked_to"),
         F.col("frames").alias("frame_ids"), F.col("n").alias("observation_count"), F.col("conf").alias("confidence"), "x", "y", "z",
         F.when(placed, F.lit("LOCALIZED_3D")).otherwise(F.lit("UNAVAILABLE")).alias("location_status"),
@@ -220,7 +129,7 @@ DEFAULTS = {
 
 
 def normalize_incidents(merged: DataFrame, reports: DataFrame) -> DataFrame:
-    """Canonical records: merged fields, the rest from the founding report or default."""
+    """Merged incidents with severity, texts and states of the founding report, or their defaults."""
     present = [c for c in DEFAULTS if c in reports.columns]
     first = reports.select("mission_id", F.col("seq").alias("first_seq"), *present)
     joined = merged.join(first, ["mission_id", "first_seq"], "left")
@@ -229,12 +138,44 @@ def normalize_incidents(merged: DataFrame, reports: DataFrame) -> DataFrame:
     )
 
 
+def canonical_records(merged: DataFrame, reports: DataFrame) -> DataFrame:
+    """The canonical record of each merged incident: twenty fields and the mission.
+
+    Confidence, frames and location come from the merge, all else from the founding report where it has the column and a
+    value.  ``summary`` stands for ``evidence`` and ``flood_status`` for ``flood_context`` where only one of the two is
+    known.  ``location_status`` tells whether the founding report was placed; ``location_3d`` may be filled later.
+    """
+    kinds = {
+        "severity": "string", "summary": "string", "evidence": "string", "track_id": "long", "source_frame_id": "string",
+        "bbox_2d": "array<long>", "flood_context": "string", "flood_status": "string", "isolation_score": "double",
+        "rescue_priority": "string", "validation_status": "string",
+    }
+    has = lambda name: name in reports.columns
+    facts = [(F.col(c) if has(c) else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()]
+    placed = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()
+    first = reports.select("mission_id", F.col("seq").alias("first_seq"), F.col("frame_idx").alias("_frame"), placed.alias("_placed"), *facts)
+    joined = merged.join(first, ["mission_id", "first_seq"], "left")
+    text = F.coalesce("summary", "evidence", F.lit(DEFAULTS["evidence"]))
+    image = F.concat(F.lit("frame_"), F.format_string("%04d", "_frame"), F.lit(".jpg"))
+    known = lambda c: F.coalesce(F.col(c), F.lit(DEFAULTS[c]))
+    return joined.select(
+        "mission_id", F.col("incident_id").alias("id"), "incident_id", "type", F.col("type").alias("incident_type"),
+        known("severity").alias("severity"), "confidence", text.alias("evidence"), text.alias("summary"), "track_id", "frame_ids",
+        F.coalesce("source_frame_id", image).alias("source_frame_id"),
+        F.coalesce("bbox_2d", F.array(*[F.lit(0).cast("long")] * 4)).alias("bbox_2d"),
+        F.struct("x", "y", "z", F.col("location_status").alias("status")).alias("location_3d"),
+        F.when(F.col("_placed"), F.lit("LOCALIZED")).otherwise(F.lit("UNLOCALIZED")).alias("location_status"),
+        "reprojection_error_px",
+        F.coalesce("flood_context", "flood_status", F.lit(DEFAULTS["flood_context"])).alias("flood_context"),
+        F.coalesce("flood_status", "flood_context", F.lit(DEFAULTS["flood_context"])).alias("flood_status"),
+        half_even(F.coalesce("isolation_score", F.lit(0.0)), 2).alias("isolation_score"),
+        known("rescue_priority").alias("rescue_priority"), known("validation_status").alias("validation_status"),
+    )
+
+
 def upsert_incidents(existing: DataFrame, batch: DataFrame, key: str = "incident_id") -> DataFrame:
-    """Latest row per key over the table and the batch, by ``version``."""
-    rows = existing.unionByName(batch, allowMissingColumns=True)
-    others = [c for c in rows.columns if c not in ("mission_id", key)]
-    latest = rows.groupBy("mission_id", key).agg(F.max_by(F.struct(*others), "version").alias("_r"))
-    return latest.select("mission_id", key, *[F.col("_r")[c].alias(c) for c in others])
+    """Latest row per key over a table and a batch; ``VersionedTable.upsert`` does the same for a stored table."""
+    return latest(existing, batch, key)
 
 
 # ------------------------------------------------------------------ builders

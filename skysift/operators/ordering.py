@@ -64,6 +64,25 @@ def previous(
     )
 
 
+def runs(df: DataFrame, keys: list[str], order: str, gap: int, name: str, size: int = BLOCK) -> DataFrame:
+    """Number of each row's run: the value of ``order`` at which it began.
+
+    A run of a key ends where the next value of ``order`` is more than ``gap`` further on.  Runs are found on the distinct
+    values, in blocks of ``size``; a small per-block table carries the last beginning across block edges.
+    """
+    block = F.floor(F.col(order) / size)
+    values = df.select(*keys, order).distinct()
+    known = previous(values, keys, [order], {order: "_before"}, block).withColumn("_block", block)
+    begins = F.when(F.col("_before").isNull() | (F.col(order) - F.col("_before") > gap), F.col(order))
+    inside = Window.partitionBy(*keys, "_block").orderBy(order)
+    marked = known.withColumn("_begin", begins).withColumn(name, F.max("_begin").over(inside))
+    last = marked.groupBy(*keys, "_block").agg(F.max("_begin").alias("_last"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(*keys, "_block", F.max("_last").over(before).alias("_carry"))
+    numbers = marked.join(carried, [*keys, "_block"]).select(*keys, order, F.coalesce(name, "_carry").alias(name))
+    return df.join(numbers, [*keys, order])
+
+
 def top_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, spread: int = 64) -> DataFrame:
     """First ``k`` rows of every key, cut down in hashed slices before the final rank."""
     cells = [F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(spread))]

@@ -1,38 +1,30 @@
 """Multi-frame trackers.
 
-Frames of a mission are cut into blocks.  All blocks run at once, each from the
-state its predecessor ended with; blocks whose entry state changed run again
-until none does, so a long mission is never one task and the result equals the
-frame-by-frame walk.  A block holds ``block_frames`` frames and the small table
-of live tracks.
+No track outlives ``IDLE_FRAMES`` frames without a detection, so the frames of a mission are cut where detections pause for
+longer: the segments are independent and walk at once.  A walk streams its frames once and holds one frame and the
+live tracks, whatever the length of the segment.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections import defaultdict
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skysift.functions.boxes import overlap
 from skysift.functions.numeric import half_even, norm
-from skysift.lineage import cut, fan_out, is_empty
-from skysift.operators.ordering import BLOCK, numbered
+from skysift.lineage import cut
+from skysift.operators.folds import edges, ordered_walk
+from skysift.operators.ordering import BLOCK, numbered, runs
 
-BLOCK_FRAMES = 256
 IDLE_FRAMES = 5
+CELL = 128
 
-STATE = "founder long, f_frame long, f_pos long, x1 double, y1 double, x2 double, y2 double, cx double, cy double, cls string, last_frame long, length long"
-STATE_NAMES = [part.strip().split(" ")[0] for part in STATE.split(",")]
-OUTPUT = f"mission_id long, block long, kind int, det_id long, frame_idx long, {STATE}"
-OUTPUT_NAMES = ["mission_id", "block", "kind", "det_id", "frame_idx", *STATE_NAMES]
-INPUT = ["mission_id", "block", "frame_idx", "det_id", "conf", "class_name", "x1", "y1", "x2", "y2", "cx", "cy"]
-
-Assigned = list[tuple[int, int, int, int, int, int]]
-Step = Callable[[pd.DataFrame, list[dict]], tuple[Assigned, list[dict]]]
+FOUND = "mission_id long, det_id long, founder long, f_frame long, f_pos long, length long"
+INPUT = ["frame_idx", "det_id", "conf", "class_name", "x1", "y1", "x2", "y2", "cx", "cy"]
 
 
 def tracking_confidence(length: Column) -> Column:
@@ -43,25 +35,21 @@ def tracking_confidence(length: Column) -> Column:
 BOX = ("x1", "y1", "x2", "y2", "cx", "cy")
 
 
-def _new_track(values: dict, i: int, frame: int, position: int) -> dict:
+def new_track(d: dict[str, np.ndarray], i: int, frame: int, position: int) -> dict:
     return {
-        "founder": int(values["det_id"][i]), "f_frame": frame, "f_pos": position,
-        **{name: float(values[name][i]) for name in BOX},
-        "cls": values["class_name"][i], "last_frame": frame, "length": 1,
+        "founder": int(d["det_id"][i]), "f_frame": frame, "f_pos": position,
+        **{name: float(d[name][i]) for name in BOX},
+        "cls": d["class_name"][i], "last_frame": frame, "length": 1,
     }
 
 
-def _observe(track: dict, values: dict, i: int, frame: int) -> None:
+def observe(track: dict, d: dict[str, np.ndarray], i: int, frame: int) -> None:
     for name in BOX:
-        track[name] = float(values[name][i])
+        track[name] = float(d[name][i])
     track["last_frame"] = frame
     track["length"] += 1
 
 
-def _assigned(values: dict, i: int, frame: int, track: dict) -> tuple:
-    return int(values["det_id"][i]), frame, track["founder"], track["f_frame"], track["f_pos"], track["length"]
-
-
 def pair_scores(tracks: list[dict], d: dict[str, np.ndarray], frame: int) -> tuple[np.ndarray, np.ndarray]:
     """Score of every (track, detection) of a frame and whether the pair may match."""
     t = {k: np.array([tr[k] for tr in tracks])[:, None] for k in BOX}
@@ -84,147 +72,142 @@ def pair_scores(tracks: list[dict], d: dict[str, np.ndarray], frame: int) -> tup
     return np.where(persons, person_score, other_score), allowed.astype(bool) & (missed <= IDLE_FRAMES)
 
 
-def _greedy_step(rows: pd.DataFrame, state: list[dict]) -> tuple[Assigned, list[dict]]:
-    """Walk the frames of one block: best pairs first, the rest found new tracks."""
-    frames = rows["frame_idx"].to_numpy(np.int64)
-    classes = rows["class_name"].to_numpy(object)
-    order = np.lexsort((-rows["det_id"].to_numpy(np.int64), -rows["conf"].to_numpy(float), classes != "person", frames))
-    values = {name: rows[name].to_numpy(float)[order] for name in BOX}
-    values["class_name"], values["det_id"] = classes[order], rows["det_id"].to_numpy(np.int64)[order]
-    frames = frames[order]
-    tracks: list[dict] = list(state)
-    assigned: Assigned = []
-    starts = np.unique(frames, return_index=True)[1].tolist() + [len(frames)]
-    for low, high in zip(starts[:-1], starts[1:]):
-        frame = int(frames[low])
-        tracks = [tr for tr in tracks if frame - tr["last_frame"] <= IDLE_FRAMES]
-        owner: dict[int, dict] = {}
-        if tracks:
-            score, allowed = pair_scores(tracks, {k: v[low:high] for k, v in values.items()}, frame)
-            ti, di = np.nonzero(allowed)
-            best = np.lexsort((di, ti, -score[ti, di]))
-            taken: set[int] = set()
-            for a, b in zip(ti[best].tolist(), di[best].tolist()):
-                if a not in taken and b not in owner:
-                    taken.add(a)
-                    owner[b] = tracks[a]
-        for i in range(low, high):
-            track = owner.get(i - low)
-            if track is None:
-                track = _new_track(values, i, frame, i - low)
-                tracks.append(track)
-            else:
-                _observe(track, values, i, frame)
-            assigned.append(_assigned(values, i, frame, track))
-    if len(frames):
-        last = int(frames[-1])
-        tracks = [tr for tr in tracks if last + 1 - tr["last_frame"] <= IDLE_FRAMES]
-    return assigned, tracks
-
-
-def _nearest_step(legacy_iou: bool) -> Step:
-    def step(rows: pd.DataFrame, state: list[dict]) -> tuple[Assigned, list[dict]]:
-        """Each detection joins the best track of its class; tracks never expire."""
-        tracks, assigned = list(state), []
-        rows = rows.sort_values(["frame_idx", "det_id"])
-        values = {name: rows[name].to_numpy() for name in (*BOX, "det_id", "class_name", "frame_idx")}
-        for i in range(len(rows)):
-            x1, y1, x2, y2, cx, cy = (float(values[name][i]) for name in BOX)
-            best, best_score = None, -1.0
-            for track in tracks:
-                if track["cls"] != values["class_name"][i]:
-                    continue
-                dist = math.hypot(cx - track["cx"], cy - track["cy"])
-                iw = max(0.0, min(x2, track["x2"]) - max(x1, track["x1"]) + 1)
-                ih = max(0.0, min(y2, track["y2"]) - max(y1, track["y1"]) + 1)
-                top, old_top = (x1, track["x1"]) if legacy_iou else (y1, track["y1"])
-                a = (x2 - x1 + 1) * (y2 - top + 1)
-                b = (track["x2"] - track["x1"] + 1) * (track["y2"] - old_top + 1)
-                iou = iw * ih / (a + b - iw * ih + 1e-6)
-                if iou > 0.2 or dist < 60.0:
-                    score = iou + 1.0 / (1.0 + dist)
-                    if score > best_score:
-                        best, best_score = track, score
-            frame = int(values["frame_idx"][i])
-            if best is None:
-                best = _new_track(values, i, frame, i)
-                tracks.append(best)
-            else:
-                _observe(best, values, i, frame)
-            assigned.append(_assigned(values, i, frame, best))
-        return assigned, tracks
+def in_order(d: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Detections of one frame: persons first, then by confidence, then the higher id."""
+    order = np.lexsort((-d["det_id"].astype(np.int64), -d["conf"].astype(float), d["class_name"] != "person"))
+    return {k: v[order] for k, v in d.items()}
 
-    return step
 
+def advance(tracks: list[dict], d: dict[str, np.ndarray], frame: int) -> tuple[list[dict], list[dict]]:
+    """Match the detections of one frame (``in_order``) to the live tracks, best pairs first; the rest found new tracks.
 
-def _runner(step: Step):
-    def run(keys: tuple, rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty:
-            return pd.DataFrame(columns=OUTPUT_NAMES)
-        state = entry.sort_values(["f_frame", "f_pos"])[STATE_NAMES].to_dict("records")
-        assigned, tracks = step(rows, state)
-        seen = pd.DataFrame(assigned, columns=["det_id", "frame_idx", "founder", "f_frame", "f_pos", "length"]).assign(
-            kind=0, cls="", last_frame=0, **{name: 0.0 for name in BOX}
-        )
-        left = pd.DataFrame(tracks, columns=STATE_NAMES)
-        left = left.assign(kind=1, det_id=left["founder"], frame_idx=left["last_frame"])
-        out = pd.concat([seen, left[seen.columns]]) if len(left) else seen
-        return out.assign(mission_id=keys[0], block=keys[1])[OUTPUT_NAMES]
-
-    return run
-
-
-def _block_scan(det: DataFrame, step: Step, block_frames: int) -> DataFrame:
-    """Rows ``(mission_id, det_id, founder, ...)`` of every detection."""
-    run = _runner(step)
-    keys = ["mission_id", "block"]
-    rows = det.withColumn("block", F.floor(F.col("frame_idx") / block_frames)).select(*INPUT)
-    alone = lambda key, pdf: run(key, pdf, pd.DataFrame(columns=STATE_NAMES))
-    spans = rows.groupBy("mission_id").agg(F.min("block").alias("lo"), F.max("block").alias("hi"))
-    if is_empty(spans.filter(F.col("lo") < F.col("hi"))):
-        done = fan_out(rows, *keys).groupBy(*keys).applyInPandas(alone, OUTPUT)
-        return done.filter(F.col("kind") == 0)
-
-    rows = cut(fan_out(rows, *keys))
-    follow = cut(
-        rows.select(*keys).distinct().withColumn(
-            "next", F.lead("block").over(Window.partitionBy("mission_id").orderBy("block"))
-        )
-    ).filter(F.col("next").isNotNull())
-
-    def entries(done: DataFrame) -> DataFrame:
-        exits = done.filter(F.col("kind") == 1).join(follow, keys)
-        return exits.select("mission_id", F.col("next").alias("block"), *STATE_NAMES)
-
-    def signature(entry: DataFrame, name: str) -> DataFrame:
-        packed = F.xxhash64(*STATE_NAMES).cast("decimal(38,0)")
-        return entry.groupBy(*keys).agg(F.struct(F.count(F.lit(1)), F.sum(packed)).alias(name))
-
-    done = cut(rows.groupBy(*keys).applyInPandas(alone, OUTPUT))
-    used = done.sparkSession.createDataFrame([], f"mission_id long, block long, {STATE}")
-    while True:
-        wanted = cut(entries(done))
-        compared = signature(wanted, "now").join(signature(used, "before"), keys, "full")
-        stale = cut(compared.filter(~F.col("now").eqNullSafe(F.col("before"))).select(*keys))
-        if is_empty(stale):
-            return done.filter(F.col("kind") == 0)
-        again = (
-            rows.join(stale, keys, "left_semi")
-            .groupBy(*keys)
-            .cogroup(wanted.join(stale, keys, "left_semi").groupBy(*keys))
-            .applyInPandas(run, OUTPUT)
-        )
-        done = cut(done.join(stale, keys, "left_anti").unionByName(again))
-        used = wanted
+    Returns the track of every detection and the tracks that are live afterwards.  ``tracks`` are in order of their founding.
+    """
+    tracks = [t for t in tracks if frame - t["last_frame"] <= IDLE_FRAMES]
+    owner: dict[int, dict] = {}
+    if tracks:
+        score, allowed = pair_scores(tracks, d, frame)
+        ti, di = np.nonzero(allowed)
+        best = np.lexsort((di, ti, -score[ti, di]))
+        taken: set[int] = set()
+        for a, b in zip(ti[best].tolist(), di[best].tolist(), strict=True):
+            if a not in taken and b not in owner:
+                taken.add(a)
+                owner[b] = tracks[a]
+    out = []
+    for i in range(len(d["det_id"])):
+        track = owner.get(i)
+        if track is None:
+            track = new_track(d, i, frame, i)
+            tracks.append(track)
+        else:
+            observe(track, d, i, frame)
+        out.append(track)
+    return out, tracks
+
+
+class GreedyWalk:
+    """Frames of one segment; the last frame waits until a later one shows that it is whole."""
+
+    def __init__(self, mission: int):
+        self.mission, self.tracks = mission, []
+        self.waiting: list[dict[str, np.ndarray]] = []
+
+    def take(self, rows: dict[str, np.ndarray]) -> list[tuple]:
+        out: list[tuple] = []
+        cuts = edges(rows, ["frame_idx"], len(rows["frame_idx"]))
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            if self.waiting and self.waiting[0]["frame_idx"][0] != rows["frame_idx"][low]:
+                out += self.close()
+            self.waiting.append({c: rows[c][low:high] for c in INPUT})
+        return out
+
+    def close(self) -> list[tuple]:
+        if not self.waiting:
+            return []
+        frame = int(self.waiting[0]["frame_idx"][0])
+        d = in_order({c: np.concatenate([w[c] for w in self.waiting]) for c in INPUT})
+        self.waiting = []
+        found, self.tracks = advance(self.tracks, d, frame)
+        return [(self.mission, det, t["founder"], t["f_frame"], t["f_pos"], t["length"]) for det, t in zip(d["det_id"].tolist(), found, strict=True)]
+
+
+class NearestWalk:
+    """Detections of one class; each joins its best track, and tracks never expire.
+
+    A track is listed in the cells that its box touches.  A detection looks into the cells of its box widened by the
+    reach: a box that overlaps it, or a centre within the reach, stands in one of them.
+    """
+
+    reach, least_iou = 60.0, 0.2
+
+    def __init__(self, key: tuple, legacy_iou: bool):
+        self.mission, self.cls = key
+        self.legacy = legacy_iou
+        self.tracks: list[tuple[float, ...]] = []
+        self.cells: dict[tuple[int, int], set[int]] = defaultdict(set)
+
+    @staticmethod
+    def _cells(x1: float, y1: float, x2: float, y2: float, pad: float):
+        left, right = math.floor((min(x1, x2) - pad) / CELL), math.floor((max(x1, x2) + pad) / CELL)
+        top, bottom = math.floor((min(y1, y2) - pad) / CELL), math.floor((max(y1, y2) + pad) / CELL)
+        return [(i, j) for i in range(left, right + 1) for j in range(top, bottom + 1)]
+
+    @staticmethod
+    def _extent(box: tuple[float, ...]) -> tuple[float, float, float, float]:
+        """The box with its centre, which need not lie inside."""
+        x1, y1, x2, y2, cx, cy = box
+        return min(x1, cx), min(y1, cy), max(x2, cx), max(y2, cy)
+
+    def best(self, box: tuple[float, ...]) -> int | None:
+        """Track of the highest score, the oldest of equals."""
+        x1, y1, x2, y2, cx, cy = box
+        near = set().union(*(self.cells.get(c, ()) for c in self._cells(*self._extent(box), self.reach)))
+        found, top_score = None, -1.0
+        for number in sorted(near):
+            a1, b1, a2, b2, ax, ay = self.tracks[number]
+            dist = math.hypot(cx - ax, cy - ay)
+            iw = max(0.0, min(x2, a2) - max(x1, a1) + 1)
+            ih = max(0.0, min(y2, b2) - max(y1, b1) + 1)
+            top, old_top = (x1, a1) if self.legacy else (y1, b1)
+            areas = (x2 - x1 + 1) * (y2 - top + 1) + (a2 - a1 + 1) * (b2 - old_top + 1)
+            iou = iw * ih / (areas - iw * ih + 1e-6)
+            if iou > self.least_iou or dist < self.reach:
+                score = iou + 1.0 / (1.0 + dist)
+                if score > top_score:
+                    found, top_score = number, score
+        return found
+
+    def take(self, rows: dict[str, np.ndarray]) -> list[tuple]:
+        out = []
+        boxes = zip(*(rows[c].astype(float).tolist() for c in BOX), strict=True)
+        for det, box in zip(rows["det_id"].tolist(), boxes, strict=True):
+            number = self.best(box)
+            if number is None:
+                number = len(self.tracks)
+                self.tracks.append(box)
+            else:
+                for cell in self._cells(*self._extent(self.tracks[number]), 1.0):
+                    self.cells[cell].discard(number)
+                self.tracks[number] = box
+            for cell in self._cells(*self._extent(box), 1.0):  # touching boxes overlap by a pixel
+                self.cells[cell].add(number)
+            out.append((self.mission, det, f"{self.cls.upper()}_{number + 1:03d}"))
+        return out
 
+    def close(self) -> list[tuple]:
+        return []
 
-def track(det: DataFrame, block_frames: int = BLOCK_FRAMES) -> DataFrame:
+
+def track(det: DataFrame) -> DataFrame:
     """Persistent track ids per mission, increasing in order of first sight.
 
     Reads ``class_name, conf, x1..y2, cx, cy``; adds ``track_id, track_length``
     and ``tracking_conf``.
     """
-    found = cut(_block_scan(det, _greedy_step, block_frames))
+    rows = runs(det.select("mission_id", *INPUT), ["mission_id"], "frame_idx", IDLE_FRAMES, "segment")
+    order = [F.col("frame_idx"), F.col("det_id")]
+    found = cut(ordered_walk(rows, ["mission_id", "segment"], order, lambda key: GreedyWalk(int(key[0])), FOUND))
     block = F.floor(F.col("f_frame") / BLOCK)
     founders = numbered(
         found.filter(F.col("det_id") == F.col("founder")).select("mission_id", "founder", "f_frame", "f_pos"),
@@ -237,20 +220,14 @@ def track(det: DataFrame, block_frames: int = BLOCK_FRAMES) -> DataFrame:
     return det.join(ids, ["mission_id", "det_id"])
 
 
-def track_simple(det: DataFrame, legacy_iou: bool = False, block_frames: int = BLOCK_FRAMES) -> DataFrame:
-    """Nearest-track tracker without expiry; object ids ``CLASS_nnn`` per mission."""
-    found = cut(_block_scan(det, _nearest_step(legacy_iou), block_frames))
-    block = F.floor(F.col("f_frame") / BLOCK)
-    founders = numbered(
-        found.filter(F.col("det_id") == F.col("founder")).select("mission_id", "founder", "f_frame").join(
-            det.select("mission_id", F.col("det_id").alias("founder"), F.col("class_name").alias("cls")), ["mission_id", "founder"]
-        ),
-        ["mission_id", "cls"], block, [F.col("f_frame"), F.col("founder")], "_n",
-    ).select(
-        "mission_id", "founder",
-        F.format_string("%s_%03d", F.upper("cls"), F.col("_n")).alias("object_id"),
-    )
-    ids = found.join(founders, ["mission_id", "founder"]).select("mission_id", "det_id", "object_id")
+def track_simple(det: DataFrame, legacy_iou: bool = False) -> DataFrame:
+    """Nearest-track tracker without expiry; object ids ``CLASS_nnn`` per mission and class.
+
+    Only tracks of a detection's own class can take it, so the classes of a mission walk at once.
+    """
+    order = [F.col("frame_idx"), F.col("det_id")]
+    rows = det.select("mission_id", *INPUT)
+    ids = ordered_walk(rows, ["mission_id", "class_name"], order, lambda key: NearestWalk(key, legacy_iou), "mission_id long, det_id long, object_id string")
     return det.join(ids, ["mission_id", "det_id"])
 
 

@@ -296,4 +296,4 @@ def _(v):
     reports.repartition(3, "frame_idx").write.parquet(f"{folder}/in")
     source = v.spark.readStream.schema(reports.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     stream_incidents.incident_stream(source, folder, f"{folder}/state").awaitTermination()
-    return v.spark.read.parquet(f"{folder}/incidents")
+    return stream_incidents.read_incidents(v.spark, folder)

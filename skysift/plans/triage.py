@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from skysift.functions import boxes, camera
 from skysift.functions.numeric import half_even
-from skysift.lineage import cut
+from skysift.lineage import cut, shared_folder
 from skysift.operators import cloud, detect, incidents, localize, reports, rescue
 from skysift.operators.suppression import nms
 from skysift.plans.clouds import PATH
 from skysift.plans.detection import VALIDATED, nms_sql, validated
 from skysift.plans.localization import CENTRE, LOCALIZED, MEASURED, localized
 from skysift.plans.registry import FX, R, RS, query
+from skysift.sources.versioned import VersionedTable
 
 OK = "(x IS NOT NULL)"
 
@@ -312,6 +313,22 @@ def _(v):
     return incidents.merge_incidents_boost(v.inc)
 
 
+@query(
+    "m01_canonical_records", "inc",
+    f"""RECURSIVE {MERGE_A} SELECT res.mission_id, printf('INC-%03d', k) AS id, printf('INC-%03d', k) AS incident_id, res.type, res.type AS incident_type, 'MEDIUM' AS severity, res.confidence,
+    'No evidence summary provided.' AS evidence, 'No evidence summary provided.' AS summary, inc.track_id, frame_ids, printf('frame_%04d.jpg', inc.frame_idx) AS source_frame_id,
+    [0, 0, 0, 0] AS bbox_2d, res.x AS location_x, res.y AS location_y, res.z AS location_z, CASE WHEN res.x IS NOT NULL THEN 'LOCALIZED_3D' ELSE 'UNAVAILABLE' END AS location_3d_status,
+    CASE WHEN inc.x IS NOT NULL THEN 'LOCALIZED' ELSE 'UNLOCALIZED' END AS location_status, res.reprojection_error_px, 'NONE' AS flood_context, 'NONE' AS flood_status,
+    {R("CAST(inc.seq % 1000 AS DOUBLE) / 999e0", 2)} AS isolation_score, inc.rescue_priority, 'VALIDATED' AS validation_status
+    FROM res JOIN inc ON res.mission_id = inc.mission_id AND res.first_seq = inc.seq""",
+)
+def _(v):
+    reports = v.inc.withColumn("isolation_score", (F.col("seq") % 1000).cast("double") / 999.0)
+    out = incidents.canonical_records(incidents.merge_incidents(v.inc), reports)
+    flat = [F.col("location_3d")[c].alias(f"location_{c}") for c in "xyz"]
+    return out.select("*", *flat, F.col("location_3d.status").alias("location_3d_status")).drop("location_3d")
+
+
 @query(
     "b10_incident_rows", "inc",
     f"""RECURSIVE {MERGE_A} SELECT res.mission_id, printf('INC-%03d', k) AS incident_id, res.type, 'MEDIUM' AS severity, {FX('res.confidence', 2)} AS confidence, coalesce('TRK-' || linked_to, 'N/A') AS track,
@@ -332,8 +349,10 @@ def _(v):
     name = lambda n: F.concat(F.lit("INC-"), (F.col("seq") % n).cast("string")).alias("incident_id")
     columns = ["mission_id", "type", F.col("seq").alias("version")]
     old = v.inc.filter("seq % 2 = 0").select(name(97), *columns)
-    table = incidents.upsert_incidents(old.limit(0), old)
-    return incidents.upsert_incidents(table, v.inc.filter("seq % 2 = 1").select(name(89), *columns))
+    table = VersionedTable(v.spark, shared_folder(v.spark, "upsert"), old.schema, buckets=16)
+    table.upsert(old)
+    table.upsert(v.inc.filter("seq % 2 = 1").select(name(89), *columns))
+    return table.read()
 
 
 @query(

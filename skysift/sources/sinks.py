@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from skysift.functions.camera import camera_centre, to_quaternion
 from skysift.functions.numeric import clip, fixed, half_even
 from skysift.operators.cloud import cap_points
-from skysift.operators.incidents import upsert_incidents
 from skysift.operators.ordering import BLOCK, numbered
+from skysift.sources.versioned import latest
 
 MISSING = "N/A"
 
@@ -147,8 +147,9 @@ def write_colmap_text(points: DataFrame, cameras: DataFrame, folder: str, cap: i
 def upsert_table(batch: DataFrame, current: str | None, target: str, key: str = "incident_id") -> None:
     """Write the latest row per key of table ``current`` and the batch to ``target``.
 
-    The new version goes to its own folder, so a failed job leaves the old one whole.
+    The new version goes to its own folder, so a failed job leaves the old one whole.  For a table that grows,
+    ``VersionedTable`` rewrites touched buckets only.
     """
     spark = batch.sparkSession
     old = spark.read.parquet(current) if current else batch.limit(0)
-    upsert_incidents(old, batch, key).write.mode("overwrite").partitionBy("mission_id").parquet(target)
+    latest(old, batch, key).write.mode("overwrite").partitionBy("mission_id").parquet(target)

@@ -1,72 +1,103 @@
-"""Streaming tracker: the batch walk, fed by the watermark."""
+"""Streaming tracker: the batch match of one frame at a time, fed by the watermark.
+
+State per mission, each a keyed table of the RocksDB store: waiting frames (by frame), live tracks (by track id) and the
+next id.  Rows of a batch touch their own frames only, and a frame that passes changes the tracks that it meets; nothing is
+read or written whole but the few live tracks.
+"""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from skysift.operators.tracking import _greedy_step
+from skysift.operators.tracking import BOX, IDLE_FRAMES, INPUT, advance, in_order
 
 OUTPUT = "mission_id long, frame_idx long, det_id long, track_id long, track_length long"
-STATE = "tracks string, ids string, waiting string, next_id long"
-FIELDS = ["frame_idx", "det_id", "conf", "class_name", "x1", "y1", "x2", "y2", "cx", "cy", "at"]
+NAMES = [part.strip().split(" ")[0] for part in OUTPUT.split(",")]
+#: A waiting frame: its last event time, and its detections column by column (six box numbers for each).
+FRAME = "at long, det_id array<long>, conf array<double>, class_name array<string>, boxes array<double>"
+TRACK = "x1 double, y1 double, x2 double, y2 double, cx double, cy double, class_name string, last_frame long, length long"
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Tracker(StatefulProcessor):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.frames = handle.getMapState("frames", "frame_idx long", "at long")
+        self.waiting = handle.getMapState("waiting", "frame_idx long", FRAME)
+        self.tracks = handle.getMapState("tracks", "track_id long", TRACK)
+        self.next_id = handle.getValueState("next_id", "track_id long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        """Store the detections beside their frame, and wake up when the watermark has passed its last one."""
+        for pdf in rows:
+            pdf = pdf[pdf["det_id"].notna()]
+            for frame, part in pdf.groupby("frame_idx"):
+                at, det, conf, cls, boxes = int(part["at"].max()), part["det_id"].astype("int64").tolist(), part["conf"].astype(float).tolist(), part["class_name"].tolist(), part[list(BOX)].to_numpy(float).reshape(-1).tolist()
+                slot = (int(frame),)
+                if self.waiting.containsKey(slot):
+                    old = self.waiting.getValue(slot)
+                    at, det, conf, cls, boxes = max(at, old[0]), [*old[1], *det], [*old[2], *conf], [*old[3], *cls], [*old[4], *boxes]
+                self.waiting.updateValue(slot, (at, det, conf, cls, boxes))
+                self.frames.updateValue(slot, (at,))
+                self.handle.registerTimer(at + 1)  # fires at a watermark of this or later
+        yield pd.DataFrame({name: pd.Series(dtype="int64") for name in NAMES})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Walk the frames that the watermark has passed, in order; a frame never goes before an earlier one that waits."""
+        passed = timerValues.getCurrentWatermarkInMs()
+        ready = []
+        for frame, at in sorted((k[0], v[0]) for k, v in self.frames.iterator()):
+            if at >= passed:
+                break
+            ready.append(frame)
+        out: list[tuple] = []
+        if ready:
+            tracks = []
+            for (number,), values in sorted(self.tracks.iterator(), key=lambda kv: kv[0][0]):
+                tracks.append({"id": number, **dict(zip((*BOX, "cls", "last_frame", "length"), values, strict=True))})
+            stored = {t["id"] for t in tracks}
+            next_id = self.next_id.get()[0] if self.next_id.exists() else 1
+            for frame in ready:
+                _, det, conf, cls, boxes = self.waiting.getValue((frame,))
+                numbers = np.array(boxes, float).reshape(-1, 6)
+                d = {"det_id": np.array(det, np.int64), "conf": np.array(conf, float), "class_name": np.array(cls, object)}
+                d = in_order(d | {name: numbers[:, i] for i, name in enumerate(BOX)})
+                found, tracks = advance(tracks, d, frame)
+                for det_id, t in zip(d["det_id"].tolist(), found, strict=True):
+                    if "id" not in t:
+                        t["id"], next_id = next_id, next_id + 1
+                    out.append((key[0], frame, det_id, t["id"], t["length"]))
+                self.waiting.removeKey((frame,))
+                self.frames.removeKey((frame,))
+            live = {t["id"]: t for t in tracks if ready[-1] + 1 - t["last_frame"] <= IDLE_FRAMES}
+            for number in stored - live.keys():
+                self.tracks.removeKey((number,))
+            for number, t in live.items():
+                if number not in stored or t["last_frame"] >= ready[0]:
+                    self.tracks.updateValue((number,), (*[float(t[c]) for c in BOX], t["cls"], int(t["last_frame"]), int(t["length"])))
+            self.next_id.update((next_id,))
+        yield pd.DataFrame.from_records(out, columns=NAMES).astype("int64")
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Hold rows until the watermark passes them, then walk their frames in order."""
-    if state.exists:
-        tracks, ids, waiting, next_id = state.get
-        tracks, ids, waiting = json.loads(tracks), json.loads(ids), json.loads(waiting)
-    else:
-        tracks, ids, waiting, next_id = [], {}, [], 1
-    for pdf in batches:
-        real = pdf[pdf["det_id"].notna()][FIELDS]
-        waiting.extend(real.astype({"frame_idx": "int64", "det_id": "int64", "at": "int64"}).to_dict("records"))
-    passed = state.getCurrentWatermarkMs()
-    frames: dict[int, int] = {}
-    for row in waiting:
-        frames[int(row["frame_idx"])] = max(frames.get(int(row["frame_idx"]), 0), int(row["at"]))
-    # A frame is complete once every later row of it would be late; order is kept
-    # by never taking a frame before an earlier one.
-    ready = set()
-    for frame in sorted(frames):
-        if frames[frame] >= passed:
-            break
-        ready.add(frame)
-    due = [r for r in waiting if int(r["frame_idx"]) in ready]
-    waiting = [r for r in waiting if int(r["frame_idx"]) not in ready]
-    if due:
-        rows = pd.DataFrame(due)
-        assigned, tracks = _greedy_step(rows, tracks)
-        for _, _, founder in sorted({(a[3], a[4], a[2]) for a in assigned if str(a[2]) not in ids}):
-            ids[str(founder)], next_id = next_id, next_id + 1
-        yield pd.DataFrame(
-            [(key[0], frame, det_id, ids[str(founder)], length) for det_id, frame, founder, _, _, length in assigned],
-            columns=["mission_id", "frame_idx", "det_id", "track_id", "track_length"],
-        ).astype("int64")
-        live = {str(int(t["founder"])) for t in tracks}
-        ids = {k: v for k, v in ids.items() if k in live}
-    plain = lambda rows: json.dumps(rows, default=float)
-    state.update((plain(tracks), json.dumps(ids), plain(waiting), next_id))
-    if waiting:
-        state.setTimeoutTimestamp(max(passed + 1, min(int(r["at"]) for r in waiting) + 1))
+    def close(self) -> None:
+        pass
 
 
 def track_stream(det: DataFrame, delay: str = "10 seconds") -> DataFrame:
     """Track ids of a detection stream with an event time column ``ts``.
 
-    State per mission: live tracks and the rows the watermark has not passed.  A
-    row older than the watermark is dropped by Spark and counted in the progress
-    metric of late rows.  Rows without ``det_id`` only move the watermark.
+    A row older than the watermark is dropped by Spark and counted in the progress metric of late rows.  Rows without
+    ``det_id`` only move the watermark.  State needs the RocksDB provider, which is set for streams started afterwards.
     """
+    det.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     timed = det.withColumn("at", F.unix_millis("ts")).withWatermark("ts", delay)
     return (
-        timed.select("mission_id", "ts", *FIELDS)
+        timed.select("mission_id", "ts", "at", *INPUT)
         .groupBy("mission_id")
-        .applyInPandasWithState(_advance, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        .transformWithStateInPandas(Tracker(), OUTPUT, "Append", "EventTime")
     )

@@ -7,7 +7,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from skysift.operators import cloud, frames, incidents, spatial
+from skysift.operators import cloud, frames, incidents, merging, spatial, successors
 from skysift.operators.ordering import numbered, previous, quantiles, top_rows
 from skysift.operators.suppression import nms
 
@@ -82,14 +82,79 @@ REPORT = ("mission_id long, seq long, frame_idx long, type string, track_id long
           "x double, y double, z double, reprojection_error_px double, rescue_priority string")
 
 
-def test_incident_merge_in_blocks_and_parts(spark, monkeypatch):
+def test_incident_merge_in_batches_and_parts(spark):
     inc = spark.createDataFrame(reports(240), REPORT)
     for merge in (incidents.merge_incidents, incidents.merge_incidents_boost):
         whole = sorted(map(str, merge(inc).collect()))
         assert sorted(map(str, merge(inc, limit=10).collect())) == whole
-        monkeypatch.setattr(incidents, "MERGE_BLOCK", 20)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
         assert sorted(map(str, merge(inc).collect())) == whole
-        monkeypatch.undo()
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def plain_merge(rows, boost):
+    """The rules, one report at a time against a list of all incidents."""
+    made, radius = {}, 3.0 if boost else 2.0
+    for _, seq, frame, kind, track, obj, conf, x, y, z, err, _ in sorted(rows, key=lambda r: (r[2], r[1])):
+        link = (None if obj == "N/A" else obj) if boost else track
+        have = made.setdefault(kind, [])
+        by_link = next((i for i, e in enumerate(have) if link is not None and e["link"] == link), None)
+        near = lambda e: x is not None and e["at"] is not None and sum((a - b) ** 2 for a, b in zip(e["at"], (x, y, z))) ** 0.5 < radius
+        by_place = next((i for i, e in enumerate(have) if near(e)), None)
+        hits = [i for i in (by_link, by_place) if i is not None]
+        spot = None if not hits else min(hits) if boost else hits[0]
+        if spot is None:
+            have.append({"seq": seq, "frames": {frame}, "conf": round(conf, 3 if boost else 2), "at": None if x is None else (x, y, z), "link": link, "n": 1})
+            continue
+        e = have[spot]
+        e["frames"].add(frame)
+        e["n"] += 1
+        if boost:
+            e["conf"] = round(min(0.98, max(e["conf"], conf) + 0.04), 3)
+            if x is not None and (e["at"] is None or conf > e["conf"] - 0.05):
+                e["at"] = (x, y, z)
+        elif spot == by_link:
+            e["conf"] = max(e["conf"], conf)
+            if e["at"] is None and x is not None:
+                e["at"] = (x, y, z)
+    return sorted((kind, e["seq"], sorted(e["frames"]), e["n"], e["conf"], e["at"]) for kind, have in made.items() for e in have)
+
+
+def test_incident_merge_matches_the_rules(spark):
+    rows = reports(400, seed=8)
+    inc = spark.createDataFrame(rows, REPORT).repartition(4)
+    for boost, merge in ((False, incidents.merge_incidents), (True, incidents.merge_incidents_boost)):
+        got = sorted((r.type, r.first_seq, r.frame_ids, r.observation_count, r.confidence, None if r.x is None else (r.x, r.y, r.z)) for r in merge(inc).collect())
+        assert got == plain_merge(rows, boost)
+
+
+def test_cost_of_a_report_does_not_grow_with_the_incidents():
+    """Cells opened and incidents compared for each report stay level while the incidents grow."""
+    rng = random.Random(1)
+    compared = []
+    for n in (2000, 8000):
+        side = n ** (1 / 3) * 4
+        walk = merging.ByTrack((1, "A"), 2.0)
+        rows = {c: np.array([f(i) for i in range(n)], dtype=object) for c, f in {
+            "known": lambda i: 0, "seq": lambda i: i, "frame_idx": lambda i: i, "confidence": lambda i: 0.5,
+            "x": lambda i: rng.random() * side, "y": lambda i: rng.random() * side, "z": lambda i: rng.random() * side,
+            "reprojection_error_px": lambda i: None, "_link": lambda i: None}.items()}
+        walk.take(rows)
+        compared.append(sum(len(walk.cells.get((i, j, k), ())) for i in range(5, 8) for j in range(5, 8) for k in range(5, 8)))
+        assert len(walk.rows) > n / 2
+    assert compared[1] < 2 * compared[0] + 10
+
+
+def test_canonical_record_has_twenty_fields(spark):
+    rows = [(1, 1, 4, "A", 7, "o", 0.556, None, None, None, None, "HIGH", "burning", 0.456, "s.jpg"), (1, 2, 9, "A", 7, "o", 0.7, 1.0, 2.0, 3.0, 5.0, "LOW", None, None, None)]
+    inc = spark.createDataFrame(rows, REPORT + ", summary string, isolation_score double, source_frame_id string")
+    (r,) = incidents.canonical_records(incidents.merge_incidents(inc), inc).collect()
+    assert len(r) == 21 and (r.id, r.severity, r.evidence, r.summary) == ("INC-001", "MEDIUM", "burning", "burning")
+    assert (r.frame_ids, r.confidence, r.isolation_score, r.source_frame_id, r.bbox_2d) == ([4, 9], 0.7, 0.46, "s.jpg", [0, 0, 0, 0])
+    assert tuple(r.location_3d) == (1.0, 2.0, 3.0, "LOCALIZED_3D") and r.location_status == "UNLOCALIZED" and r.rescue_priority == "HIGH"
+    bare = spark.createDataFrame([row[:12] for row in rows[1:]], REPORT)
+    (r,) = incidents.canonical_records(incidents.merge_incidents(bare), bare).collect()
+    assert (r.evidence, r.flood_status, r.source_frame_id, r.location_status) == ("No evidence summary provided.", "NONE", "frame_0009.jpg", "LOCALIZED")
 
 
 def test_incident_merge_of_two_reports(spark):
@@ -122,6 +187,67 @@ def test_dedup_in_blocks(spark):
         assert got == want
 
 
+def plain_dedup(rows, threshold):
+    """Outcome of every frame by the plain walk over (frame, fingerprint, sharpness)."""
+    outcome, last = {}, None
+    for i, v, s in rows:
+        if last is None or not float((v * last[1]).sum()) > threshold:
+            outcome[i], last = "kept", (i, v, s)
+        elif s > last[2] * 1.25:
+            outcome[last[0]], outcome[i], last = "replaced", "kept", (i, v, s)
+        else:
+            outcome[i] = "duplicate"
+    return outcome
+
+
+def scenes(n, seed, still=0.5):
+    """Long still scenes, drifts and cuts of unit vectors."""
+    rng = np.random.default_rng(seed)
+    out, v, left, moving = [], None, 0, False
+    for i in range(n):
+        if left == 0:
+            v, left, moving = rng.normal(size=8), int(rng.integers(1, 4000 if rng.random() < still else 40)), rng.random() < 0.4
+        left -= 1
+        v = v + rng.normal(size=8) * (0.02 if moving else 0.0005)
+        sharp = 5.0 * (1.3 if rng.random() < 0.0005 else 1.0) * (1 + i / n)
+        out.append((i, v / np.linalg.norm(v), sharp))
+    return out
+
+
+def test_dedup_of_a_hundred_thousand_frames(spark):
+    rows = scenes(100_000, 4)
+    want = plain_dedup(rows, 0.97)
+    df = spark.createDataFrame([(1, i, v.tolist(), s) for i, v, s in rows], "mission_id long, frame_idx long, fingerprint array<double>, sharpness double").repartition(8)
+    got = {r.frame_idx: r.outcome for r in frames.dedup_frames(df, 0.97).collect()}
+    assert got == want and sum(v == "kept" for v in want.values()) > 100
+
+
+def test_dedup_rounds_grow_with_the_logarithm_of_blocks(spark, monkeypatch):
+    """A scene that never changes passes all blocks; the tree is climbed, not walked."""
+    rounds = []
+    plain = successors.is_empty
+    monkeypatch.setattr(successors, "is_empty", lambda df: (rounds.append(1), plain(df))[1])
+    counts = []
+    for n in (64, 512):
+        v = [1.0] + [0.0] * 7
+        df = spark.createDataFrame([(1, i, v if i < n - 1 else v[::-1], 1.0) for i in range(n)], "mission_id long, frame_idx long, fingerprint array<double>, sharpness double")
+        rounds.clear()
+        got = {r.frame_idx: r.outcome for r in frames.dedup_frames(df, 0.9, block=4).collect()}
+        assert sorted(i for i, o in got.items() if o == "kept") == [0, n - 1]
+        counts.append(len(rounds))
+    # Eight times the blocks are three more levels, each with one round to build, at most three to climb and one to double.
+    assert counts[1] <= counts[0] + 15
+
+
+def test_dedup_without_fingerprints_or_sharpness(spark):
+    rows = [(1, 0, [1.0, 0.0], 1.0), (1, 1, None, 1.0), (1, 2, [1.0, 0.0], None), (1, 3, [1.0, 0.0], 9.0), (2, 7, None, None)]
+    df = spark.createDataFrame(rows, "mission_id long, frame_idx long, fingerprint array<double>, sharpness double")
+    for block in (256, 1):
+        got = {(r.mission_id, r.frame_idx): r.outcome for r in frames.dedup_frames(df, 0.9, block=block).collect()}
+        assert got == {(1, 0): "kept", (1, 1): "kept", (1, 2): "kept", (1, 3): "duplicate", (2, 7): "kept"}
+    assert frames.dedup_frames(df.limit(0), 0.9).count() == 0
+
+
 def test_components_groups_and_rounds(spark):
     rng = random.Random(1)
     edges = [(g, rng.randrange(200), rng.randrange(200)) for g in (1, 2) for _ in range(120)] + [(3, i, i + 1) for i in range(300)]

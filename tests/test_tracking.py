@@ -5,7 +5,10 @@ from __future__ import annotations
 import math
 import random
 
-from skysift.operators.tracking import track, track_simple
+import numpy as np
+
+from skysift.operators.ordering import runs
+from skysift.operators.tracking import NearestWalk, track, track_simple
 
 DET = "mission_id long, frame_idx long, det_id long, class_name string, conf double, x1 long, y1 long, x2 long, y2 long, cx long, cy long"
 
@@ -77,9 +80,26 @@ def test_tracker_matches_loop(spark):
     for seed in (1, 2):
         full, det = make(walk(seed), spark)
         want = loop(full)
-        for block in (256, 4):
-            got = {r.det_id: (r.track_id, r.track_length) for r in track(det, block).collect()}
+        for batch in (10_000, 7):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            got = {r.det_id: (r.track_id, r.track_length) for r in track(det.repartition(3)).collect()}
             assert got == want
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_tracker_cuts_at_pauses(spark):
+    """Pauses of exactly the idle limit keep a track, longer ones end it; segments walk apart."""
+    rows = [(f + shift, *rest) for shift in (0, 45, 96, 5000) for f, *rest in walk(5)]
+    full, det = make(rows, spark)
+    want = loop(full)
+    got = {r.det_id: (r.track_id, r.track_length) for r in track(det).collect()}
+    assert got == want
+    segments = {(r.frame_idx, r.segment) for r in runs(det, ["mission_id"], "frame_idx", 5, "segment", size=16).collect()}
+    begins, last = {}, None
+    for f in sorted({r[1] for r in full}):
+        begins[f] = f if last is None or f - last > 5 else begins[last]
+        last = f
+    assert segments == set(begins.items()) and len({s for _, s in segments}) >= 3
 
 
 def test_track_survives_missed_frames(spark):
@@ -95,9 +115,41 @@ def test_track_follows_fast_person(spark):
     assert rows[1].tracking_conf > rows[0].tracking_conf == 0.55
 
 
-def test_simple_tracker_in_blocks(spark):
-    _, det = make(walk(3, 25), spark)
-    one = {r.det_id: r.object_id for r in track_simple(det).collect()}
-    many = {r.det_id: r.object_id for r in track_simple(det, block_frames=5).collect()}
-    assert one == many and "PERSON_001" in set(one.values()) | {"PERSON_001"}
-    assert all(v.split("_")[0] in {"PERSON", "VEHICLE", "BOAT"} for v in one.values())
+def simple_loop(full, legacy):
+    tracks, ids, made = [], {}, {}
+    for _, frame, det, cls, _, x1, y1, x2, y2, cx, cy in sorted(full, key=lambda r: (r[1], r[2])):
+        best, top = None, -1.0
+        for t in tracks:
+            if t["cls"] != cls:
+                continue
+            a1, b1, a2, b2, ax, ay = t["box"]
+            w, h = max(0, min(x2, a2) - max(x1, a1) + 1), max(0, min(y2, b2) - max(y1, b1) + 1)
+            areas = (x2 - x1 + 1) * (y2 - (x1 if legacy else y1) + 1) + (a2 - a1 + 1) * (b2 - (a1 if legacy else b1) + 1)
+            o, dist = w * h / (areas - w * h + 1e-6), math.hypot(cx - ax, cy - ay)
+            if (o > 0.2 or dist < 60) and o + 1 / (1 + dist) > top:
+                best, top = t, o + 1 / (1 + dist)
+        if best is None:
+            made[cls] = made.get(cls, 0) + 1
+            best = {"cls": cls, "id": f"{cls.upper()}_{made[cls]:03d}"}
+            tracks.append(best)
+        best["box"] = (x1, y1, x2, y2, cx, cy)
+        ids[det] = best["id"]
+    return ids
+
+
+def test_simple_tracker_matches_loop(spark):
+    full, det = make(walk(3, 60), spark)
+    for legacy in (False, True):
+        got = {r.det_id: r.object_id for r in track_simple(det.repartition(3), legacy_iou=legacy).collect()}
+        assert got == simple_loop(full, legacy)
+
+
+def test_simple_tracker_looks_at_near_tracks_only():
+    """With many tracks far apart, a detection meets those of its own surroundings."""
+    walker = NearestWalk((1, "boat"), False)
+    box = lambda x: (float(x), 0.0, x + 20.0, 20.0, x + 10.0, 10.0)
+    for k in range(2000):
+        columns = dict(zip(("x1", "y1", "x2", "y2", "cx", "cy"), (np.array([v]) for v in box(k * 400))))
+        walker.take(columns | {"det_id": np.array([k])})
+    assert len(walker.tracks) == 2000
+    assert len(set().union(*(walker.cells.get(c, ()) for c in walker._cells(*box(40_000)[:4], 60.0)))) <= 2
