@@ -22,6 +22,16 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def texts_by_name(docs: DataFrame) -> DataFrame:
+    """``texts`` with the id as a string: beside a null, pandas would turn longs into doubles and lose digits above 2^53."""
+    return texts(docs).withColumn("doc_id", F.col("doc_id").cast("string"))
+
+
+def with_long(df: DataFrame, *names: str) -> DataFrame:
+    """Ids that travelled as strings, as longs again."""
+    return df.withColumns({n: F.col(n).cast("long") for n in names})
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lost executors recompute nothing before it."""
     path = shared_folder(df.sparkSession, name)

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skysift.llm.common import texts
+from skysift.llm.common import texts_by_name, with_long
 
 MATCHES = "doc_id long, item_id long, distance int, start long, end long"
 
@@ -171,10 +171,12 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = 0.1, block_chars: i
         def run(batches, shared=shared):
             matcher = Matcher(shared.value, rate)
             for batch in batches:
-                rows = [(i, *m) for i, t in zip(batch["doc_id"].astype("object").where(batch["doc_id"].notna(), None), batch["text"], strict=True) for m in matcher.find(normal(t))]
-                yield pd.DataFrame(rows, columns=[x.split()[0] for x in MATCHES.split(", ")]).astype({"doc_id": "Int64", "item_id": "Int64"})
+                rows = [(i, *m) for i, t in zip(batch["doc_id"], batch["text"], strict=True) for m in matcher.find(normal(t))]
+                rows = [(i, None if item is None else str(item), *rest) for i, item, *rest in rows]
+                yield pd.DataFrame(rows, columns=[x.split()[0] for x in MATCHES.split(", ")], dtype=object)
 
-        found = found.union(texts(docs).mapInPandas(run, MATCHES))
+        own = MATCHES.replace("doc_id long", "doc_id string").replace("item_id long", "item_id string")
+        found = found.union(with_long(texts_by_name(docs).mapInPandas(run, own), "doc_id", "item_id"))
     return found
 
 

@@ -71,14 +71,16 @@ class Encoder:
         if len(self.known) + len(new) > self.limit:
             self.known = dict(list(self.known.items())[: self.core])
             new = words - self.known.keys()
-        ended = {w: x for w in new if (x := w.rstrip(_PUNCTUATION)) != w and x[-1:].isalpha()}
+        ended = {w: x for w in new if (x := w.rstrip(_PUNCTUATION)) != w and x[-1:].isalpha() and (self.spaced or x[-1:].isascii())}
         new = (new - ended.keys()) | ({*ended.values()} | {w[len(x) :] for w, x in ended.items()}) - self.known.keys()
         for w in [w for w in new if w.isspace()]:
             self.known[w] = self._whole(w)
             new.discard(w)
         if new:
             self._learn(sorted(new))
-        for w, x in ended.items():  # both tokenizers cut between a letter and punctuation
+        # Both tokenizers cut between a letter and punctuation.  The word-level one first rewrites letters, and some end in a mark
+        # that keeps to the punctuation, so only plain letters count there.
+        for w, x in ended.items():
             self.known[w] = self.known[x] + self.known[w[len(x) :]]
 
     def _cut(self, text: str) -> list[list[str]] | None:
@@ -100,11 +102,10 @@ class Encoder:
 
 
 def encoded(enc: Encoder, batch, together: int = 128):
-    """``doc_id`` (None for null) and ids of each row of a batch, some texts at a time."""
+    """``doc_id`` (a string; None for null) and ids of each row of a batch, some texts at a time."""
     for i in range(0, len(batch), together):
         some = batch.iloc[i : i + together]
-        ids = [None if x is None or x != x else int(x) for x in some["doc_id"]]
-        yield from zip(ids, enc.ids(list(some["text"])), strict=True)
+        yield from zip(list(some["doc_id"]), enc.ids(list(some["text"])), strict=True)
 
 
 @lru_cache(maxsize=2)

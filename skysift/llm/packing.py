@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skysift.llm import encode
-from skysift.llm.common import materialize, texts
+from skysift.llm.common import materialize, texts_by_name, with_long
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, nth long"
-PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long, part long, nth long"
+PLACED = "doc_id string, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
 def cut_points(n: int, size: int) -> list[tuple[int, int]]:
@@ -113,11 +113,9 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int) -> DataFram
                 for k, (start, length) in enumerate(cut_points(len(ids) // 4, size)):
                     rows.append((doc_id, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), part, seen[length]))
                     seen[length] += 1
-            out = pd.DataFrame(rows, columns=[x.split()[0] for x in PIECES.split(", ")])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in PIECES.split(", ")])
 
-    return materialize(texts(docs).mapInPandas(run, PIECES), "pieces")
+    return materialize(texts_by_name(docs).mapInPandas(run, PIECES), "pieces")
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int, size: int = 1024) -> DataFrame:
@@ -140,7 +138,6 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, size: int = 1024) -> Dat
             inside = rank - where["rank"][k]
             batch["sequence_id"] = where["sequence"][k] + inside // where["copies"][k]
             batch["offset"] = where["offset"][k] + inside % where["copies"][k] * length
-            batch["doc_id"] = batch["doc_id"].astype("Int64")
             yield batch[[x.split()[0] for x in PLACED.split(", ")]]
 
-    return cut.join(base, ["length", "part"]).mapInPandas(place, PLACED)
+    return with_long(cut.join(base, ["length", "part"]).mapInPandas(place, PLACED), "doc_id")

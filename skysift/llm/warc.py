@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from skysift.lineage import shared_folder
 from skysift.llm import files
-from skysift.llm.common import materialize, utf8
+from skysift.llm.common import materialize, utf8, with_long
 
-INDEX = "file string, offset long, length long, url string, digest string, page_id long, record_type string"
-RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+INDEX = "file string, offset long, length long, url string, digest string, page_id string, record_type string"
+RECORDS = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string"
 FILE_BYTES = 1 << 29
 
 
@@ -94,29 +94,33 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0,
     """Write all pages; returns the written index."""
     folder = folder or shared_folder(pages.sparkSession, "warc")
 
+    names = ["page_id", "refers_to"]
+
     def run(batches):
         part, out, name, at = TaskContext.get().partitionId(), None, None, 0
         try:
             for batch in batches:
                 rows = []
-                for page_id, url, html, refers in zip(*(batch[c].astype("object").where(batch[c].notna(), None) for c in ("page_id", "url", "html", "refers_to")), strict=True):
+                for page_id, url, html, refers in zip(*(batch[c] for c in ("page_id", "url", "html", "refers_to")), strict=True):
                     if out is None or at >= file_bytes:
                         if out is not None:
                             out.close()
                         name, at = files.new_name(folder, part, ".warc.gz"), 0
                         out = files.create(name)
                     payload = utf8(html)
-                    page_id, refers = page_id if page_id is None else int(page_id), refers if refers is None else int(refers)
                     member = gzip.compress(record(page_id, url, payload, refers, date), 6, mtime=0)
                     out.write(member)
                     rows.append((name, at, len(member), url, digest(payload), page_id, "response" if refers is None else "revisit"))
                     at += len(member)
-                yield pd.DataFrame(rows, columns=[x.split()[0] for x in INDEX.split(", ")]).astype({"page_id": "Int64"})
+                yield pd.DataFrame(rows, columns=[x.split()[0] for x in INDEX.split(", ")])
         finally:
             if out is not None:
                 out.close()
 
-    return materialize(with_targets(pages, least).mapInPandas(run, INDEX), "warc-index")
+    # Ids are strings in Python: beside a null, pandas would turn longs into doubles and lose digits above 2^53.
+    rows = with_targets(pages, least)
+    rows = rows.withColumns({n: F.col(n).cast("string") for n in names})
+    return materialize(with_long(rows.mapInPandas(run, INDEX), "page_id"), "warc-index")
 
 
 def ranges(rows: list[tuple[str, int, int]], gap: int, most: int):
@@ -148,18 +152,18 @@ def read_records(selected: DataFrame, gap: int = 1 << 16, most: int = 1 << 23, s
                     fields, payload = parse(zlib.decompress(data[offset - low : offset - low + length], 31))
                     revisit = fields["WARC-Type"] == "revisit"
                     out.append((
-                        int(fields["X-Page"]) if "X-Page" in fields else None,
+                        fields.get("X-Page"),
                         fields.get("WARC-Target-URI"),
                         int(fields["X-Payload-Length"]) if revisit else len(payload),
                         fields["WARC-Payload-Digest"].removeprefix("sha1:") if revisit else digest(payload),
                         fields["WARC-Type"],
-                        int(fields["X-Refers-To-Page"]) if revisit else None,
+                        fields["X-Refers-To-Page"] if revisit else None,
                     ))
                 at += n
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in RECORDS.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in RECORDS.split(", ")])
 
     place = (F.col("offset") / stretch).cast("long")
     rows = selected.select("file", "offset", "length")
     size = rows.agg(F.sum("length")).first()[0] or 0
     tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // stretch))  # rows stand for bytes elsewhere
-    return rows.repartition(tasks, "file", place).sortWithinPartitions("file", "offset").mapInPandas(run, RECORDS)
+    return rows.repartition(tasks, "file", place).sortWithinPartitions("file", "offset").mapInPandas(run, RECORDS).transform(with_long, "page_id", "refers_to")

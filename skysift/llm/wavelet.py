@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from skysift.lineage import shared_folder
 from skysift.llm import encode, files
-from skysift.llm.common import materialize, texts
+from skysift.llm.common import materialize, texts, with_long
 
 MAGIC = b"WVLT0001"
 BLOCK = 1 << 18  # bits
@@ -164,7 +164,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, shard_tokens: in
             with files.create(name) as f:
                 f.write(build(np.frombuffer(b"".join(ids), "<u4"), doc_ids, lengths))
             row = pd.DataFrame([(part, shard, name, doc_ids[0], len(doc_ids), total)], columns=[x.split()[0] for x in INDEX.split(", ")])
-            row["first_doc"] = row["first_doc"].astype("Int64")
+            row["first_doc"] = pd.array([doc_ids[0]], "Int64")
             ids, doc_ids, lengths, total, shard = [], [], [], 0, shard + 1
             return row
 
@@ -172,7 +172,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, shard_tokens: in
             for doc_id, own in encode.encoded(enc, batch):
                 own += end
                 ids.append(own)
-                doc_ids.append(doc_id)
+                doc_ids.append(None if doc_id is None else int(doc_id))
                 lengths.append(len(own) // 4)
                 total += lengths[-1]
                 if total >= shard_tokens:
@@ -181,6 +181,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, shard_tokens: in
             yield close()
 
     ordered = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = ordered.withColumn("doc_id", F.col("doc_id").cast("string"))  # as in texts_by_name
     return materialize(ordered.mapInPandas(run, INDEX), "token-index")
 
 
@@ -205,7 +206,7 @@ def read_tokens(index: DataFrame) -> DataFrame:
                 ends = np.cumsum(wavelet.lengths)
                 starts = ends - wavelet.lengths
                 yield pd.DataFrame({
-                    "doc_id": pd.array(wavelet.doc_ids, "Int64"),
+                    "doc_id": [None if x is None else str(x) for x in wavelet.doc_ids],
                     "start": starts + start,
                     "n_tokens": wavelet.lengths,
                     "ids_crc32": [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)],
@@ -213,4 +214,4 @@ def read_tokens(index: DataFrame) -> DataFrame:
 
     tasks = max(1, index.count() // 2)  # a row stands for a whole file, so rows, not bytes, are dealt
     few = shards.select("file", "base", "inside").repartition(tasks, "file")
-    return few.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return with_long(few.mapInPandas(run, "doc_id string, start long, n_tokens long, ids_crc32 long"), "doc_id")
