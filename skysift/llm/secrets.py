@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from skysift.lineage import shared_folder
 from skysift.llm.common import materialize
 
-FINDINGS = "array<struct<kind:string,start:long,end:long>>"
+#: In the ledger a finding names the rule and its version, so findings of a rule that was changed or dropped are told apart.
+FINDINGS = "array<struct<rule:string,start:long,end:long>>"
 
 
 @dataclass(frozen=True)
@@ -61,7 +62,7 @@ _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 
 
 def find(text: str, rules: tuple[Rule, ...]) -> list[tuple[str, int, int]]:
-    """All findings of ``rules``, by start, then in the order of the rules."""
+    """All findings of ``rules`` (key, start, end), by start, then in the order of the rules."""
     low = text.lower()
     out = []
     for place, rule in enumerate(rules):
@@ -72,8 +73,8 @@ def find(text: str, rules: tuple[Rule, ...]) -> list[tuple[str, int, int]]:
         # ASCII only: no letter outside ASCII may fold into a keyword
         for m in re.compile(rule.pattern, re.ASCII | (re.IGNORECASE if rule.any_case else 0)).finditer(text):
             if len(m.group(rule.group)) >= rule.least:
-                out.append((m.start(), place, rule.kind, m.end()))
-    return [(kind, start, end) for start, _, kind, end in sorted(out)]
+                out.append((m.start(), place, rule.key, m.end()))
+    return [(key, start, end) for start, _, key, end in sorted(out)]
 
 
 def _scanner(rules: tuple[Rule, ...]):
@@ -83,7 +84,7 @@ def _scanner(rules: tuple[Rule, ...]):
     def scan(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for content, keys in batches:
             yield pd.Series([
-                [{"kind": k, "start": s, "end": e} for k, s, e in find(t, tuple(r for key, r in by_key.items() if key in set(wanted)))]
+                [{"rule": k, "start": s, "end": e} for k, s, e in find(t, tuple(r for key, r in by_key.items() if key in set(wanted)))]
                 for t, wanted in zip(content, keys, strict=True)
             ])
 
@@ -134,9 +135,10 @@ def read_ledger(spark, ledger: str) -> DataFrame:
 def findings_by_path(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``path, version, blob, findings`` for every row of ``versions``, from the ledger.
 
-    Only findings of the wanted rules are listed, by start, then in the order of the rules.
+    Only findings of the wanted rules in their wanted versions are listed, by start, then in the order of the rules.
     """
-    order = F.array(*(F.lit(r.kind) for r in rules))
+    order = F.array(*(F.lit(r.key) for r in rules))
+    kind_of = lambda key: F.regexp_replace(key, "@[0-9]+$", "")
     found = (
         read_ledger(versions.sparkSession, ledger)
         .groupBy("blob")
@@ -145,8 +147,8 @@ def findings_by_path(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] =
             F.col("blob").alias("address"),
             F.array_sort(
                 F.transform(
-                    F.filter("all", lambda x: F.array_contains(order, x["kind"])),
-                    lambda x: F.struct(x["start"].alias("start"), F.array_position(order, x["kind"]).alias("place"), x["end"].alias("end"), x["kind"].alias("kind")),
+                    F.filter("all", lambda x: F.array_contains(order, x["rule"])),
+                    lambda x: F.struct(x["start"].alias("start"), F.array_position(order, x["rule"]).alias("place"), x["end"].alias("end"), kind_of(x["rule"]).alias("kind")),
                 )
             ).alias("found"),
         )
@@ -176,11 +178,11 @@ def redact(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, mark:
     while set(own) & set(names):
         own = [f"_{x}" for x in own]
     address, found = own
-    wanted = F.array(*(F.lit(r.kind) for r in rules))
+    wanted = F.array(*(F.lit(r.key) for r in rules))
     marked = (
         read_ledger(docs.sparkSession, ledger)
         .groupBy("blob")
-        .agg(F.filter(F.array_distinct(F.flatten(F.collect_list("findings"))), lambda x: F.array_contains(wanted, x["kind"])).alias(found))
+        .agg(F.filter(F.array_distinct(F.flatten(F.collect_list("findings"))), lambda x: F.array_contains(wanted, x["rule"])).alias(found))
         .where(F.size(found) > 0)
         .select(F.col("blob").alias(address), found)
     )

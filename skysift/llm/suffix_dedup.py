@@ -232,8 +232,8 @@ def repeats_in_shard(blobs: list[bytes], length: int, memory: int, folder: str |
 
 def covered_spans(docs: DataFrame, length: int = 50, shard_bytes: int = 6 << 20, passes: int = 2, memory: int = 1 << 24) -> DataFrame:
     """``doc_id, start, end``: stretches of bytes that repeat a smaller document; they may overlap."""
-    if not GRAM < length <= 128:
-        raise ValueError(f"length must be over {GRAM} and at most 128")
+    if not GRAM < length <= induced.CAP:
+        raise ValueError(f"length must be over {GRAM} and at most {induced.CAP}, the length to which common prefixes are counted")
     spark = docs.sparkSession
     rows = texts(docs).where("doc_id IS NOT NULL")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0

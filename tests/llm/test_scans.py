@@ -130,6 +130,26 @@ def test_ledger_is_incremental(spark, tmp_path):
     assert secrets.findings_by_path(more, ledger).count() == more.count()
 
 
+def test_changed_and_dropped_rules_take_their_findings_along(spark, tmp_path):
+    """A stricter version hides what the older one found, also from the redaction; the older one is still on record."""
+    text = "token=abcdefg and token=abcdefghijklmnop"
+    docs = spark.createDataFrame([(1, text, "keep")], "doc_id long, text string, other string")
+    versions, ledger = secrets.as_versions(docs), f"{tmp_path}/ledger"
+    old = secrets.Rule("assign", 1, "token=([a-z]+)", 1, 6)
+    new = secrets.Rule("assign", 2, "token=([a-z]+)", 1, 10)
+    other = secrets.Rule("other", 1, "and")
+    found = lambda *rules: [(x.kind, x.start, x.end) for x in secrets.findings_by_path(versions, ledger, rules).first().findings]
+    cut = lambda *rules: secrets.redact(docs, ledger, rules).first().text
+    secrets.scan_unseen(versions, ledger, (old, other))
+    assert found(old, other) == [("assign", 0, 13), ("other", 14, 17), ("assign", 18, 40)]
+    secrets.scan_unseen(versions, ledger, (new,))
+    assert found(new) == [("assign", 18, 40)] and cut(new) == "token=abcdefg and [SECRET]"
+    assert found(new, other) == [("other", 14, 17), ("assign", 18, 40)]
+    assert found(other) == [("other", 14, 17)] and cut(other) == "token=abcdefg [SECRET] token=abcdefghijklmnop"
+    assert found(old) == [("assign", 0, 13), ("assign", 18, 40)] and cut(old) == "[SECRET] and [SECRET]"
+    assert found() == [] and cut() == text
+
+
 def test_redaction(spark, tmp_path, hard):
     docs = spark.createDataFrame([(1, SECRETS[0], 3, "x"), (2, "clean", 5, "y"), (3, None, None, "z")], "doc_id long, text string, n_chars long, found string")
     ledger = f"{tmp_path}/ledger"

@@ -57,3 +57,16 @@ def test_rows_of_one_id_and_empty_tables(spark):
     got = {(r.doc_id, r.n_removed, r.n_spans, r.kept) for r in suffix_dedup.dedup(docs, with_kept=True).collect()}
     assert got == {(5, 0, 0, text.encode()), (7, 100, 1, b"!"), (None, 0, 0, text.encode()), (9, 0, 0, text[:49].encode())}
     assert suffix_dedup.dedup(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("length", [16, 121, 128])
+def test_lengths_beyond_the_counted_prefix_are_refused(spark, length):
+    with pytest.raises(ValueError, match="length must be"):
+        suffix_dedup.covered_spans(spark.createDataFrame([(1, "a")], "doc_id long, text string"), length=length)
+
+
+def test_the_longest_length_is_exact(spark):
+    draw = random.Random(2)
+    text = "".join(draw.choice("abcdef ") for _ in range(230))
+    docs = spark.createDataFrame([(1, text), (2, text[:200])], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.dedup(docs, length=120).collect()} == {1: 0, 2: 200}
