@@ -14,7 +14,7 @@ from skysift.config import CloudRules
 from skysift.functions.camera import camera_centre
 from skysift.functions.numeric import clip, half_even, is_finite, norm, settled
 from skysift.lineage import cut, fan_out, is_empty
-from skysift.operators.ordering import BLOCK, bounded_quantiles, numbered, previous
+from skysift.operators.ordering import BLOCK, numbered, previous, quantiles
 from skysift.operators.spatial import cells, components, radius_pairs, ring
 
 XYZ = ["x", "y", "z"]
@@ -313,7 +313,7 @@ def cloud_stats(points: DataFrame, key: str = "scene_id") -> DataFrame:
 
 def cloud_metrics(points: DataFrame, keys: list[str]) -> DataFrame:
     """Extent, volume, density and confidence of each cloud."""
-    middle = bounded_quantiles(points, keys, "conf", {"median_confidence": 0.5}, limit=5_000_000)
+    middle = quantiles(points, keys, "conf", {"median_confidence": 0.5})
     sums = points.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("point_count"),
         *[(F.max(c) - F.min(c)).alias(f"extent_{c}") for c in XYZ],

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skysift.functions.numeric import clip, is_finite, settled
 from skysift.lineage import cut
-from skysift.operators.ordering import bounded_quantiles
+from skysift.operators.ordering import quantiles
 from skysift.operators.raster import FRAME
 
 
@@ -75,13 +75,13 @@ def align_depth(
     rows = rows.join(sizes.select(*FRAME), FRAME, "left_semi")
     if method == "median_ratio":
         ratio = rows.withColumn("_ratio", F.col("depth") / (F.col("mono_depth") + 1e-8))
-        line = bounded_quantiles(ratio, FRAME, "_ratio", {"scale": 0.5}).withColumn("shift", F.lit(0.0))
+        line = quantiles(ratio, FRAME, "_ratio", {"scale": 0.5}).withColumn("shift", F.lit(0.0))
     else:
         line = cut(_solve(rows, F.lit(1.0)))
         for _ in range(3):
             residual = F.abs(F.col("mono_depth") * F.col("scale") + F.col("shift") - F.col("depth"))
             judged = rows.join(line, FRAME).withColumn("_r", residual).drop("scale", "shift")
-            middle = bounded_quantiles(judged, FRAME, "_r", {"_med": 0.5})
+            middle = quantiles(judged, FRAME, "_r", {"_med": 0.5})
             weight = 1.0 / F.greatest(F.lit(1.0), F.col("_r") / (1.345 * (F.col("_med") + 1e-6)))
             line = cut(_solve(judged.join(middle, FRAME), weight * weight))
         line = line.withColumn("scale", F.greatest(F.lit(1e-4), "scale"))
@@ -131,7 +131,7 @@ def consistency_stats(scored: DataFrame) -> DataFrame:
     valid = scored.filter(
         (F.col("depth") > 0.1) & (F.col("aligned_depth") > 0.1) & ~F.isnan("depth") & (F.col("depth_conf") > 0.5)
     )
-    middle = bounded_quantiles(valid, FRAME, "abs_diff", {"_med": 0.5})
+    middle = quantiles(valid, FRAME, "abs_diff", {"_med": 0.5})
     sums = valid.groupBy(*FRAME).agg(
         F.avg("abs_diff").alias("_mean"), (F.count_if(F.col("agreement") > 0.6) / F.count(F.lit(1)) * 100.0).alias("_high")
     )

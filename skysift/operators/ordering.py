@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skysift.lineage import is_empty
 
 BLOCK = 4096
 
@@ -97,71 +96,56 @@ def top_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, spread
     )
 
 
-def quantiles(
-    df: DataFrame, keys: list[str], value: str, points: dict[str, float], bins: int = 1024
-) -> DataFrame:
-    """Exact linear-interpolated quantiles per key without gathering a key in one task.
+def digits(value: Column, bits: int) -> Column:
+    """A whole number that never falls as ``value`` (a double) rises: sign, power of two and the first ``bits`` of the fraction.
 
-    Equal values are counted first.  Equal-width bins over each key's range give
-    the cumulative counts; only the bins that hold a wanted rank are opened, and
-    inside them a running count finds the two order statistics.
+    Bins of equal digits have the same relative width everywhere, so a far outlier widens none.
     """
-    finite = df.filter(F.col(value).isNotNull() & ~F.isnan(value))
-    counted = finite.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    span = finite.groupBy(*keys).agg(
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("_total")
-    )
-    position = F.when(
-        F.col("_hi") > F.col("_lo"),
-        F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.lit(float(bins))),
-    ).otherwise(F.lit(0))
-    binned = counted.join(span, keys).withColumn("_bin", position)
-    per_bin = binned.groupBy(*keys, "_bin", "_total").agg(F.sum("_n").alias("_size"))
-    upto = Window.partitionBy(*keys).orderBy("_bin")
-    wanted = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("name"),
-                (F.lit(p) * (F.col("_total") - 1)).alias("at"),
-            )
-            for name, p in points.items()
-        ]
-    )
-    cumulative = per_bin.withColumn("_upto", F.sum("_size").over(upto)).withColumn(
-        "_q", F.explode(wanted)
-    )
-    low, high = F.floor(F.col("_q.at")), F.ceil(F.col("_q.at"))
-    first = F.col("_upto") - F.col("_size")
-    opened = cumulative.filter((first <= high) & (F.col("_upto") > low)).select(
-        *keys, "_bin", F.col("_q.name").alias("_name"), F.col("_q.at").alias("_at"), first.alias("_first")
-    )
-    running = Window.partitionBy(*keys, "_name", "_bin").orderBy("_v")
-    ranked = (
-        binned.join(opened, [*keys, "_bin"])
-        .withColumn("_end", F.col("_first") + F.sum("_n").over(running))
-        .withColumn("_begin", F.col("_end") - F.col("_n"))
-    )
-    lo, hi = F.floor("_at"), F.ceil("_at")
-    picked = ranked.groupBy(*keys, "_name", "_at").agg(
-        F.max(F.when((F.col("_begin") <= lo) & (lo < F.col("_end")), F.col("_v"))).alias("_a"),
-        F.max(F.when((F.col("_begin") <= hi) & (hi < F.col("_end")), F.col("_v"))).alias("_b"),
-    )
-    fraction = F.col("_at") - F.floor("_at")
-    value_at = F.col("_a") + (F.col("_b") - F.col("_a")) * fraction
-    return picked.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_name") == name, value_at)).alias(name) for name in points]
-    )
-
-
-def bounded_quantiles(
-    df: DataFrame, keys: list[str], value: str, points: dict[str, float], limit: int = 1_000_000
-) -> DataFrame:
-    """Quantiles by the built-in aggregate while every key stays under ``limit`` rows.
-
-    The built-in keeps the values of a key in one buffer; beyond the limit the
-    binned form takes over.
+    size = F.abs(value)
+    guess = F.floor(F.log2(size))
+    # The logarithm may round across a power of two; the powers themselves are exact.
+    power = F.when(F.pow(F.lit(2.0), guess) > size, guess - 1).when(F.pow(F.lit(2.0), guess + 1) <= size, guess + 1).otherwise(guess)
+    power = F.when(size == float("inf"), F.lit(1024)).otherwise(power)
+    fraction = F.when(size == float("inf"), F.lit(0.0)).otherwise(size / F.pow(F.lit(2.0), power) - 1.0)
+    code = (power + 1076) * F.lit(1 << bits) + F.floor(fraction * float(1 << bits))
+    return F.when(size == 0, F.lit(0)).otherwise(F.signum(value).cast("long") * code.cast("long")).cast("long")
+
+
+def _holding(counts: DataFrame, keys: list[str], bin_: str) -> DataFrame:
+    """Of bins with ``_size`` rows, those that hold a wanted rank: ``_low`` and ``_high`` count from ``_first``, which moves on."""
+    upto = Window.partitionBy(*keys).orderBy(bin_).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.col("_first") + F.sum("_size").over(upto)
+    placed = counts.withColumn("_end", end).withColumn("_first", F.col("_end") - F.col("_size"))
+    return placed.filter((F.col("_first") <= F.col("_high")) & (F.col("_end") > F.col("_low"))).drop("_end", "_size")
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float], coarse: int = 8, fine: int = 32) -> DataFrame:
+    """Exact linear-interpolated quantiles per key, by radix selection on the ordered digits of the values.
+
+    Equal values are counted first.  Bins of the first digits are counted, and only those that hold a wanted rank are looked into:
+    once with ``coarse`` and once with ``fine`` bits of the fraction.  What is left of a key shares 32 bits of its fraction, so
+    a running count over it stays small however many values the key has.
     """
     finite = df.filter(F.col(value).isNotNull() & ~F.isnan(value))
-    if is_empty(finite.groupBy(*keys).count().filter(F.col("count") > limit)):
-        return finite.groupBy(*keys).agg(*[F.percentile(value, F.lit(p)).alias(n) for n, p in points.items()])
-    return quantiles(df, keys, value, points)
+    counted = finite.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    binned = counted.withColumn("_bin", digits(F.col("_v"), coarse))
+    per_bin = binned.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_size"))
+    total = F.sum("_size").over(Window.partitionBy(*keys))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p")) for name, p in points.items()]))
+    at = F.col("_q.p") * (F.col("_total") - 1)
+    asked = per_bin.withColumn("_total", total).withColumn("_q", wanted).select(
+        *keys, "_bin", "_size", F.col("_q.name").alias("_name"), at.alias("_at"), F.floor(at).alias("_low"), F.ceil(at).alias("_high"), F.lit(0).cast("long").alias("_first")
+    )
+    named = [*keys, "_name"]
+    opened = _holding(asked, named, "_bin")
+    ranks = ["_at", "_low", "_high", "_first"]
+    inside = binned.join(opened, [*keys, "_bin"]).withColumn("_sub", digits(F.col("_v"), fine))
+    per_sub = inside.groupBy(*named, "_bin", "_sub", *ranks).agg(F.sum("_n").alias("_size"))
+    last = _holding(per_sub, [*named, "_bin"], "_sub")
+    left = inside.drop(*ranks).join(last, [*named, "_bin", "_sub"])
+    running = Window.partitionBy(*named, "_bin", "_sub").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = left.withColumn("_end", F.col("_first") + F.sum("_n").over(running)).withColumn("_begin", F.col("_end") - F.col("_n"))
+    holds = lambda rank: F.max(F.when((F.col("_begin") <= F.col(rank)) & (F.col(rank) < F.col("_end")), F.col("_v")))
+    picked = ranked.groupBy(*named, "_at").agg(holds("_low").alias("_a"), holds("_high").alias("_b"))
+    value_at = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.floor("_at"))
+    return picked.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == name, value_at)).alias(name) for name in points])

@@ -1,7 +1,8 @@
 """Pixel operators: stencils, frame statistics, fingerprints, masks.
 
 ``pixels`` has one row per pixel: ``mission_id, frame_idx, r, c`` plus colours,
-flags or depth.  Stencil windows run along single image rows and columns.
+flags or depth.  Stencils work on image rows as arrays: neighbours in the row by index, in the rows above and below by a
+window over rows.
 """
 
 from __future__ import annotations
@@ -16,39 +17,78 @@ from skysift.operators.ordering import quantiles
 FRAME = ["mission_id", "frame_idx"]
 
 
-def _along_row(frame: list[str] = FRAME):
-    return Window.partitionBy(*frame, "r").orderBy("c")
+def image_rows(pixels: DataFrame, frame: list[str] = FRAME) -> DataFrame:
+    """One row per image row: ``c0``, its first column, and ``px``, its pixels from there on (null where one is missing).
+
+    Pixels of an image row that lie together in the input are packed before the shuffle.
+    """
+    others = [c for c in pixels.columns if c not in (*frame, "r", "c")]
+    packed = pixels.groupBy(*frame, "r").agg(F.array_sort(F.collect_list(F.struct("c", *others))).alias("px"))
+    first, last = F.col("px")[0]["c"], F.element_at("px", -1)["c"]
+    filled = F.transform(F.sequence(first, last), lambda c: F.get(F.filter("px", lambda p: p["c"] == c), 0))
+    whole = F.size("px") == last - first + 1
+    return packed.select(*frame, "r", first.alias("c0"), F.when(whole, F.col("px")).otherwise(filled).alias("px"))
+
+
+def pixels_of(rows: DataFrame, columns: list[str], made: dict[str, str], frame: list[str] = FRAME) -> DataFrame:
+    """Back to one row per pixel: ``columns``, and for each array column of ``made`` its value under the new name."""
+    zipped = F.explode(F.arrays_zip("px", *[F.col(a) for a in made])).alias("_p")
+    flat = rows.select(*frame, "r", zipped).filter(F.col("_p.px").isNotNull())
+    inner = [c for c in columns if c not in (*frame, "r")]
+    return flat.select(*frame, "r", *[F.col("_p.px")[c].alias(c) for c in inner], *[F.col("_p")[a].alias(n) for a, n in made.items()]).select(*columns, *made.values())
+
+
+def _sides(values: Column, i: Column, own: Column) -> tuple[Column, Column]:
+    """Left and right neighbour in an array, mirrored at the border."""
+    left, right = F.get(values, i - 1), F.get(values, i + 1)
+    return F.coalesce(left, right, own), F.coalesce(right, left, own)
 
 
-def _along_column(frame: list[str] = FRAME):
-    return Window.partitionBy(*frame, "c").orderBy("r")
+def with_neighbour_rows(rows: DataFrame, columns: list[str], frame: list[str] = FRAME) -> DataFrame:
+    """The rows above and below as structs ``_up`` and ``_down`` with ``c0`` and the array columns."""
+    down_the_frame = Window.partitionBy(*frame).orderBy("r")
+    row = F.struct("c0", *columns)
+    return rows.withColumns({"_up": F.lag(row).over(down_the_frame), "_down": F.lead(row).over(down_the_frame)})
 
 
-def _mirror(value: Column, window) -> tuple[Column, Column]:
-    """Both neighbours along a window, mirrored at the border."""
-    before, after = F.lag(value).over(window), F.lead(value).over(window)
-    return F.coalesce(before, after, value), F.coalesce(after, before, value)
+def _above_below(column: str, i: Column, own: Column) -> tuple[Column, Column]:
+    """Neighbours in the rows above and below, mirrored at the border."""
+    at = lambda row: F.get(F.col(row)[column], (i + F.col("c0") - F.col(row)["c0"]).cast("int"))
+    up, down = at("_up"), at("_down")
+    return F.coalesce(up, down, own), F.coalesce(down, up, own)
 
 
 def laplacian(pixels: DataFrame, value: str = "gray") -> DataFrame:
-    left, right = _mirror(F.col(value), _along_row())
-    up, down = _mirror(F.col(value), _along_column())
-    flat = pixels.withColumns({"_l": left, "_r": right})
-    full = flat.withColumns({"_u": up, "_d": down})
-    return full.withColumn(
-        "laplacian", F.col("_l") + F.col("_r") + F.col("_u") + F.col("_d") - 4 * F.col(value)
-    ).drop("_l", "_r", "_u", "_d")
+    """3x3 Laplacian; image rows are shuffled, never single pixels."""
+    rows = image_rows(pixels).withColumn("_v", F.transform("px", lambda p: p[value]))
+
+    def at(own: Column, i: Column) -> Column:
+        left, right = _sides(F.col("_v"), i, own)
+        up, down = _above_below("_v", i, own)
+        return left + right + up + down - 4 * own
+
+    full = with_neighbour_rows(rows, ["_v"]).withColumn("_lap", F.transform("_v", at))
+    return pixels_of(full, pixels.columns, {"_lap": "laplacian"})
 
 
 def gradient(pixels: DataFrame, value: str = "gray") -> DataFrame:
     """3x3 Sobel magnitude: smooth along one axis, difference along the other."""
-    left, right = _mirror(F.col(value), _along_row())
-    flat = pixels.withColumns({"_dx": right - left, "_sx": left + 2 * F.col(value) + right})
-    up_d, down_d = _mirror(F.col("_dx"), _along_column())
-    up_s, down_s = _mirror(F.col("_sx"), _along_column())
-    full = flat.withColumns({"_gx": up_d + 2 * F.col("_dx") + down_d, "_gy": down_s - up_s})
-    size = norm(F.col("_gx").cast("double"), F.col("_gy").cast("double"))
-    return full.withColumn("gradient", size).drop("_dx", "_sx", "_gx", "_gy")
+
+    def across(own: Column, i: Column, values: Column) -> Column:
+        left, right = _sides(values, i, own)
+        return F.struct((right - left).alias("d"), (left + 2 * own + right).alias("s"))
+
+    rows = image_rows(pixels).withColumn("_v", F.transform("px", lambda p: p[value]))
+    rows = rows.withColumn("_row", F.transform("_v", lambda own, i: across(own, i, F.col("_v"))))
+
+    def at(own: Column, i: Column) -> Column:
+        up, down = _above_below("_row", i, own)
+        gx = (up["d"] + 2 * own["d"] + down["d"]).cast("double")
+        gy = (down["s"] - up["s"]).cast("double")
+        return norm(gx, gy)
+
+    full = with_neighbour_rows(rows, ["_row"]).withColumn("_size", F.transform("_row", at))
+    return pixels_of(full, pixels.columns, {"_size": "gradient"})
 
 
 def smooth_surface(pixels: DataFrame, threshold: float = 28.0) -> DataFrame:
@@ -63,12 +103,27 @@ def water_candidates(pixels: DataFrame, threshold: float = 28.0) -> DataFrame:
 
 def edge_density(pixels: DataFrame, half: int = 12) -> DataFrame:
     """Mean of the edge flag over a square window, cut off at the border."""
-    row_window = _along_row().rowsBetween(-half, half)
-    column_window = _along_column().rowsBetween(-half, half)
-    flag = F.col("is_edge").cast("long")
-    summed = pixels.withColumns({"_s": F.sum(flag).over(row_window), "_n": F.count(flag).over(row_window)})
-    total, size = F.sum("_s").over(column_window), F.sum("_n").over(column_window)
-    return summed.withColumn("edge_density", total / size).drop("_s", "_n")
+    flag = lambda p: F.struct(F.coalesce(p["is_edge"].cast("long"), F.lit(0)).alias("s"), p["is_edge"].isNotNull().cast("long").alias("n"))
+    none = F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("n"))
+    plus = lambda a, b: F.struct((a["s"] + b["s"]).alias("s"), (a["n"] + b["n"]).alias("n"))
+    rows = image_rows(pixels).withColumn("_f", F.transform("px", flag))
+
+    def across(_, i: Column) -> Column:
+        low = F.greatest(F.lit(0), i - half)
+        window = F.slice("_f", low + 1, i + half + 1 - low)
+        return F.aggregate(window, none, plus)
+
+    summed = rows.withColumn("_h", F.transform("_f", across))
+    around = Window.partitionBy(*FRAME).orderBy("r").rowsBetween(-half, half)
+    stacked = summed.withColumn("_stack", F.collect_list(F.struct("c0", "_h")).over(around))
+
+    def density(_, i: Column) -> Column:
+        at = lambda row: F.coalesce(F.get(row["_h"], (i + F.col("c0") - row["c0"]).cast("int")), none)
+        total = F.aggregate("_stack", none, lambda acc, row: plus(acc, at(row)))
+        return total["s"] / total["n"]
+
+    full = stacked.withColumn("_density", F.transform("_h", density))
+    return pixels_of(full, pixels.columns, {"_density": "edge_density"})
 
 
 def frame_rows(pixels: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from skysift.operators import cloud, frames, incidents, merging, spatial, successors
-from skysift.operators.ordering import numbered, previous, quantiles, top_rows
+from skysift.operators import cloud, frames, incidents, merging, raster, spatial, successors
+from skysift.operators.ordering import digits, numbered, previous, quantiles, top_rows
 from skysift.operators.suppression import nms
 
 BOXES = "mission_id long, frame_idx long, det_id long, raw_class string, conf double, x1 long, y1 long, x2 long, y2 long"
@@ -262,10 +262,88 @@ def test_quantiles(spark):
     rng = np.random.default_rng(0)
     data = {1: rng.normal(size=999), 2: np.round(rng.normal(size=500), 1), 3: np.array([4.0]), 4: np.full(50, 2.5)}
     df = spark.createDataFrame([(k, float(x)) for k, xs in data.items() for x in xs], "k long, v double")
-    for row in quantiles(df, ["k"], "v", {"a": 0.02, "m": 0.5, "z": 0.98}, bins=16).collect():
+    for row in quantiles(df, ["k"], "v", {"a": 0.02, "m": 0.5, "z": 0.98}).collect():
         assert np.allclose([row.a, row.m, row.z], np.percentile(data[row.k], [2, 50, 98]))
 
 
+def test_quantiles_of_extreme_values(spark):
+    """Far outliers, one value in many shapes, both signs, the smallest and the largest doubles."""
+    rng = np.random.default_rng(5)
+    data = {
+        1: np.concatenate([rng.normal(size=500), [1e300, -1e300]]), 2: 1e6 + rng.random(700) * 1e-6, 3: np.concatenate([np.zeros(40), -np.zeros(3), [5e-324, -5e-324, 2.0**-1022]]),
+        4: np.array([1.0, 2.0, 4.0, np.nextafter(2.0, 0), np.nextafter(4.0, 9)] * 7), 5: -np.exp(rng.normal(size=300) * 50), 6: np.array([7.0, np.inf, 8.0]),
+    }
+    df = spark.createDataFrame([(k, float(x)) for k, xs in data.items() for x in xs] + [(1, None), (9, None), (2, float("nan"))], "k long, v double")
+    got = {r.k: (r.a, r.m, r.z) for r in quantiles(df, ["k"], "v", {"a": 0.02, "m": 0.5, "z": 0.9}).collect()}
+    assert set(got) == set(data)
+    for k in (1, 2, 3, 4, 5):
+        assert np.allclose(got[k], np.percentile(data[k], [2, 50, 90]), rtol=1e-12, atol=0), k
+    assert got[6][1] == 8.0
+
+
+def test_digits_never_fall(spark):
+    rng = np.random.default_rng(6)
+    values = np.concatenate([np.exp(rng.normal(size=2000) * 300), -np.exp(rng.normal(size=2000) * 300), [0.0, 5e-324, -5e-324, np.inf, -np.inf, 1.7e308], 2.0 ** np.arange(-1074, 1024), np.nextafter(2.0 ** np.arange(-1000, 1000), 0)])
+    df = spark.createDataFrame([(float(v),) for v in np.unique(values)], "v double")
+    for bits in (4, 32):
+        got = [r.d for r in df.select("v", digits(F.col("v"), bits).alias("d")).orderBy("v").collect()]
+        assert all(a <= b for a, b in zip(got, got[1:])) and got.count(0) == 1
+
+
+def test_one_outlier_does_not_fill_a_bin(spark):
+    """A hundred thousand values and one far away: the bins that are looked into hold a small part."""
+    df = spark.createDataFrame([(float(x),) for x in [*np.random.default_rng(7).random(20_000), 1e200]], "v double")
+    sizes = [r["count"] for r in df.groupBy(digits(F.col("v"), 8)).count().collect()]
+    assert max(sizes) < 200
+
+
+def plain_neighbours(image, r, c):
+    """Above, below, left, right; mirrored where there is none."""
+    at = lambda i, j: image.get((i, j))
+    up, down, left, right = at(r - 1, c), at(r + 1, c), at(r, c - 1), at(r, c + 1)
+    own = image[r, c]
+    pick = lambda *xs: next((x for x in xs if x is not None), own)
+    return pick(up, down), pick(down, up), pick(left, right), pick(right, left)
+
+
+def test_stencils_of_odd_shapes(spark):
+    """Frames of one row, one column, rows of different extent; every value against the plain rule."""
+    rng = random.Random(2)
+    shapes = {0: [(r, c) for r in range(5) for c in range(7)], 1: [(0, c) for c in range(4)], 2: [(r, 3) for r in range(4)], 3: [(r, c) for r in range(4) for c in range(r, 6 + r % 2)], 4: [(0, 0)]}
+    images = {f: {p: rng.randrange(256) for p in ps} for f, ps in shapes.items()}
+    images[5] = {(r, c): rng.randrange(256) for r in range(4) for c in range(6) if (r, c) != (1, 2)}  # a hole
+    rows = [(1, f, r, c, v, v % 3 == 0) for f, image in images.items() for (r, c), v in image.items()]
+    pixels = spark.createDataFrame(rows, "mission_id long, frame_idx long, r long, c long, gray long, is_edge boolean").repartition(5)
+    got = {(r.frame_idx, r.r, r.c): r for r in raster.laplacian(pixels).collect()}
+    assert len(got) == len(rows) and set(raster.laplacian(pixels).columns) == {*pixels.columns, "laplacian"}
+    for f, image in images.items():
+        for (r, c), v in image.items():
+            up, down, left, right = plain_neighbours(image, r, c)
+            assert got[f, r, c].laplacian == up + down + left + right - 4 * v, (f, r, c)
+    full = {(r.r, r.c): r.gradient for r in raster.gradient(pixels.filter("frame_idx = 0")).collect()}
+    image = images[0]
+    mirror = lambda i, n: 1 if i < 0 else n - 2 if i >= n else i
+    for (r, c), size in full.items():
+        g = lambda i, j: image[mirror(r + i, 5), mirror(c + j, 7)]
+        gx = sum(w * (g(i, 1) - g(i, -1)) for i, w in ((-1, 1), (0, 2), (1, 1)))
+        gy = sum(w * (g(1, j) - g(-1, j)) for j, w in ((-1, 1), (0, 2), (1, 1)))
+        assert np.isclose(size, np.hypot(gx, gy))
+    dense = {(r.frame_idx, r.r, r.c): r.edge_density for r in raster.edge_density(pixels, 2).collect()}
+    for f, image in images.items():
+        if f in (2, 5):
+            for r, c in image:
+                around = [v % 3 == 0 for (i, j), v in image.items() if abs(i - r) <= 2 and abs(j - c) <= 2]
+                assert np.isclose(dense[f, r, c], np.mean(around))
+
+
+def test_stencils_shuffle_rows_not_pixels(spark):
+    """Above the scan, exchanges carry packed image rows."""
+    rows = [(1, 0, r, c, (r * c) % 251) for r in range(30) for c in range(200)]
+    pixels = spark.createDataFrame(rows, "mission_id long, frame_idx long, r long, c long, gray long").coalesce(2)
+    plan = raster.laplacian(pixels)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_collect_list" in plan and plan.count("Exchange hashpartitioning") == 2
+
+
 def test_numbered_previous_and_top(spark):
     df = spark.createDataFrame([(k, i, i * i) for k in (1, 2) for i in range(0, 50, 3)], "k long, i long, v long")
     block = F.floor(F.col("i") / 10)
