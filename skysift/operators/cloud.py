@@ -15,7 +15,7 @@ from skysift.functions.camera import camera_centre
 from skysift.functions.numeric import clip, half_even, is_finite, norm, settled
 from skysift.lineage import cut, fan_out, is_empty
 from skysift.operators.ordering import BLOCK, numbered, previous, quantiles
-from skysift.operators.spatial import cells, components, radius_pairs, ring
+from skysift.operators.spatial import cells, components, near_weights, radius_pairs, ring
 
 XYZ = ["x", "y", "z"]
 COLOURS = ["red", "grn", "blu"]
@@ -88,34 +88,28 @@ def voxel_downsample(points: DataFrame, sizes: DataFrame | None = None) -> DataF
 
 
 def neighbour_counts(points: DataFrame, radius: Column, enough: int) -> DataFrame:
-    """Neighbours within ``radius`` (the point itself included), per distinct position.
+    """Neighbours within ``radius`` (the point itself included), per distinct position; exact below ``enough``.
 
     ``radius`` is one value per scene; one point id stands for all copies.
 
     Copies count by weight.  A position whose small cell already holds ``enough``
-    points gets that count at once; only the others are compared one by one, so
-    crowded cells never produce all their pairs.
+    points gets that count at once; the others meet the boxes of the cells around them, and single positions
+    only where a box is cut by the radius.
     """
     weighted = points.withColumn("_radius", radius).groupBy("scene_id", *XYZ).agg(
         F.min("point_id").alias("point_id"), F.count(F.lit(1)).alias("_w"), F.max("_radius").alias("_radius")
     )
-    sized = cut(fan_out(weighted, "scene_id", "point_id"))
-    fine = cells(sized, F.col("_radius") / 1.7321, XYZ, ["_fx", "_fy", "_fz"])
+    sized = cut(fan_out(weighted, "scene_id", "point_id").withColumn("_size", F.col("_radius") / 1.7321))
+    fine = cells(sized, F.col("_size"), XYZ, ["_fx", "_fy", "_fz"])
     crowd = fine.groupBy("scene_id", "_fx", "_fy", "_fz").agg(F.sum("_w").alias("_crowd"))
-    fine = fine.join(crowd, ["scene_id", "_fx", "_fy", "_fz"]).drop("_fx", "_fy", "_fz")
-    names = ["_gx", "_gy", "_gz"]
-    near = cells(sized, F.col("_radius"), XYZ, names).select(
-        "scene_id", *names, "_w", *[F.col(c).alias(f"n{c}") for c in XYZ]
-    )
-    lonely = ring(cells(fine.filter(F.col("_crowd") < enough), F.col("_radius"), XYZ, names), names)
-    gap = norm(*[F.col(c) - F.col(f"n{c}") for c in XYZ])
-    counted = (
-        lonely.select("scene_id", "point_id", "_radius", *names, *XYZ)
-        .join(near, ["scene_id", *names])
-        .filter(gap <= F.col("_radius"))
-        .groupBy("scene_id", "point_id", *XYZ)
-        .agg(F.sum("_w").alias("neighbours"))
-    )
+    fine = cut(fine.join(crowd, ["scene_id", "_fx", "_fy", "_fz"]))
+    lonely = fine.filter(F.col("_crowd") < enough)
+    columns = [*XYZ, F.col("_w").alias("w"), F.col("_size").alias("size"), F.col("_radius").alias("reach")]
+    found = near_weights(
+        lonely.select("scene_id", F.col("point_id").alias("id"), *columns),
+        fine.select("scene_id", F.xxhash64("_fx", "_fy", "_fz").alias("id"), *columns), ["scene_id", "a"], enough,
+    ).select("scene_id", F.col("a").alias("point_id"), F.col("w").alias("neighbours"))
+    counted = lonely.join(found, ["scene_id", "point_id"]).select("scene_id", "point_id", *XYZ, "neighbours")
     crowded = fine.filter(F.col("_crowd") >= enough).select(
         "scene_id", "point_id", *XYZ, F.col("_crowd").alias("neighbours")
     )
@@ -210,15 +204,14 @@ def dbscan(points: DataFrame, eps: Column, min_points: int = 10) -> DataFrame:
     named = core.groupBy("scene_id", *fine).agg(F.min("point_id").alias("_cell"))
     core = cut(core.join(named, ["scene_id", *fine]).drop(*fine))
     core_at = core.groupBy("scene_id", *XYZ, "_cell", "_eps").agg(F.min("point_id").alias("point_id"))
-    names = ["_gx", "_gy", "_gz"]
-    slots = ["scene_id", *names]
-    homes = cells(core_at, F.col("_eps"), XYZ, names).select(*slots, F.col("_cell").alias("b"), *[F.col(c).alias(f"n{c}") for c in XYZ])
-    gap = norm(*[F.col(c) - F.col(f"n{c}") for c in XYZ])
 
-    def touching(rows: DataFrame) -> DataFrame:
-        return ring(cells(rows, F.col("_eps"), XYZ, names), names).join(homes, slots).filter(gap <= F.col("_eps"))
+    def positions(rows: DataFrame, name: str) -> DataFrame:
+        reach = F.col("_eps").alias("reach")
+        return rows.select("scene_id", F.col(name).alias("id"), *XYZ, F.lit(1).cast("long").alias("w"), (F.col("_eps") / 1.7321).alias("size"), reach)
 
-    edges = touching(core_at).filter(F.col("_cell") < F.col("b")).select("scene_id", F.col("_cell").alias("a"), "b").distinct()
+    homes = cut(positions(core_at, "_cell"))
+    pair = ["scene_id", "a", "b"]
+    edges = near_weights(homes, homes, pair, 1, once=True).select(*pair)
     vertices = core.select("scene_id", F.col("_cell").alias("v")).distinct()
     # A cell is named by its smallest point, so the smallest cell names the cluster.
     cell_cluster = cut(components(vertices, edges, ["scene_id"])).select(
@@ -226,9 +219,9 @@ def dbscan(points: DataFrame, eps: Column, min_points: int = 10) -> DataFrame:
     )
     core_rows = core.join(cell_cluster, ["scene_id", "_cell"]).select("scene_id", "point_id", "cluster")
     border = (
-        touching(flagged.filter(F.col("_core").isNull()).select("scene_id", "point_id", *XYZ, "_eps"))
+        near_weights(positions(flagged.filter(F.col("_core").isNull()), "point_id"), homes, pair, 1)
         .join(cell_cluster.withColumnRenamed("_cell", "b"), ["scene_id", "b"])
-        .groupBy("scene_id", "point_id")
+        .groupBy("scene_id", F.col("a").alias("point_id"))
         .agg(F.min("cluster").alias("cluster"))
     )
     found = core_rows.unionByName(border)

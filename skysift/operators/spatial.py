@@ -49,6 +49,94 @@ def radius_pairs(
     )
 
 
+AXES = ("x", "y", "z")
+OPEN = 1024
+_CORNERS = [f"{side}_{c}" for c in AXES for side in ("lo", "hi")]
+
+
+def _boxes(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Tight boxes of groups of positions, with their number and weight."""
+    corners = [f(c).alias(f"{n}_{c}") for c in AXES for n, f in (("lo", F.min), ("hi", F.max))]
+    return points.groupBy(*keys).agg(*corners, F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
+
+
+def _side(df: DataFrame, prefix: str, keep: list[str]) -> DataFrame:
+    return df.select(*[c if c in keep else F.col(c).alias(prefix + c) for c in df.columns])
+
+
+def _halves(points: DataFrame, level: int) -> DataFrame:
+    """Positions with their sub-cell at this level and at the one above it; sub-cells halve the cell with every level."""
+    step = lambda depth: [F.floor(F.col(c) / F.col("size") * float(2**depth)) for c in AXES]
+    packed = lambda cols: F.struct(*[v.alias(c) for v, c in zip(cols, AXES, strict=True)])
+    return points.withColumns({"sub": packed(step(level)), "over": packed(step(level - 1))})
+
+
+def near_weights(left: DataFrame, right: DataFrame, key: list[str], enough: int, once: bool = False, max_levels: int = 48) -> DataFrame:
+    """Weight of ``right`` within reach of ``left``, per ``key``; exact below ``enough``, at least that beyond.
+
+    Both have ``scene_id, id, x, y, z, w, size, reach``: positions grouped by ``id`` into cells of ``size`` (or single positions), with
+    ``reach`` at most ``size`` times the root of three, one value per scene.  ``key`` is ``[scene_id, a]`` (then ids of ``left`` must be
+    single positions) or ``[scene_id, a, b]``; ``once`` leaves pairs to the smaller id, for one table on both sides.
+
+    Cells meet as tight boxes: a pair of boxes is out of reach, inside it, or open.  Open pairs of few positions are
+    compared one by one; the others are halved and meet again, but for keys that have ``enough`` already.  So a cell of
+    any number of positions costs a few rows per neighbour and level, not its pairs.
+    """
+    scene = ["scene_id"]
+    cell = [F.floor(F.col(c) / F.col("size")).alias(f"_{c}") for c in AXES]
+    names = [f"_{c}" for c in AXES]
+    plain = lambda df: cut(df.select("scene_id", "id", *AXES, "w", "size", "reach"))
+    left, right = plain(left), plain(right)
+    grouped = lambda df: _boxes(df.select("*", *cell), [*scene, "id", *names])
+    reach = left.groupBy("scene_id").agg(F.first("reach").alias("reach"))
+    above = grouped(left).join(reach, scene)
+    pairs = _side(ring(above, names, 2), "a_", [*scene, *names, "reach"]).join(_side(grouped(right), "b_", [*scene, *names]), [*scene, *names]).drop(*names)
+    inner, outer = [], []
+    for c in AXES:
+        apart = F.greatest(F.lit(0.0), F.col(f"b_lo_{c}") - F.col(f"a_hi_{c}"), F.col(f"a_lo_{c}") - F.col(f"b_hi_{c}"))
+        across = F.greatest(F.col(f"b_hi_{c}") - F.col(f"a_lo_{c}"), F.col(f"a_hi_{c}") - F.col(f"b_lo_{c}"))
+        inner.append(apart * apart)
+        outer.append(across * across)
+    least, most = F.sqrt(inner[0] + inner[1] + inner[2]), F.sqrt(outer[0] + outer[1] + outer[2])
+    if once:
+        pairs = pairs.filter("a_id < b_id")
+    named = [F.col("scene_id"), F.col("a_id").alias("a"), F.col("b_id").alias("b")]
+    found, level = None, 0
+    while True:
+        met = cut(pairs.filter(least <= F.col("reach")).withColumn("_inside", most <= F.col("reach")))
+        waiting = met.filter("NOT _inside")
+        few = waiting.filter(F.col("a_n") * F.col("b_n") <= OPEN)
+        subs = [] if level == 0 else ["sub"]
+        one = left if level == 0 else _halves(left, level).drop("over")
+        two = right if level == 0 else _halves(right, level).drop("over")
+        asked = few.select(*scene, "a_id", "b_id", "reach", *[f"a_{c}" for c in subs], *[f"b_{c}" for c in subs])
+        opened = asked.join(_side(one.drop("size", "reach"), "a_", scene), [*scene, "a_id", *[f"a_{c}" for c in subs]]).join(
+            _side(two.drop("size", "reach"), "b_", scene), [*scene, "b_id", *[f"b_{c}" for c in subs]]
+        )
+        dx, dy, dz = (F.col(f"a_{c}") - F.col(f"b_{c}") for c in AXES)
+        near = opened.filter(F.sqrt(dx * dx + dy * dy + dz * dz) <= F.col("reach"))
+        hits = met.filter("_inside").select(*named, F.col("b_w").alias("w")).unionByName(near.select(*named, F.col("b_w").alias("w")))
+        now = hits.groupBy(*key).agg(F.sum("w").alias("w"))
+        found = cut(now if found is None else found.unionByName(now).groupBy(*key).agg(F.sum("w").alias("w")))
+        many = waiting.filter(F.col("a_n") * F.col("b_n") > OPEN)
+        done = found.filter(F.col("w") >= enough).select(*[F.col(k) if k == "scene_id" else F.col(k).alias(f"{k}_id") for k in key])
+        many = cut(many.join(done, done.columns, "left_anti"))
+        if is_empty(many):
+            return found
+        level += 1
+        if level > max_levels:
+            raise RuntimeError("cells did not part; raise max_levels")
+
+        def children(points: DataFrame, side: str, level: int = level, many: DataFrame = many) -> DataFrame:
+            wanted = many.select(*scene, F.col(f"{side}_id").alias("id")).distinct()
+            own = _halves(points.join(wanted, [*scene, "id"], "left_semi"), level)
+            return _side(_boxes(own, [*scene, "id", "sub", "over"]), f"{side}_", scene)
+
+        upper = many.select(*scene, "a_id", "b_id", "reach", *([] if level == 1 else [F.col("a_sub").alias("a_over"), F.col("b_sub").alias("b_over")]))
+        over = lambda side: [] if level == 1 else [f"{side}_over"]
+        pairs = upper.join(children(left, "a"), [*scene, "a_id", *over("a")]).join(children(right, "b"), [*scene, "b_id", *over("b")]).drop("a_over", "b_over")
+
+
 def box_tiles(boxes: DataFrame, tile: int, cols: tuple[str, str, str, str]) -> DataFrame:
     """One row per tile that a half-open box touches; ``whole`` marks tiles inside it."""
     x1, y1, x2, y2 = (F.col(c) for c in cols)

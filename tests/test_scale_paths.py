@@ -402,6 +402,32 @@ def test_clusters_match_brute_force(spark):
     assert {i: (None if c < 0 else c) for i, c in enumerate(label)} == got
 
 
+def test_dense_cells_cost_no_pairs(spark, monkeypatch):
+    """Sixty thousand positions in two neighbouring cells and a few beside them: boxes decide, few rows are opened."""
+    rng = np.random.default_rng(9)
+    xyz = np.concatenate([rng.random((30_000, 3)) * 0.05, rng.random((30_000, 3)) * 0.05 + [0.13, 0, 0], [[0.3, 0, 0], [0.37, 0.02, 0.01], [0.9, 0.9, 0.9]]])
+    met = []
+    plain = spatial.cut
+    monkeypatch.setattr(spatial, "cut", lambda df: (out := plain(df), met.append(out.count()))[0])
+    got = {r.point_id: r.cluster for r in cloud.dbscan(points(spark, xyz), F.lit(0.1), 10).collect()}
+    assert max(met) < 70_000
+    d = lambda i: np.linalg.norm(xyz - xyz[i], axis=1)
+    assert got[0] == 0 and got[59_999] == 0 and {got[i] for i in range(60_000)} == {0}
+    assert got[60_002] is None
+    for i in (60_000, 60_001):
+        assert (got[i] == 0) == bool(((d(i) <= 0.1) & (np.arange(len(xyz)) < 60_000)).any())
+
+
+def test_counts_are_exact_below_the_limit(spark):
+    rng = np.random.default_rng(10)
+    xyz = np.concatenate([rng.random((400, 3)) * 0.5, np.repeat(rng.random((5, 3)), 4, axis=0), rng.integers(0, 4, (200, 3)) * 0.1])
+    got = cloud.neighbour_counts(points(spark, xyz), F.lit(0.1), 7).collect()
+    assert len(got) == len(np.unique(xyz, axis=0))
+    for r in got:
+        want = int((np.sqrt(((xyz - [r.x, r.y, r.z]) ** 2).sum(axis=1)) <= 0.1).sum())
+        assert r.neighbours == want or (r.neighbours >= 7 and want >= 7)
+
+
 def test_cap_is_exact_and_repeatable(spark):
     cloud_df = points(spark, np.random.default_rng(4).normal(size=(500, 3)))
     first = {r.point_id for r in cloud.cap_points(cloud_df, 77).collect()}
