@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 from skysift.config import VEHICLE_CLASSES, ClassRules
 from skysift.functions.boxes import bbox_metrics, tiles
 from skysift.functions.numeric import fixed, half_even, settled
+from skysift.operators.frames import uniform_subsample
 from skysift.operators.ordering import BLOCK, previous
 
 TRACK = ["mission_id", "track_id"]
@@ -288,11 +289,13 @@ def segment_with(pixels: DataFrame, fn: Callable, schema: StructType | str) -> D
     return pixels.groupBy("mission_id", "frame_idx").applyInPandas(fn, schema)
 
 
-def infer_mission_with(frames: DataFrame, fn: Callable, schema: StructType | str, window: int | None = None) -> DataFrame:
-    """Run a user's multi-view model once per mission, on frames that a selection has bounded (see ``uniform_subsample``).
+def infer_mission_with(frames: DataFrame, fn: Callable, schema: StructType | str, most: int = 24, window: int | None = None) -> DataFrame:
+    """Run a user's multi-view model once per mission, on ``most`` frames at even distances at most.
 
-    With ``window`` a mission is cut into stretches of so many frame indices, for models that work on such.
+    The selection comes before the call, so no mission is larger than that in its task.  With ``window`` a mission is cut into
+    stretches of so many frame indices instead, for models that work on such, and all frames are used.
     """
     if window is None:
-        return frames.groupBy("mission_id").applyInPandas(fn, schema)
+        chosen = uniform_subsample(frames, most).select(*frames.columns)
+        return chosen.groupBy("mission_id").applyInPandas(fn, schema)
     return frames.groupBy("mission_id", F.floor(F.col("frame_idx") / window)).applyInPandas(fn, schema)

@@ -5,11 +5,13 @@ Boxes are half-open raster boxes in the columns named by ``BOX``.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skysift.functions.numeric import clip, fixed, half_even, is_finite, norm, settled
-from skysift.lineage import cut
+from skysift.lineage import cut, fan_out
 from skysift.operators.raster import FRAME, laplacian
 from skysift.operators.spatial import box_pixels, box_sums, label_runs
 
@@ -380,36 +382,38 @@ def damage(pixels: DataFrame, boxes: DataFrame, min_side: int = 30, tile: int =
 # ------------------------------------------------------------ surroundings
 
 
-def nearest_flag(det: DataFrame, pixels: DataFrame, flag: str = "is_water", tile: int = 32) -> DataFrame:
+def _distances(key: tuple, probes: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    """Exact distances of the probes of one frame: along each image row by runs, then over the rows of the probe's column."""
+    if rows.empty:
+        return pd.DataFrame(columns=["mission_id", "frame_idx", "det_id", "flood_distance_px"])
+    rows = rows.sort_values("r")
+    r = rows["r"].to_numpy(np.int64)
+    sizes = np.array([len(c) for c in rows["columns"]])
+    c = np.concatenate([np.asarray(x, np.int64) for x in rows["columns"]])
+    of = np.repeat(np.arange(len(r)), sizes)
+    begin = np.concatenate([[True], (np.diff(c) != 1) | (np.diff(of) != 0)])
+    first, last = c[begin], c[np.concatenate([begin[1:], [True]])]
+    row_start = np.searchsorted(of[begin], np.arange(len(r)))
+    columns, out = probes["pc"].to_numpy(np.int64), np.zeros(len(probes))
+    heights = probes["pr"].to_numpy(np.int64)
+    for column in np.unique(columns):
+        gap = np.maximum(0, np.maximum(first - column, column - last))
+        nearest = np.minimum.reduceat(gap, row_start) ** 2
+        for i in np.flatnonzero(columns == column):
+            out[i] = np.sqrt((nearest + (r - heights[i]) ** 2).min())
+    return pd.DataFrame({"mission_id": key[0], "frame_idx": key[1], "det_id": probes["det_id"].to_numpy(), "flood_distance_px": out})
+
+
+def nearest_flag(det: DataFrame, pixels: DataFrame, flag: str = "is_water") -> DataFrame:
     """Distance from each centre ``pc, pr`` to the nearest flagged pixel, 0 inside.
 
-    Tiles bound the distance from below and above; only tiles that may hold the
-    nearest pixel are opened.
+    A separable distance transform that is evaluated at the probes alone.  Flagged pixels of an image row are packed before
+    the shuffle; a group is one frame, so the raster bounds it.
     """
-    wet = pixels.filter(F.col(flag)).select(
-        *FRAME, F.col("r"), F.col("c"), F.floor(F.col("r") / tile).alias("_tr"), F.floor(F.col("c") / tile).alias("_tc")
-    )
-    # The bounding box of the flagged pixels in a tile, not the tile itself.
-    tiles = wet.groupBy(*FRAME, "_tr", "_tc").agg(
-        F.min("r").alias("_r1"), F.max("r").alias("_r2"), F.min("c").alias("_c1"), F.max("c").alias("_c2")
-    )
-    probes = det.select(*FRAME, "det_id", "pr", "pc")
-    gap = lambda p, lo, hi: F.greatest(lo - p, p - hi, F.lit(0))
-    reach = lambda p, lo, hi: F.greatest(F.abs(p - lo), F.abs(p - hi))
-    pr, pc = F.col("pr"), F.col("pc")
-    near_r, near_c = gap(pr, F.col("_r1"), F.col("_r2")), gap(pc, F.col("_c1"), F.col("_c2"))
-    far_r, far_c = reach(pr, F.col("_r1"), F.col("_r2")), reach(pc, F.col("_c1"), F.col("_c2"))
-    bounds = cut(
-        probes.join(tiles, FRAME).select(
-            *FRAME, "det_id", "pr", "pc", "_tr", "_tc",
-            (near_r * near_r + near_c * near_c).alias("_low"), (far_r * far_r + far_c * far_c).alias("_high"),
-        )
-    )
-    best = bounds.groupBy(*FRAME, "det_id").agg(F.min("_high").alias("_best"))
-    opened = bounds.join(best, [*FRAME, "det_id"]).filter(F.col("_low") <= F.col("_best"))
-    dr, dc = F.col("r") - pr, F.col("c") - pc
-    return opened.join(wet, [*FRAME, "_tr", "_tc"]).groupBy(*FRAME, "det_id").agg(
-        F.sqrt(F.min(dr * dr + dc * dc).cast("double")).alias("flood_distance_px")
+    wet = pixels.filter(F.col(flag)).groupBy(*FRAME, "r").agg(F.array_sort(F.collect_set("c")).alias("columns"))
+    probes = det.select(*FRAME, "det_id", F.col("pr").cast("long").alias("pr"), F.col("pc").cast("long").alias("pc"))
+    return fan_out(probes, *FRAME).groupBy(*FRAME).cogroup(wet.groupBy(*FRAME)).applyInPandas(
+        _distances, "mission_id long, frame_idx long, det_id long, flood_distance_px double"
     )
 
 
@@ -452,7 +456,7 @@ def person_context(
     raised = (F.col("_np") > 5) & (F.col("_ns") > 20) & (F.col("_ds") - F.col("_dp") > 0.80)
     joined = cut(
         base.join(scene, FRAME, "left")
-        .join(nearest_flag(base, pixels, tile=min(tile, 32)), key, "left")
+        .join(nearest_flag(base, pixels), key, "left")
         .join(around, key, "left")
         .join(heights, key, "left")
         .withColumns(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skysift.functions.camera import measure, to_pixel, to_world, unproject
@@ -130,29 +130,44 @@ def lookup(
     min_depth: float = 0.20,
     max_depth: float = 250.0,
     tile: int = 64,
+    box: tuple[str, str, str, str] | None = None,
 ) -> DataFrame:
-    """Hierarchical 3D lookup: point map first, then depth; smallest window that hits."""
+    """Hierarchical 3D lookup: point map first, then depth; smallest window that hits.
+
+    ``box`` names columns of ``det`` with a box in image pixels (x1, y1, x2, y2); depth is then read inside it alone, both
+    edges included.  A detection without a box is not clipped.
+    """
     sx, sy = F.col("model_w") / F.col("img_w"), F.col("model_h") / F.col("img_h")
     centred = det.join(cameras, FRAME).withColumns({"us": F.col("u") * sx, "vs": F.col("v") * sy})
     centred = centred.withColumns({"ui": F.rint("us").cast("long"), "vi": F.rint("vs").cast("long")})
     inside = F.col("ui").between(0, F.col("model_w") - 1) & F.col("vi").between(0, F.col("model_h") - 1)
-    probes = centred.filter(inside).select(*FRAME, "det_id", "ui", "vi")
+    corners = ["_bx1", "_by1", "_bx2", "_by2"]
+    scaled = [(F.col(c) * k).cast("long") for c, k in zip(box, (sx, sy, sx, sy), strict=True)] if box else [F.lit(None).cast("long")] * 4
+    probes = centred.filter(inside).select(*FRAME, "det_id", "ui", "vi", *[v.alias(c) for v, c in zip(scaled, corners, strict=True)])
 
     size = norm(F.col("px"), F.col("py"), F.col("pz"))
     real = points.filter(is_finite(F.col("px"), F.col("py"), F.col("pz")) & (size > 1e-3) & (size < 500.0))
     usable = depth.filter(is_finite(F.col("depth")) & F.col("depth").between(max(min_depth, 1e-3), max_depth))
 
-    def nearest(pixels: DataFrame, values: list[str], name: str) -> DataFrame:
-        """Median of each value over the smallest ring that holds any pixel."""
-        rings = near_pixels(probes, pixels.select(*FRAME, "r", "c", *values), tile=tile).groupBy(*FRAME, "det_id", "ring")
-        medians = rings.agg(*[F.median(c).alias(c) for c in values], F.count(F.lit(1)).alias("n"))
-        return medians.groupBy(*FRAME, "det_id").agg(
-            F.min_by(F.struct("ring", "n", *values), "ring").alias(name)
-        )
-
-    found = centred.join(nearest(real, ["px", "py", "pz"], "_p"), [*FRAME, "det_id"], "left").join(
-        nearest(usable, ["depth"], "_q"), [*FRAME, "det_id"], "left"
+    none = F.lit(None).cast("double")
+    stock = real.select(*FRAME, "r", "c", F.lit(True).alias("_point"), *[F.col(c).cast("double") for c in ("px", "py", "pz")], none.alias("depth")).unionByName(
+        usable.select(*FRAME, "r", "c", F.lit(False).alias("_point"), *[none.alias(c) for c in ("px", "py", "pz")], F.col("depth").cast("double"))
     )
+    point = F.col("_point")
+    clipped = F.coalesce(F.col("c").between(F.col("_bx1"), F.col("_bx2")) & F.col("r").between(F.col("_by1"), F.col("_by2")), F.lit(True))
+    hits = near_pixels(probes, stock, tile=tile).filter(point | clipped)
+    # Both paths meet the windows in one join; each keeps the smallest ring that holds anything, and only that is averaged.
+    each = Window.partitionBy(*FRAME, "det_id")
+    smallest = lambda flag: F.min(F.when(flag, F.col("ring"))).over(each)
+    kept = hits.withColumn("_least", F.when(point, smallest(point)).otherwise(smallest(~point))).filter(F.col("ring") == F.col("_least"))
+    median = lambda c, flag: F.median(F.when(flag, F.col(c)))
+    ring_of = lambda flag: F.max(F.when(flag, F.col("ring")))
+    medians = kept.groupBy(*FRAME, "det_id").agg(
+        ring_of(point).alias("_pr"), ring_of(~point).alias("_qr"), *[median(c, point).alias(f"_m{c}") for c in ("px", "py", "pz")], median("depth", ~point).alias("_md")
+    )
+    packed = lambda ring, **values: F.when(F.col(ring).isNotNull(), F.struct(F.col(ring).alias("ring"), *[F.col(v).alias(n) for n, v in values.items()]))
+    nearest = medians.select(*FRAME, "det_id", packed("_pr", px="_mpx", py="_mpy", pz="_mpz").alias("_p"), packed("_qr", depth="_md").alias("_q"))
+    found = centred.join(nearest, [*FRAME, "det_id"], "left")
     world = to_world(unproject(F.col("us"), F.col("vs"), F.col("_q.depth")))
     by_point, by_depth = F.col("_p").isNotNull(), F.col("_q").isNotNull()
     ring = F.coalesce(F.col("_p.ring"), F.col("_q.ring"))
@@ -262,9 +277,14 @@ def measure_pairs(targets: DataFrame, cameras: DataFrame, wanted: DataFrame, spe
     Names come from the targets, the cameras and ``ORIGIN``; only the asked pairs
     are joined, never all of them.
     """
-    origin = wanted.sparkSession.createDataFrame([("ORIGIN", 0.0, 0.0, 0.0)], "id string, x double, y double, z double")
-    places = targets.unionByName(cameras).unionByName(origin)
-    end = lambda side: places.select(F.col("id").alias(side), *[F.col(c).alias(side + c) for c in "xyz"])
-    joined = wanted.join(end("a"), "a").join(end("b"), "b")
+    places = targets.unionByName(cameras)
+
+    def placed(rows: DataFrame, side: str) -> DataFrame:
+        """The origin is a constant, so the many pairs that ask for it never meet in one task."""
+        known = places.select(F.col("id").alias(side), *[F.col(c).alias(side + c) for c in "xyz"])
+        fixed = rows.filter(F.col(side) == "ORIGIN").withColumns({side + c: F.lit(0.0) for c in "xyz"})
+        return rows.filter(F.col(side) != "ORIGIN").join(known, side).unionByName(fixed)
+
+    joined = placed(placed(wanted, "a"), "b")
     a, b = [F.col("a" + c) for c in "xyz"], [F.col("b" + c) for c in "xyz"]
     return joined.select("a", "b", *[value.alias(name) for name, value in measure(a, b, speed).items()])

@@ -27,11 +27,17 @@ def ring(df: DataFrame, names: list[str], reach: int = 1) -> DataFrame:
 def radius_pairs(
     points: DataFrame, radius: float | Column, group: str = "scene_id", key: str = "point_id", strict: bool = False
 ) -> DataFrame:
-    """Pairs of points within ``radius``: equi-join on grid cells, then exact distance."""
+    """Pairs of points within ``radius`` of the first: equi-join on grid cells, then exact distance.
+
+    The grid of a group has the size of its largest radius, so a radius that differs by row loses no pair.
+    """
     names = ["_cx", "_cy", "_cz"]
-    radius = radius if isinstance(radius, Column) else F.lit(float(radius))
-    sized = points.select(group, key, "x", "y", "z", radius.alias("_radius"))
-    gridded = cells(sized, F.col("_radius"), ["x", "y", "z"], names)
+    varies = isinstance(radius, Column)
+    sized = points.select(group, key, "x", "y", "z", (radius if varies else F.lit(float(radius))).alias("_radius"))
+    widest = F.lit(float(radius)) if not varies else F.col("_widest")
+    if varies:
+        sized = sized.join(sized.groupBy(group).agg(F.max("_radius").alias("_widest")), group)
+    gridded = cells(sized, widest, ["x", "y", "z"], names)
     left = ring(gridded, names).select(
         group, *names, "_radius", F.col(key).alias("a"), *[F.col(c).alias(f"a{c}") for c in "xyz"]
     )

@@ -247,7 +247,7 @@ PP = f"""{PERS}, pp AS (SELECT *, least(7, CAST(floor((rx1 + rx2) / 2) AS BIGINT
 def _(v):
     half = lambda a, b: F.least(F.lit(7), F.floor((F.col(a) + F.col(b)) / 2))
     probes = v.rbox.filter("raw_class = 'person'").withColumns({"pc": half("rx1", "rx2"), "pr": half("ry1", "ry2")})
-    out = flood.nearest_flag(probes, v.pix, tile=4)
+    out = flood.nearest_flag(probes, v.pix)
     return out.select("det_id", half_even(F.col("flood_distance_px"), 6).alias("flood_distance_px"))
 
 

@@ -309,6 +309,27 @@ def _(v):
     return found.select("det_id", "location_status", "x_m", "y_m", "z_m", "neighborhood_size", "status")
 
 
+BOXED_LOOK = LOOKED.replace(
+    "FROM g WHERE depth >= 0.2e0 AND depth <= 250 GROUP BY 1, 2",
+    """FROM g JOIN uvb USING (det_id) WHERE depth >= 0.2e0 AND depth <= 250 AND c BETWEEN bx1 AND bx2 AND r BETWEEN by1 AND by2 GROUP BY 1, 2""",
+).replace(
+    ", n AS (SELECT uv.det_id",
+    """, uvb AS (SELECT det_id, CAST(trunc(x1 * (392e0 / 1920e0)) AS BIGINT) AS bx1, CAST(trunc(y1 * (392e0 / 1080e0)) AS BIGINT) AS by1,
+      CAST(trunc(x2 * (392e0 / 1920e0)) AS BIGINT) AS bx2, CAST(trunc(y2 * (392e0 / 1080e0)) AS BIGINT) AS by2 FROM obs), n AS (SELECT uv.det_id""", 1,
+)
+
+
+@query(
+    "f07_lookup_in_box", "obs cam samp",
+    BOXED_LOOK + """ SELECT det_id, location_status, x_m, y_m, z_m, CAST(coalesce(ring * 2 + 1, 0) AS BIGINT) AS neighborhood_size,
+      CASE WHEN ring IS NULL THEN 'FAILED' WHEN ring = 0 THEN 'DIRECT_HIT' ELSE 'NEIGHBORHOOD_' || (ring * 2 + 1) || 'x' || (ring * 2 + 1) END AS status FROM looked""",
+)
+def _(v):
+    samples = cut(model_samples(v))
+    found = localize.lookup(v.obs.drop("x", "y", "z"), samples, samples, v.cam, box=("x1", "y1", "x2", "y2"))
+    return found.select("det_id", "location_status", "x_m", "y_m", "z_m", "neighborhood_size", "status")
+
+
 @query(
     "e03_fuse_positions", "obs cam samp",
     LOCALIZED + f""", tr AS (SELECT * FROM loc WHERE track_id IS NOT NULL), pl AS (SELECT * FROM tr WHERE good),
