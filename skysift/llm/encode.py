@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 
@@ -67,21 +68,27 @@ class Encoder:
             self.known.update(zip(some, [data[4 * a : 4 * b] for a, b in zip([0, *(x + m for x in ends)], [*ends, len(ids)], strict=True)], strict=True))
 
     def _remember(self, words: set[str]) -> None:
-        new = words - self.known.keys()
-        if len(self.known) + len(new) > self.limit:
-            self.known = dict(list(self.known.items())[: self.core])
-            new = words - self.known.keys()
-        ended = {w: x for w in new if (x := w.rstrip(_PUNCTUATION)) != w and x[-1:].isalpha() and (self.spaced or x[-1:].isascii())}
-        new = (new - ended.keys()) | ({*ended.values()} | {w[len(x) :] for w, x in ended.items()}) - self.known.keys()
-        for w in [w for w in new if w.isspace()]:
-            self.known[w] = self._whole(w)
-            new.discard(w)
-        if new:
-            self._learn(sorted(new))
+        known = self.known
+        new = [w for w in words if w not in known]  # a set difference would walk all known words
+        if len(known) + len(new) > self.limit:
+            known = self.known = dict(islice(known.items(), self.core))
+            new = [w for w in words if w not in known]
+        ended, plain = {}, set()
+        for w in new:
+            x = w.rstrip(_PUNCTUATION) if w[-1] in _PUNCTUATION else w
+            if x is not w and x[-1:].isalpha() and (self.spaced or x[-1:].isascii()):
+                ended[w] = x
+                plain.update(part for part in (x, w[len(x) :]) if part not in known)
+            elif w.isspace():
+                known[w] = self._whole(w)
+            else:
+                plain.add(w)
+        if plain:
+            self._learn(list(plain))
         # Both tokenizers cut between a letter and punctuation.  The word-level one first rewrites letters, and some end in a mark
         # that keeps to the punctuation, so only plain letters count there.
         for w, x in ended.items():
-            self.known[w] = self.known[x] + self.known[w[len(x) :]]
+            known[w] = known[x] + known[w[len(x) :]]
 
     def _cut(self, text: str) -> list[list[str]] | None:
         """Lines of words; None for a text to be encoded whole."""
