@@ -208,6 +208,36 @@ def _(v):
     return found.groupBy("scene_id", "cluster").agg(F.count(F.lit(1)).alias("points"))
 
 
+# The same two on one point per customer, few enough for SQL to compare all pairs of a scene.
+APART = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
+
+
+@query(
+    "k06_statistical_outliers_sites", "site",
+    f"""d AS (SELECT a.scene_id, a.point_id, {APART} AS d FROM site a JOIN site b ON a.scene_id = b.scene_id),
+    k AS (SELECT scene_id, point_id, avg(d) AS m FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, point_id ORDER BY d) AS r FROM d) q WHERE r <= 20 GROUP BY 1, 2),
+    lim AS (SELECT scene_id, avg(m) FILTER (m > 0) AS mean, stddev_samp(m) FILTER (m > 0) AS sd FROM k GROUP BY 1)
+    SELECT k.scene_id, point_id FROM k JOIN lim ON k.scene_id = lim.scene_id WHERE m > 0 AND m < mean + 2 * coalesce(sd, 0)""",
+)
+def _(v):
+    return cloud.statistical_outliers(v.site, 20, 2.0, 0.05).select("scene_id", "point_id")
+
+
+@query(
+    "k08_dbscan_sites", "site",
+    f"""RECURSIVE n AS (SELECT a.scene_id, a.point_id AS p, b.point_id AS q FROM site a JOIN site b ON a.scene_id = b.scene_id WHERE {APART} <= 0.03e0),
+    core AS (SELECT scene_id, p FROM n GROUP BY 1, 2 HAVING count(*) >= 6),
+    e AS (SELECT n.* FROM n SEMI JOIN core a ON n.scene_id = a.scene_id AND n.p = a.p SEMI JOIN core b ON n.scene_id = b.scene_id AND n.q = b.p),
+    reach AS (SELECT scene_id, p, p AS label FROM core UNION SELECT e.scene_id, e.q, r.label FROM reach r JOIN e ON r.scene_id = e.scene_id AND r.p = e.p),
+    lab AS (SELECT scene_id, p, min(label) AS cluster FROM reach GROUP BY 1, 2),
+    edge AS (SELECT n.scene_id, n.p, min(cluster) AS cluster FROM n JOIN lab ON n.scene_id = lab.scene_id AND n.q = lab.p ANTI JOIN core c ON n.scene_id = c.scene_id AND n.p = c.p GROUP BY 1, 2)
+    SELECT s.scene_id, s.point_id, coalesce(lab.cluster, edge.cluster) AS cluster FROM site s
+    LEFT JOIN lab ON s.scene_id = lab.scene_id AND s.point_id = lab.p LEFT JOIN edge ON s.scene_id = edge.scene_id AND s.point_id = edge.p""",
+)
+def _(v):
+    return cloud.dbscan(v.site, F.lit(0.03), 6).select("scene_id", "point_id", "cluster")
+
+
 @query(
     "c10_keep_clusters", "pts",
     """c AS (SELECT *, CAST(floor(y * 20) AS BIGINT) AS cluster FROM pts), v AS (SELECT scene_id, cluster FROM c GROUP BY 1, 2 HAVING count(*) % 3 <> 0)

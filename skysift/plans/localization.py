@@ -417,7 +417,24 @@ def _(v):
     return tracking.track(trackable(v)).select("mission_id", "frame_idx", "det_id", "track_id", "track_length", "tracking_conf")
 
 
-@query("d02_track_simple")
+SHARED = "greatest(0, least(o.x2, e.x2) - greatest(o.x1, e.x1) + 1) * greatest(0, least(o.y2, e.y2) - greatest(o.y1, e.y1) + 1)"
+SIMPLE_IOU = f"""({SHARED} / (CAST((o.x2 - o.x1 + 1) * (o.y2 - o.y1 + 1) + (e.x2 - e.x1 + 1) * (e.y2 - e.y1 + 1) - {SHARED} AS DOUBLE) + 1e-6))"""
+SIMPLE_GAP = "sqrt(CAST((o.cx - e.cx) * (o.cx - e.cx) + (o.cy - e.cy) * (o.cy - e.cy) AS DOUBLE))"
+ONE_BOX = "{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'cx': cx, 'cy': cy}"
+
+
+@query(
+    "d02_track_simple", "det",
+    f"""RECURSIVE {BOXED}, o AS (SELECT *, row_number() OVER (PARTITION BY mission_id, cls ORDER BY frame_idx, det_id) AS rn FROM bx),
+    walk AS (SELECT mission_id, cls, 0 AS rn, CAST([] AS STRUCT(x1 BIGINT, y1 BIGINT, x2 BIGINT, y2 BIGINT, cx BIGINT, cy BIGINT)[]) AS st, CAST(NULL AS BIGINT) AS det_id, CAST(NULL AS BIGINT) AS frame_idx, 0 AS k FROM (SELECT DISTINCT mission_id, cls FROM o) g
+      UNION ALL
+      SELECT mission_id, cls, rn, CASE WHEN spot > 0 THEN list_transform(st, lambda e, i: CASE WHEN i = spot THEN {ONE_BOX} ELSE e END) ELSE list_append(st, {ONE_BOX}) END,
+        det_id, frame_idx, CASE WHEN spot > 0 THEN spot ELSE len(st) + 1 END FROM (
+          SELECT *, CASE WHEN coalesce(list_max(sc), -1) > 0 THEN list_position(sc, list_max(sc)) ELSE 0 END AS spot FROM (
+            SELECT w.st, o.*, list_transform(w.st, lambda e: CASE WHEN {SIMPLE_IOU} > 0.2e0 OR {SIMPLE_GAP} < 60 THEN {SIMPLE_IOU} + 1e0 / (1e0 + {SIMPLE_GAP}) ELSE -1e0 END) AS sc
+            FROM walk w JOIN o ON o.mission_id = w.mission_id AND o.cls = w.cls AND o.rn = w.rn + 1) a) b)
+    SELECT mission_id, frame_idx, det_id, printf('%s_%03d', upper(cls), k) AS object_id FROM walk WHERE rn > 0""",
+)
 def _(v):
     return tracking.track_simple(trackable(v)).select("mission_id", "frame_idx", "det_id", "object_id")
 

@@ -164,6 +164,15 @@ SELECT mission_id, det_id AS seq, frame_idx,
 FROM det
 """
 
+# A small cloud of six blobs per scene, one point per customer; some points lie apart.
+VIEWS["site"] = """
+SELECT CAST(c_nationkey % 4 AS BIGINT) AS scene_id, c_custkey AS point_id,
+       CAST((c_custkey * 37) % 6 AS DOUBLE) / 4e0 + CAST((c_custkey * 7919) % 97 AS DOUBLE) / 970e0 AS x,
+       CAST((c_custkey * 31337) % 101 AS DOUBLE) / 1010e0 + CASE WHEN c_custkey % 41 = 0 THEN 0.3e0 ELSE 0e0 END AS y,
+       CAST((c_custkey * 104729) % 89 AS DOUBLE) / 890e0 AS z
+FROM {customer}
+"""
+
 DEPENDS = {
     "trk": ["det"],
     "pix": ["pix0"],
