@@ -412,7 +412,40 @@ def _(v):
     return tracking.score_pairs(tracks, rows)
 
 
-@query("d01_track")
+# One step of the recursion is one frame: score all pairs, take the best ones first, let the rest found tracks.
+PAIR_IOU = """(CASE WHEN least(e.x2, d.x2) > greatest(e.x1, d.x1) AND least(e.y2, d.y2) > greatest(e.y1, d.y1)
+  THEN (least(e.x2, d.x2) - greatest(e.x1, d.x1)) * (least(e.y2, d.y2) - greatest(e.y1, d.y1))
+    / greatest(1e0, CAST((e.x2 - e.x1) * (e.y2 - e.y1) + (d.x2 - d.x1) * (d.y2 - d.y1) - (least(e.x2, d.x2) - greatest(e.x1, d.x1)) * (least(e.y2, d.y2) - greatest(e.y1, d.y1)) AS DOUBLE)) ELSE 0e0 END)"""
+PAIR_GAP = "sqrt(CAST((e.cx - d.cx) * (e.cx - d.cx) + (e.cy - d.cy) * (e.cy - d.cy) AS DOUBLE))"
+REACH = "(250e0 + 30e0 * greatest(0, frame_idx - e.last - 1))"
+PAIR_SCORE = f"""CASE WHEN e.cls = 'person' AND d.cls = 'person' THEN CASE WHEN {PAIR_GAP} <= {REACH} THEN greatest({PAIR_IOU}, greatest(0e0, 1e0 - {PAIR_GAP} / {REACH})) + 0.25e0 END
+  WHEN e.cls <> d.cls AND {PAIR_IOU} < 0.2e0 AND {PAIR_GAP} > 45 THEN NULL
+  WHEN greatest({PAIR_IOU}, 0.5e0 * greatest(0e0, 1e0 - {PAIR_GAP} / 200e0)) + CASE WHEN e.cls = d.cls THEN 0.15e0 ELSE 0e0 END > 0.15e0
+  THEN greatest({PAIR_IOU}, 0.5e0 * greatest(0e0, 1e0 - {PAIR_GAP} / 200e0)) + CASE WHEN e.cls = d.cls THEN 0.15e0 ELSE 0e0 END END"""
+TRACK = "STRUCT(x1 BIGINT, y1 BIGINT, x2 BIGINT, y2 BIGINT, cx BIGINT, cy BIGINT, cls VARCHAR, last BIGINT, len BIGINT, id BIGINT)"
+SEEN_AS = "{'x1': d.x1, 'y1': d.y1, 'x2': d.x2, 'y2': d.y2, 'cx': d.cx, 'cy': d.cy, 'cls': %s, 'last': frame_idx, 'len': %s, 'id': %s}"
+TRACKED = f"""RECURSIVE {BOXED}, fr AS (SELECT mission_id, frame_idx, row_number() OVER (PARTITION BY mission_id ORDER BY frame_idx) AS rn,
+      list({{'det': det_id, 'cls': cls, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'cx': cx, 'cy': cy}} ORDER BY CASE cls WHEN 'person' THEN 0 ELSE 1 END, conf DESC, det_id DESC) AS ds
+      FROM (SELECT bx.*, det.conf FROM bx JOIN det USING (det_id)) b GROUP BY 1, 2),
+  walk AS (SELECT mission_id, CAST(-1 AS BIGINT) AS frame_idx, 0 AS rn, CAST([] AS {TRACK}[]) AS st, CAST(0 AS BIGINT) AS made, CAST([] AS STRUCT(det BIGINT, id BIGINT, len BIGINT)[]) AS found FROM (SELECT DISTINCT mission_id FROM fr) g
+    UNION ALL
+    SELECT mission_id, frame_idx, rn, list_concat(kept, fresh), made + len(fresh),
+      list_transform(ds, lambda d, i: CASE WHEN len(list_filter(took, lambda x: x.d = i)) > 0
+        THEN {{'det': d.det, 'id': kept[list_filter(took, lambda x: x.d = i)[1].t].id, 'len': kept[list_filter(took, lambda x: x.d = i)[1].t].len}}
+        ELSE {{'det': d.det, 'id': made + list_position(alone, i), 'len': CAST(1 AS BIGINT)}} END)
+    FROM (SELECT *, list_transform(live, lambda e, t: CASE WHEN len(list_filter(took, lambda x: x.t = t)) > 0
+              THEN list_transform([ds[list_filter(took, lambda x: x.t = t)[1].d]], lambda d: {SEEN_AS % ('e.cls', 'e.len + 1', 'e.id')})[1] ELSE e END) AS kept,
+            list_transform(alone, lambda i, j: list_transform([ds[i]], lambda d: {SEEN_AS % ('d.cls', 'CAST(1 AS BIGINT)', 'made + j')})[1]) AS fresh
+      FROM (SELECT *, list_filter(range(1, len(ds) + 1), lambda i: len(list_filter(took, lambda x: x.d = i)) = 0) AS alone
+        FROM (SELECT *, coalesce(list_reduce(pairs, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.t = x[1].t OR y.d = x[1].d)) > 0 THEN acc ELSE list_concat(acc, x) END), CAST([] AS STRUCT(s DOUBLE, t BIGINT, d BIGINT)[])) AS took
+          FROM (SELECT *, CASE WHEN len(scored) > 0 THEN list_transform(list_sort(scored), lambda x: [x]) END AS pairs
+            FROM (SELECT *, list_filter(flatten(list_transform(live, lambda e, t: list_transform(ds, lambda d, i: {{'s': -({PAIR_SCORE}), 't': t, 'd': i}}))), lambda x: x.s IS NOT NULL) AS scored
+              FROM (SELECT f.mission_id, f.frame_idx, f.rn, f.ds, w.made, list_filter(w.st, lambda e: f.frame_idx - e.last <= 5) AS live
+                FROM walk w JOIN fr f ON f.mission_id = w.mission_id AND f.rn = w.rn + 1) a) b) c) d) e) f),
+  trk1 AS (SELECT mission_id, frame_idx, unnest(found, recursive := false) AS m FROM walk WHERE rn > 0)"""
+
+
+@query("d01_track", "det", f"{TRACKED} SELECT mission_id, frame_idx, m.det AS det_id, m.id AS track_id, m.len AS track_length, CASE WHEN m.len <= 1 THEN 0.55e0 ELSE least(1e0, {R('0.4e0 + 0.15e0 * least(m.len, 4)', 3)}) END AS tracking_conf FROM trk1")
 def _(v):
     return tracking.track(trackable(v)).select("mission_id", "frame_idx", "det_id", "track_id", "track_length", "tracking_conf")
 

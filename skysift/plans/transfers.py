@@ -15,7 +15,7 @@ from skysift.functions.numeric import half_even
 from skysift.lineage import shared_folder
 from skysift.operators import detect, incidents, rescue
 from skysift.plans.detection import CATEGORY, VALIDATED, validated
-from skysift.plans.localization import CENTRE, trackable
+from skysift.plans.localization import CENTRE, TRACKED, trackable
 from skysift.plans.registry import FX, R, RS, query
 from skysift.plans.triage import MERGE_A, OK, PEOPLE, people
 from skysift.sources import readers, sinks
@@ -274,7 +274,7 @@ def _(v):
     return out.select("source", F.regexp_replace(F.regexp_replace(started, "0+$", ""), r"\.$", "").alias("started"), "n")
 
 
-@query("d03_track_stream")
+@query("d03_track_stream", "det", f"{TRACKED} SELECT mission_id, frame_idx, m.det AS det_id, m.id AS track_id, m.len AS track_length FROM trk1")
 def _(v):
     """The event table replayed as a stream; a closing row moves the watermark on."""
     rows = trackable(v).join(v.table("events").select(F.col("event_id").alias("det_id"), F.col("ts").cast("timestamp").alias("ts")), "det_id").select(
@@ -286,7 +286,7 @@ def _(v):
     closing = last.select((F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"), F.lit(-1).cast("long").alias("mission_id"))
     v.spark.read.parquet(f"{folder}/a").limit(0).unionByName(closing, allowMissingColumns=True).coalesce(1).write.parquet(f"{folder}/b")
     stream = v.spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(folder)
-    return _drain(v, tracker.track_stream(stream, "0 seconds"), "append")
+    return _drain(v, tracker.track_stream(stream, "0 seconds"), "append").drop("batch")
 
 
 @query("d04_incident_stream", "inc", f"RECURSIVE {MERGE_A} SELECT * EXCLUDE (k), printf('INC-%03d', k) AS incident_id FROM res")
