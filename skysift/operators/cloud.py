@@ -14,6 +14,7 @@ from skysift.config import CloudRules
 from skysift.functions.camera import camera_centre
 from skysift.functions.numeric import clip, half_even, is_finite, norm, settled
 from skysift.lineage import cut, fan_out, is_empty
+from skysift.operators.neighbours import nearest_means
 from skysift.operators.ordering import BLOCK, numbered, previous, quantiles
 from skysift.operators.spatial import cells, components, near_weights, radius_pairs, ring
 
@@ -124,47 +125,15 @@ def radius_outliers(points: DataFrame, sizes: DataFrame, min_neighbours: int = 1
     return points.join(kept, ["scene_id", *XYZ], "left_semi")
 
 
-def knn_distance(points: DataFrame, k: int = 20, cell: Column | float = 0.1, max_rounds: int = 40) -> DataFrame:
-    """Mean distance to the ``k`` nearest points (the point itself included).
+def knn_distance(points: DataFrame, k: int = 20, cell: Column | float = 0.1) -> DataFrame:
+    """Mean distance to the ``k`` nearest points (the point itself included); all points of a scene that has fewer.
 
-    Each round searches the 27 cells around a point; its ``k`` nearest are final
-    once ``k`` points lie within one cell size.  The others go on with cells twice as
-    large, until a cell spans the scene.
+    Exact; ``cell`` (one value per scene) decides the work alone, see ``neighbours.nearest_means``.
     """
     cell = cell if isinstance(cell, Column) else F.lit(float(cell))
-    base = cut(fan_out(points.withColumn("_cell", cell).select("scene_id", "point_id", *XYZ, "_cell"), "scene_id", "point_id"))
-    reach = base.groupBy("scene_id").agg(
-        norm(*[F.max(c) - F.min(c) for c in XYZ]).alias("_span"), F.count(F.lit(1)).alias("_n")
-    )
-    waiting = base.select("scene_id", "point_id")
-    names = ["_gx", "_gy", "_gz"]
-    done = None
-    for step in range(max_rounds):
-        size = F.col("_cell") * float(2**step)
-        grid = cells(base, size, XYZ, names)
-        asking = ring(grid.join(waiting, ["scene_id", "point_id"], "left_semi"), names)
-        near = grid.select("scene_id", *names, *[F.col(c).alias(f"n{c}") for c in XYZ])
-        gap = norm(*[F.col(c) - F.col(f"n{c}") for c in XYZ])
-        order = Window.partitionBy("scene_id", "point_id").orderBy("_gap")
-        nearest = (
-            asking.join(near, ["scene_id", *names])
-            .select("scene_id", "point_id", size.alias("_size"), gap.alias("_gap"))
-            .filter(F.col("_gap") <= F.col("_size"))
-            .withColumn("_k", F.row_number().over(order))
-            .filter(F.col("_k") <= k)
-            .groupBy("scene_id", "point_id")
-            .agg(F.count(F.lit(1)).alias("_found"), F.avg("_gap").alias("mean_distance"),
-                 F.first("_size").alias("_size"))
-            .join(reach, "scene_id")
-        )
-        settled_now = (F.col("_found") == k) | (F.col("_size") >= F.col("_span"))
-        judged = cut(nearest.withColumn("_ok", settled_now).select("scene_id", "point_id", "mean_distance", "_ok"))
-        final = judged.filter("_ok").drop("_ok")
-        done = final if done is None else done.unionByName(final)
-        waiting = judged.filter(~F.col("_ok")).select("scene_id", "point_id")
-        if is_empty(waiting):
-            return done
-    raise RuntimeError("neighbour search did not settle; raise max_rounds")
+    base = cut(fan_out(points.withColumn("_cell", cell.cast("double")).select("scene_id", "point_id", *XYZ, "_cell"), "scene_id", "point_id"))
+    places = base.groupBy("scene_id", *XYZ).agg(F.count(F.lit(1)).alias("w"), F.max("_cell").alias("size"))
+    return base.join(nearest_means(places, k), ["scene_id", *XYZ]).select("scene_id", "point_id", "mean_distance")
 
 
 def statistical_outliers(

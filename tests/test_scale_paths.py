@@ -7,7 +7,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from skysift.operators import cloud, frames, incidents, merging, raster, spatial, successors
+from skysift.operators import cloud, frames, incidents, merging, neighbours, raster, spatial, successors
 from skysift.operators.ordering import digits, numbered, previous, quantiles, top_rows
 from skysift.operators.suppression import nms
 
@@ -374,6 +374,34 @@ def test_neighbour_search_matches_brute_force(spark):
     assert np.allclose([got[i] for i in range(len(xyz))], want)
 
 
+def test_neighbours_of_uneven_clouds(spark):
+    """A crowded cell, an isolated point, copies, a line, and scenes with fewer points than asked for."""
+    rng = np.random.default_rng(11)
+    crowd = np.concatenate([rng.random((3000, 3)) * 0.08, rng.random((200, 3)) * 2 - 1, [[9.0, 9.0, 9.0], [-7.5, 0.3, 2.0]], np.repeat([[0.5, 0.5, 0.5]], 30, axis=0), np.linspace(0, 3, 50)[:, None] * [1, 1, 0]])
+    few = rng.random((5, 3))
+    rows = [(1, i, *map(float, p)) for i, p in enumerate(crowd)] + [(2, i, *map(float, p)) for i, p in enumerate(few)] + [(3, 0, 1.0, 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "scene_id long, point_id long, x double, y double, z double").repartition(6)
+    got = {(r.scene_id, r.point_id): r.mean_distance for r in cloud.knn_distance(df, 20, 0.1).collect()}
+    assert len(got) == len(rows)
+    for scene, xyz in ((1, crowd), (2, few), (3, np.array([[1.0, 2.0, 3.0]]))):
+        d = np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(axis=2))
+        want = np.sort(d, axis=1)[:, :20].mean(axis=1)
+        assert np.allclose([got[scene, i] for i in range(len(xyz))], want)
+    assert cloud.knn_distance(df.limit(0), 20, 0.1).count() == 0
+
+
+def test_an_isolated_point_opens_a_part_of_a_crowd(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    xyz = np.concatenate([rng.random((20_000, 3)), [[4.0, 0.5, 0.5]]])
+    met = []
+    monkeypatch.setattr(neighbours, "cut", lambda df: (out := spatial.cut(df), met.append((df.columns, out)))[0])
+    got = {r.point_id: r.mean_distance for r in cloud.knn_distance(points(spark, xyz), 20, 0.1).collect()}
+    assert np.isclose(got[20_000], np.sort(np.linalg.norm(xyz - xyz[-1], axis=1))[:20].mean())
+    last = [df for columns, df in met if "_lo_x" in columns]
+    far = [df.filter("_lo_x = 4").agg(F.sum("n")).first()[0] for df in last]
+    assert far[-1] is None or min(f for f in far if f) < 8000
+
+
 def test_radius_outliers_match_brute_force(spark):
     xyz = blobs(1)
     d = np.linalg.norm(xyz[:, None] - xyz[None], axis=2)
