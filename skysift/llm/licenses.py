@@ -1,13 +1,13 @@
 """License scans with ordered signature rules.
 
-A few hundred regular expressions over the words of a text, each gated by a keyword: one Aho-Corasick pass finds which
-keywords occur, and only the rules of those keywords run.  Overlapping detections are resolved by priority: a detection that
+Some four hundred hand-written regular expressions (``license_rules``) over the words of a text, each gated by a keyword: one
+Aho-Corasick pass finds which keywords occur, and only the rules of those keywords run.  Overlapping detections are resolved by priority: a detection that
 lies inside the word interval of one with a higher priority is suppressed, and among equal priorities the longer one stays.
 
 The base phrases are rules of the lowest priority whose labels are always reported, suppressed or not.
 
 Defined results: a null text is the empty text; rows are judged one by one, so repeated rows and null ids give one row each;
-extra columns are ignored.  Words are lower-cased (A-Z) runs of digits, letters and characters outside ASCII.
+an empty table gives no rows; very long texts are read whole; ids are longs of any size; extra columns are ignored.  Words are lower-cased (A-Z) runs of digits, letters and characters outside ASCII.
 """
 
 import re
@@ -21,61 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skysift.llm.common import texts, utf8
+from skysift.llm.license_rules import SIGNATURES
 
 #: Base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Label, names as words, versions as words ("" for none).
-FAMILIES = (
-    ("gpl", ("gnu general public license", "gnu gpl", "gplv"), ("1", "2", "3", "1 0", "2 0", "3 0")),
-    ("lgpl", ("gnu lesser general public license", "gnu library general public license", "gnu lgpl", "lgplv"), ("2", "2 1", "3", "3 0")),
-    ("agpl", ("gnu affero general public license", "gnu agpl", "agplv"), ("1", "3", "3 0")),
-    ("gfdl", ("gnu free documentation license", "gnu fdl"), ("1 1", "1 2", "1 3")),
-    ("apache", ("apache license", "apache software license"), ("1 0", "1 1", "2 0")),
-    ("mpl", ("mozilla public license", "mpl"), ("1 0", "1 1", "2 0")),
-    ("epl", ("eclipse public license",), ("1 0", "2 0")),
-    ("cddl", ("common development and distribution license", "cddl"), ("1 0", "1 1")),
-    ("eupl", ("european union public licence", "european union public license", "eupl"), ("1 1", "1 2")),
-    ("osl", ("open software license",), ("1 0", "2 0", "2 1", "3 0")),
-    ("afl", ("academic free license",), ("2 0", "2 1", "3 0")),
-    ("artistic", ("artistic license", "the artistic license"), ("1 0", "2 0")),
-    ("bsl", ("boost software license",), ("1 0",)),
-    ("python", ("python software foundation license", "psf license"), ("2",)),
-    ("odbl", ("open database license", "odbl"), ("1 0",)),
-    ("cc-by-nc-sa", ("cc by nc sa", "creative commons attribution noncommercial sharealike"), ("2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc-nd", ("cc by nc nd", "creative commons attribution noncommercial noderivatives"), ("2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc", ("cc by nc", "creative commons attribution noncommercial"), ("2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-sa", ("cc by sa", "creative commons attribution sharealike"), ("2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nd", ("cc by nd", "creative commons attribution noderivatives"), ("2 0", "2 5", "3 0", "4 0")),
-    ("cc-by", ("cc by", "creative commons attribution"), ("2 0", "2 5", "3 0", "4 0")),
-    ("cc0", ("cc0", "creative commons zero"), ("1 0",)),
-    ("mit", ("mit license", "mit licence"), ()),
-    ("isc", ("isc license", "isc licence"), ()),
-    ("zlib", ("zlib license", "zlib libpng license"), ()),
-    ("unlicense", ("the unlicense", "unlicense org"), ()),
-    ("wtfpl", ("do what the fuck you want to public license", "wtfpl"), ("2",)),
-    ("bsd-2-clause", ("bsd 2 clause", "simplified bsd license", "freebsd license"), ()),
-    ("bsd-3-clause", ("bsd 3 clause", "new bsd license", "modified bsd license"), ()),
-    ("bsd-4-clause", ("bsd 4 clause", "original bsd license"), ()),
-)
-#: Sentences that tell a license by its own text.
-SENTENCES = (
-    ("mit", r"permission is hereby granted free of charge to any person obtaining a copy", "hereby granted"),
-    ("isc", r"permission to use copy modify and or distribute this software for any purpose", "and or distribute"),
-    ("apache", r"you may not use this file except in compliance with the license", "except in compliance"),
-    ("bsd", r"redistributions? (?:and use )?(?:in|of) source(?: code)?(?: and binary forms)?", "redistribution"),
-    ("bsd-3-clause", r"neither the name of .{0,80}? may be used to endorse or promote products", "endorse or promote"),
-    ("gpl", r"free software you can redistribute it and or modify it under the terms of the gnu general public license", "redistribute it"),
-    ("lgpl", r"redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license", "redistribute it"),
-    ("unlicense", r"this is free and unencumbered software released into the public domain", "unencumbered"),
-    ("zlib", r"this software is provided as is without any express or implied warranty", "provided as is"),
-    ("public-domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain", "public domain"),
-    ("proprietary", r"all rights reserved", "all rights"),
-)
-#: Grant wordings before a name; each makes one rule per name and one per name and version.
-GRANTS = (r"(?:re|dual )?licensed under (?:the )?(?:terms of )?(?:the )?", r"(?:released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?")
-
-
 @dataclass(frozen=True)
 class Rule:
     label: str
@@ -86,20 +36,12 @@ class Rule:
 
 @lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
-    """All rules, most telling first: tag, grant with version, grant, sentence, name with version, name, base phrase."""
+    """All signatures, most telling first."""
     out = []
-    for label, names, versions in FAMILIES:
-        for name in names:
-            version = rf"(?: version| v)? ?(?:{'|'.join(sorted(versions, key=len, reverse=True))})(?: or later| only)?" if versions else ""
-            for grant in GRANTS:
-                if versions:
-                    out.append(Rule(label, rf"{grant}{name}{version}", name, 90))
-                out.append(Rule(label, rf"{grant}{name}", name, 80))
-            for v in versions:
-                out.append(Rule(label, rf"{name}(?: version| v)? ?{v}", name, 60))
-            out.append(Rule(label, name, name, 40 if len(name.split()) > 2 else 35))
-        out.append(Rule(label, rf"spdx license identifier {label.replace('-', ' ')}(?: \d+)*(?: or later| only)?", "spdx", 100))
-    out += [Rule(label, pattern, keyword, 70) for label, pattern, keyword in SENTENCES]
+    for line in SIGNATURES.strip().splitlines():
+        head, keyword, pattern = (x.strip() for x in line.split(" | ", 2))
+        priority, label = head.split(" ")
+        out.append(Rule(label, pattern, keyword, int(priority)))
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 
@@ -149,6 +91,15 @@ def detect(flat: str, keys: set[str]) -> list[tuple[int, int, str, int]]:
     return sorted(kept)
 
 
+def certainty(spans: list[dict]) -> float:
+    """Of the label that is best attested: detections count by priority and length, and several of one label add up."""
+    doubt: dict[str, float] = {}
+    for x in spans:
+        strength = x["priority"] / 100 * (0.7 + 0.3 * (1 - 0.5 ** ((x["end"] - x["start"]) / 4)))
+        doubt[x["label"]] = doubt.get(x["label"], 1.0) * (1 - strength)
+    return 1 - min(doubt.values(), default=1.0)
+
+
 def scan(text: str) -> tuple:
     words = words_of(text)
     flat = f" {b' '.join(words).decode('utf-8', 'surrogatepass')} "
@@ -172,7 +123,7 @@ def scan(text: str) -> tuple:
     starts = [number[x] for x, _ in base]
     own = sorted({label for _, label in base})
     spans = [{"label": lab, "start": number[a], "end": number[b] + 1, "priority": pr} for a, b, lab, pr in found]
-    score = max([pr / 100 for *_, pr in found] + [0.3] * bool(base), default=0.0)
+    score = certainty(spans) or 0.3 * bool(base)
     return len(words), len(base), min(starts, default=None), max(starts, default=None), ",".join(own), ",".join(sorted({*own, *(x[2] for x in found)})), score, spans
 
 
