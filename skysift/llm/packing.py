@@ -130,6 +130,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, size: int = 1024) -> Dat
     ahead = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
 
+    # ``base`` has up to ``size`` rows a task, so it grows with the tasks: it is merged in, never broadcast.
     def place(batches):
         for batch in batches:
             rank = (batch["base"] + batch["nth"]).to_numpy()
@@ -140,4 +141,4 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, size: int = 1024) -> Dat
             batch["offset"] = where["offset"][k] + inside % where["copies"][k] * length
             yield batch[[x.split()[0] for x in PLACED.split(", ")]]
 
-    return with_long(cut.join(base, ["length", "part"]).mapInPandas(place, PLACED), "doc_id")
+    return with_long(cut.join(base.hint("merge"), ["length", "part"]).mapInPandas(place, PLACED), "doc_id")
