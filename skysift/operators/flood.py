@@ -6,12 +6,12 @@ Boxes are half-open raster boxes in the columns named by ``BOX``.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skysift.functions.numeric import clip, fixed, half_even, is_finite, norm, settled
-from skysift.lineage import cut, fan_out
+from skysift.lineage import cut
+from skysift.operators.folds import ordered_walk
 from skysift.operators.raster import FRAME, laplacian
 from skysift.operators.spatial import box_pixels, box_sums, label_runs
 
@@ -382,39 +382,48 @@ def damage(pixels: DataFrame, boxes: DataFrame, min_side: int = 30, tile: int =
 # ------------------------------------------------------------ surroundings
 
 
-def _distances(key: tuple, probes: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+class _Distances:
     """Exact distances of the probes of one frame: along each image row by runs, then over the rows of the probe's column."""
-    if rows.empty:
-        return pd.DataFrame(columns=["mission_id", "frame_idx", "det_id", "flood_distance_px"])
-    rows = rows.sort_values("r")
-    r = rows["r"].to_numpy(np.int64)
-    sizes = np.array([len(c) for c in rows["columns"]])
-    c = np.concatenate([np.asarray(x, np.int64) for x in rows["columns"]])
-    of = np.repeat(np.arange(len(r)), sizes)
-    begin = np.concatenate([[True], (np.diff(c) != 1) | (np.diff(of) != 0)])
-    first, last = c[begin], c[np.concatenate([begin[1:], [True]])]
-    row_start = np.searchsorted(of[begin], np.arange(len(r)))
-    columns, out = probes["pc"].to_numpy(np.int64), np.zeros(len(probes))
-    heights = probes["pr"].to_numpy(np.int64)
-    for column in np.unique(columns):
-        gap = np.maximum(0, np.maximum(first - column, column - last))
-        nearest = np.minimum.reduceat(gap, row_start) ** 2
-        for i in np.flatnonzero(columns == column):
-            out[i] = np.sqrt((nearest + (r - heights[i]) ** 2).min())
-    return pd.DataFrame({"mission_id": key[0], "frame_idx": key[1], "det_id": probes["det_id"].to_numpy(), "flood_distance_px": out})
+
+    def __init__(self, key: tuple):
+        self.key, self.parts = key, []
+
+    def take(self, rows: dict[str, np.ndarray]) -> list[tuple]:
+        self.parts.append(rows)
+        return []
+
+    def close(self) -> list[tuple]:
+        kind, rows, columns, dets = (np.concatenate([p[c] for p in self.parts]) for c in ("kind", "r", "columns", "det_id"))
+        wet, probes = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
+        if not len(wet) or not len(probes):
+            return []
+        places = np.concatenate([p["c"] for p in self.parts])[probes]
+        wet = wet[np.argsort(rows[wet], kind="stable")]
+        r, sizes = rows[wet], [len(columns[i]) for i in wet]
+        c, of = np.concatenate([np.asarray(columns[i], np.int64) for i in wet]), np.repeat(np.arange(len(wet)), sizes)
+        begin = np.concatenate([[True], (np.diff(c) != 1) | (np.diff(of) != 0)])
+        first, last = c[begin], c[np.concatenate([begin[1:], [True]])]
+        row_start = np.searchsorted(of[begin], np.arange(len(wet)))
+        out = []
+        for column in np.unique(places):
+            gap = np.maximum(0, np.maximum(first - column, column - last))
+            nearest = np.minimum.reduceat(gap, row_start) ** 2
+            for i in probes[places == column]:
+                out.append((*self.key, int(dets[i]), float(np.sqrt((nearest + (r - rows[i]) ** 2).min()))))
+        return out
 
 
 def nearest_flag(det: DataFrame, pixels: DataFrame, flag: str = "is_water") -> DataFrame:
     """Distance from each centre ``pc, pr`` to the nearest flagged pixel, 0 inside.
 
     A separable distance transform that is evaluated at the probes alone.  Flagged pixels of an image row are packed before
-    the shuffle; a group is one frame, so the raster bounds it.
+    the shuffle; a task holds one frame, so the raster bounds it.
     """
-    wet = pixels.filter(F.col(flag)).groupBy(*FRAME, "r").agg(F.array_sort(F.collect_set("c")).alias("columns"))
-    probes = det.select(*FRAME, "det_id", F.col("pr").cast("long").alias("pr"), F.col("pc").cast("long").alias("pc"))
-    return fan_out(probes, *FRAME).groupBy(*FRAME).cogroup(wet.groupBy(*FRAME)).applyInPandas(
-        _distances, "mission_id long, frame_idx long, det_id long, flood_distance_px double"
-    )
+    zero, long = F.lit(0).cast("long"), lambda c: F.col(c).cast("long")
+    wet = pixels.filter(F.col(flag)).groupBy(*FRAME, "r").agg(F.array_sort(F.collect_set(long("c"))).alias("columns"))
+    rows = wet.select(*FRAME, F.lit(0).alias("kind"), long("r").alias("r"), zero.alias("c"), "columns", zero.alias("det_id"))
+    probes = det.select(*FRAME, F.lit(1).alias("kind"), long("pr").alias("r"), long("pc").alias("c"), F.array().cast("array<bigint>").alias("columns"), "det_id")
+    return ordered_walk(rows.unionByName(probes), FRAME, [F.col("kind")], _Distances, "mission_id long, frame_idx long, det_id long, flood_distance_px double")
 
 
 def person_context(
