@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skysift.functions.numeric import half_even
-from skysift.operators import cloud, depth
+from skysift.operators import cloud, depth, spatial
 from skysift.plans.localization import CENTRE
 from skysift.plans.registry import R, RS, query
 
@@ -172,10 +172,7 @@ CELLS = "floor(x / {s}) AS gx, floor(y / {s}) AS gy, floor(z / {s}) AS gz"
     WHERE sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) + (q.z - p.z) * (q.z - p.z)) <= 0.02e0 GROUP BY 1, 2""",
 )
 def _(v):
-    from skysift.operators.spatial import radius_pairs
-
-    pairs = radius_pairs(v.pts, 0.02)
-    return pairs.groupBy("scene_id", "a").agg(F.count(F.lit(1)).alias("neighbours"), F.sum("dist").alias("total")).withColumn("total", settle("total", 6))
+    return spatial.radius_totals(v.pts, 0.02).withColumn("total", settle("total", 6))
 
 
 @query(
