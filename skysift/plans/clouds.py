@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skysift.functions.numeric import half_even
+from skysift.lineage import cut, is_empty
 from skysift.operators import cloud, depth, spatial
 from skysift.plans.localization import CENTRE
 from skysift.plans.registry import R, RS, query
@@ -122,6 +123,13 @@ def _(v):
 # ------------------------------------------------------------------ clouds
 
 
+def long_sums(sums, name):
+    """Exact sums as BIGINT, as in SQL; where one is too large for it (SQL stops there), as whole decimals."""
+    sums = cut(sums)
+    large = sums.filter(F.abs(F.col(name)) > F.lit(2**63 - 1).cast("decimal(38,0)"))
+    return sums.withColumn(name, F.col(name).cast("long" if is_empty(large) else "decimal(38,0)"))
+
+
 @query(
     "b18_valid_points", "pts",
     "SELECT scene_id, point_id FROM pts WHERE conf >= 1.1e0 AND sqrt(x * x + y * y + z * z) > 1e-4 AND sqrt(x * x + y * y + z * z) < 500",
@@ -136,7 +144,8 @@ def _(v):
     SELECT pts.scene_id, count(*) AS points, CAST(sum(point_id) AS BIGINT) AS id_sum FROM pts JOIN k USING (scene_id) WHERE conf >= 1.25e0 OR n <= 100 GROUP BY 1""",
 )
 def _(v):
-    return cloud.confidence_gate_points(v.pts, 1.25).groupBy("scene_id").agg(F.count(F.lit(1)).alias("points"), F.sum("point_id").alias("id_sum"))
+    kept = cloud.confidence_gate_points(v.pts, 1.25)
+    return long_sums(kept.groupBy("scene_id").agg(F.count(F.lit(1)).alias("points"), F.sum(F.col("point_id").cast("decimal(20,0)")).alias("id_sum")), "id_sum")
 
 
 SIZES = """bb AS (SELECT scene_id, min(x) AS x0, min(y) AS y0, min(z) AS z0, least(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS ext FROM pts GROUP BY 1),

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import __spark_entry__ as contract
 from skysift.operators import spatial
 
+LINES = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double"
+
 
 def test_copies_of_a_position_are_not_paired(spark):
     copies = spark.range(200_000).selectExpr("1L AS scene_id", "id AS point_id", "IF(id % 2 = 0, 0.0D, 0.012D) AS x", "IF(id % 2 = 0, -0.0D, 0.016D) AS y", "IF(id % 4 = 0, -0.0D, 0.0D) AS z")
@@ -15,3 +18,13 @@ def test_copies_of_a_position_are_not_paired(spark):
     for r in got:
         assert r.neighbours == (200_000 if r.a < 200_000 else 2)
         assert math.isclose(r.total, 100_000 * math.hypot(0.012, 0.016) if r.a < 200_000 else 0.015, rel_tol=1e-9)
+
+
+def test_id_sums_beyond_long(spark, tmp_path):
+    query = contract.queries()["k05_confidence_gate"]
+    for shift in (0, 500_000_000_000):
+        rows = [(shift + i, 1, 8, 1, 1.0, 1000.0, 0.0, 0.06) for i in range(3)]
+        spark.createDataFrame(rows, LINES).write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+        (r,) = query(spark, str(tmp_path)).collect()
+        assert (r.points, r.id_sum) == (3, sum((o * 8 + 1) * 1048576 + 1017 for o, *_ in rows))
+        assert isinstance(r.id_sum, int) == (shift == 0)
