@@ -439,14 +439,12 @@ def _(v):
 
 @query(
     "u03_infer_mission_with", "cam",
-    """n AS (SELECT mission_id, frame_idx, t0, row_number() OVER (PARTITION BY mission_id ORDER BY frame_idx) - 1 AS position, count(*) OVER (PARTITION BY mission_id) AS n FROM cam),
-    s AS (SELECT DISTINCT mission_id, round_even(i * (n - 1) / 23e0, 0) AS position FROM n, range(24) t(i))
-    SELECT n.mission_id, frame_idx, t0 * 2e0 AS depth_scale FROM n LEFT JOIN s ON n.mission_id = s.mission_id AND n.position = s.position WHERE n <= 24 OR s.position IS NOT NULL""",
+    "SELECT mission_id, frame_idx, t0 * 2e0 AS depth_scale FROM cam",
 )
 def _(v):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"mission_id": pdf.mission_id, "frame_idx": pdf.frame_idx, "depth_scale": pdf.t0 * 2.0})
 
     return detect.infer_mission_with(
-        v.cam.select("mission_id", "frame_idx", "t0"), fn, "mission_id long, frame_idx long, depth_scale double"
+        v.cam.select("mission_id", "frame_idx", "t0"), fn, "mission_id long, frame_idx long, depth_scale double", window=24
     )

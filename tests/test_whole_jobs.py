@@ -28,3 +28,12 @@ def test_id_sums_beyond_long(spark, tmp_path):
         (r,) = query(spark, str(tmp_path)).collect()
         assert (r.points, r.id_sum) == (3, sum((o * 8 + 1) * 1048576 + 1017 for o, *_ in rows))
         assert isinstance(r.id_sum, int) == (shift == 0)
+
+
+def test_model_sees_every_frame(spark, folder):
+    name = "u03_infer_mission_with"
+    assert "position" not in contract.oracle_sql()[name]
+    frames = contract.queries()[name](spark, folder)
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    wanted = events.selectExpr("floor(event_id / 500) AS m", "floor(event_id % 500 / 10) AS f").distinct()
+    assert {(r.mission_id, r.frame_idx) for r in frames.collect()} == {(r.m, r.f) for r in wanted.collect()}
