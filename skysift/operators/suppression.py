@@ -1,16 +1,19 @@
 """Class-aware non-maximum suppression.
 
 Ordinary frames run as one array fold per (mission, frame, pool).  A pool with
-more boxes than ``limit`` never meets in one task: it is settled in rounds, where
-a box is kept once it is the best of its grid neighbourhood and then removes the
-boxes it overlaps.  Both give the greedy result.  Detection ids need to be unique
-within a frame only.
+more boxes than ``limit`` is walked: its boxes stream past the kept ones, best
+first, after one sort.  One with more than ``walk`` never meets in one task: it is
+settled in rounds, where a box is kept once it is the best of its grid
+neighbourhood and then removes the boxes it overlaps.  All give the greedy result.
+Detection ids need to be unique within a frame only.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,17 +24,21 @@ GROUP = ["mission_id", "frame_idx", "_person"]
 BOX = ["x1", "y1", "x2", "y2"]
 
 
-def nms(det: DataFrame, iou: float = 0.45, person_iou: float = 0.40, limit: int = 2048) -> DataFrame:
+def nms(det: DataFrame, iou: float = 0.45, person_iou: float = 0.40, limit: int = 2048, walk: int = 65_536) -> DataFrame:
     """Greedy suppression by confidence; ties keep the higher detection id."""
     pooled = det.withColumn("_person", F.col("raw_class") == "person")
-    hot = pooled.groupBy(*GROUP).count().filter(F.col("count") > limit).drop("count")
-    if is_empty(hot):
+    sizes = cut(pooled.groupBy(*GROUP).count().filter(F.col("count") > limit))
+    if is_empty(sizes):
         return _fold(pooled, iou, person_iou).drop("_person")
-    hot = cut(hot)
-    small = _fold(pooled.join(hot, GROUP, "left_anti"), iou, person_iou)
-    kept = _rounds(pooled.join(hot, GROUP, "left_semi"), iou, person_iou)
-    large = pooled.join(kept, [*GROUP, "det_id"], "left_semi").select(*small.columns)
-    return small.unionByName(large).drop("_person")
+    out = _fold(pooled.join(sizes, GROUP, "left_anti"), iou, person_iou)
+    middle = pooled.join(sizes.filter(F.col("count") <= walk), GROUP, "left_semi").select(*out.columns)
+    out = out.unionByName(_walk(middle, iou, person_iou))
+    hot = sizes.filter(F.col("count") > walk)
+    if not is_empty(hot):
+        crowd = pooled.join(hot, GROUP, "left_semi")
+        kept = _rounds(crowd, iou, person_iou)
+        out = out.unionByName(crowd.join(kept, [*GROUP, "det_id"], "left_semi").select(*out.columns))
+    return out.drop("_person")
 
 
 def _bar(iou: float, person_iou: float) -> Column:
@@ -59,6 +66,54 @@ def _fold(pooled: DataFrame, iou: float, person_iou: float) -> DataFrame:
     return rows.select(*[F.col("_row")[c].alias(c) for c in pooled.columns])
 
 
+def _overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``overlap_plus_one`` of every box of ``a`` with every box of ``b``."""
+    iw = np.maximum(0, np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0]) + 1)
+    ih = np.maximum(0, np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1]) + 1)
+    inter = iw * ih
+    area = lambda x: (x[:, 2] - x[:, 0] + 1) * (x[:, 3] - x[:, 1] + 1)
+    return inter / (area(a)[:, None] + area(b)[None, :] - inter + 1e-6)
+
+
+def _greedy(boxes: np.ndarray, kept: list[np.ndarray], bar: float) -> np.ndarray:
+    """Which of some boxes, best first, are kept beside the ``kept`` ones of their pool."""
+    alive = np.ones(len(boxes), bool)
+    for block in kept:
+        alive &= ~(_overlaps(block, boxes) > bar).any(axis=0)
+    clash = _overlaps(boxes, boxes) > bar
+    for i in range(len(boxes)):
+        if alive[i]:
+            alive[i + 1 :] &= ~clash[i, i + 1 :]
+    return alive
+
+
+def _walk(pooled: DataFrame, iou: float, person_iou: float, piece: int = 128, block: int = 4096) -> DataFrame:
+    """Greedy walk over the sorted boxes of each pool; a task holds the kept boxes of one pool and an Arrow batch."""
+
+    def run(batches):
+        here, kept, bar = None, [], 0.0
+        for batch in batches:
+            keys = list(zip(*[batch.column(name).to_pylist() for name in GROUP], strict=True))
+            boxes = np.stack([batch.column(name).to_numpy(zero_copy_only=False).astype(float) for name in BOX], axis=1)
+            starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+            stay = np.zeros(len(keys), bool)
+            for low, high in zip(starts, [*starts[1:], len(keys)], strict=True):
+                if keys[low] != here:
+                    here, kept, bar = keys[low], [], person_iou if keys[low][-1] else iou
+                for at in range(low, high, piece):
+                    part = boxes[at : min(high, at + piece)]
+                    alive = _greedy(part, kept, bar)
+                    stay[at : at + len(part)] = alive
+                    if kept and len(kept[-1]) < block:
+                        kept[-1] = np.concatenate([kept[-1], part[alive]])
+                    else:
+                        kept.append(part[alive])
+            yield batch.filter(pa.array(stay))
+
+    order = [(-F.col("conf")).asc(), (-F.col("det_id")).asc()]
+    return fan_out(pooled, *GROUP).sortWithinPartitions(*GROUP, *order).mapInArrow(run, pooled.schema)
+
+
 def _grids(df: DataFrame, bar: float, neighbours: bool) -> DataFrame:
     """Grid slots of each box.
 

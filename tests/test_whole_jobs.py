@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 
 import __spark_entry__ as contract
-from skysift.operators import spatial
+from skysift.operators import spatial, suppression
+from skysift.operators.suppression import nms
+from tests.test_scale_paths import BOXES, crowd, greedy
 
 LINES = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double"
 
@@ -37,3 +39,25 @@ def test_model_sees_every_frame(spark, folder):
     events = spark.read.parquet(f"{folder}/events.parquet")
     wanted = events.selectExpr("floor(event_id / 500) AS m", "floor(event_id % 500 / 10) AS f").distinct()
     assert {(r.mission_id, r.frame_idx) for r in frames.collect()} == {(r.m, r.f) for r in wanted.collect()}
+
+
+def test_crowds_are_walked_without_rounds(spark, monkeypatch):
+    rows = crowd(60, copies=2, seed=4)
+    det = spark.createDataFrame(rows, BOXES)
+    ids = lambda **how: {r.det_id for r in nms(det, **how).collect()}
+    assert ids(limit=10, walk=10) == greedy(rows)  # rounds
+    monkeypatch.setattr(suppression, "_rounds", lambda *_: 1 / 0)
+    rows = crowd(400, copies=3, seed=5)
+    det = spark.createDataFrame(rows, BOXES)
+    assert ids(limit=10) == greedy(rows)
+    assert nms(det, limit=10).columns == det.columns
+
+
+def test_walk_goes_over_batches_and_blocks(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        rows = crowd(700, copies=2, seed=5)
+        pooled = spark.createDataFrame(rows, BOXES).selectExpr("*", "raw_class = 'person' AS _person")
+        assert {r.det_id for r in suppression._walk(pooled, 0.45, 0.40, piece=7, block=16).collect()} == greedy(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
