@@ -98,7 +98,8 @@ def pose_records(cameras: DataFrame) -> DataFrame:
 
 
 def write_poses(cameras: DataFrame, folder: str) -> None:
-    pose_records(cameras).write.mode("overwrite").partitionBy("mission_id").json(folder)
+    """Records with their mission in part files, one for each task; the number of files does not grow with the missions."""
+    pose_records(cameras).write.mode("overwrite").json(folder)
 
 
 def camera_lines(cameras: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 import __spark_entry__ as contract
 from skysift.operators import spatial, suppression
 from skysift.operators.suppression import nms
+from skysift.sources import sinks
 from tests.test_scale_paths import BOXES, crowd, greedy
 
 LINES = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double"
@@ -61,3 +62,13 @@ def test_walk_goes_over_batches_and_blocks(spark):
         assert {r.det_id for r in suppression._walk(pooled, 0.45, 0.40, piece=7, block=16).collect()} == greedy(rows)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_poses_of_many_missions_need_few_files(spark, tmp_path):
+    cameras = spark.range(300).selectExpr(
+        "id AS mission_id", "0L AS frame_idx", *[f"{float(i == j)}D AS r{i}{j}" for i in range(3) for j in range(3)], "id * 1.0D AS t0", "0.0D AS t1", "0.0D AS t2"
+    )
+    sinks.write_poses(cameras.repartition(3), str(tmp_path / "poses"))
+    assert len(list((tmp_path / "poses").rglob("part-*.json"))) <= 3
+    read = spark.read.schema("mission_id long, frame_idx long, position array<double>").json(str(tmp_path / "poses"))
+    assert {r.mission_id: r.position[0] for r in read.collect()} == {m: (-float(m) if m else 0.0) for m in range(300)}
