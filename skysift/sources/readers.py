@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import re
+from functools import reduce
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skysift.functions.numeric import half_even
-from skysift.lineage import cut
+from skysift.lineage import cut, fan_out, is_empty
 from skysift.operators.ordering import numbered
 from skysift.schemas import DETECTION, HARD_CASE
 
@@ -24,14 +30,37 @@ def number_by_path(files: DataFrame) -> DataFrame:
     return numbered(spread, ["mission"], F.col("_at"), [F.col("path")], "frame_idx", start=0).drop("_at")
 
 
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """``path, length`` of all files below ``path``: folders are listed by tasks, level by level, so no listing reaches the driver.
+
+    Names that begin with a dot or an underscore are left out, as Spark's readers do.
+    """
+    start = path if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path) else os.path.abspath(path)
+    store, root = fs.FileSystem.from_uri(start)
+    prefix = "file:" if store.type_name == "local" else start[: start.rindex(root)] if root in start else ""
+
+    def listed(batches):
+        store, _ = fs.FileSystem.from_uri(start)
+        for batch in batches:
+            for folder in batch["path"]:
+                found = store.get_file_info(fs.FileSelector(folder))
+                rows = [(x.path, x.size or 0, x.type == fs.FileType.Directory) for x in found if not x.base_name.startswith((".", "_"))]
+                yield pd.DataFrame(rows, columns=["path", "length", "folder"]).astype({"path": object, "length": "int64", "folder": bool})
+
+    todo, files = spark.createDataFrame([(root,)], "path string"), []
+    while not is_empty(todo):
+        level = cut(fan_out(todo, "path").mapInPandas(listed, "path string, length long, folder boolean"))
+        files.append(level.filter(~F.col("folder")))
+        todo = level.filter("folder").select("path")
+    return reduce(DataFrame.unionByName, files).select(F.concat(F.lit(prefix), "path").alias("path"), "length")
+
+
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
     """Manifest of the images and clips below ``path``; file contents stay unread.
 
     The parent folder names the mission.
     """
-    listed = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
-    )
+    listed = list_files(spark, path)
     suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     known = listed.withColumn("_ext", suffix).filter(F.col("_ext").isin(*IMAGES, *CLIPS))
     named = known.select(

@@ -7,7 +7,7 @@ import math
 import __spark_entry__ as contract
 from skysift.operators import spatial, suppression
 from skysift.operators.suppression import nms
-from skysift.sources import sinks
+from skysift.sources import readers, sinks
 from tests.test_scale_paths import BOXES, crowd, greedy
 
 LINES = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double"
@@ -72,3 +72,14 @@ def test_poses_of_many_missions_need_few_files(spark, tmp_path):
     assert len(list((tmp_path / "poses").rglob("part-*.json"))) <= 3
     read = spark.read.schema("mission_id long, frame_idx long, position array<double>").json(str(tmp_path / "poses"))
     assert {r.mission_id: r.position[0] for r in read.collect()} == {m: (-float(m) if m else 0.0) for m in range(300)}
+
+
+def test_files_are_listed_by_tasks(spark, tmp_path):
+    for name in ("a/b/c/1.jpg", "a/2.jpg", "3 x%20.jpg", "_hidden/4.jpg", "a/.5.jpg"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * len(name))
+    (tmp_path / "empty").mkdir()
+    for path in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}"):
+        got = {(r.path.removeprefix("file:").replace("//", "/"), r.length) for r in readers.list_files(spark, path).collect()}
+        assert got == {(f"{tmp_path}/{n}", len(n)) for n in ("a/b/c/1.jpg", "a/2.jpg", "3 x%20.jpg")}
+    assert "binaryFile" not in readers.read_frames(spark, str(tmp_path))._jdf.queryExecution().toString()
