@@ -9,7 +9,7 @@ from skysift.functions.numeric import fixed, half_even, norm
 from skysift.lineage import cut, is_empty
 from skysift.operators import merging
 from skysift.operators.ordering import BLOCK, numbered
-from skysift.operators.spatial import cells, components, radius_pairs, ring
+from skysift.operators.spatial import cells, components, radius_pairs_once, ring
 from skysift.sources.versioned import latest
 
 GROUP_LIMIT = 20_000
@@ -20,7 +20,7 @@ def near_incidents(inc: DataFrame, radius: float = 2.0) -> DataFrame:
     placed = inc.filter(F.col("x").isNotNull()).withColumn(
         "site", F.concat_ws("|", F.col("mission_id").cast("string"), "type")
     )
-    return radius_pairs(placed, radius, "site", "seq", strict=True).filter(F.col("a") < F.col("b"))
+    return radius_pairs_once(placed, radius, "site", "seq")
 
 
 def merge_frames(a: Column, b: Column) -> Column:

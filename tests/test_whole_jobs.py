@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 import __spark_entry__ as contract
-from skysift.operators import spatial, suppression
+from skysift.operators import incidents, spatial, suppression
 from skysift.operators.suppression import nms
 from skysift.sources import readers, sinks
 from tests.test_scale_paths import BOXES, crowd, greedy
@@ -83,3 +85,13 @@ def test_files_are_listed_by_tasks(spark, tmp_path):
         got = {(r.path.removeprefix("file:").replace("//", "/"), r.length) for r in readers.list_files(spark, path).collect()}
         assert got == {(f"{tmp_path}/{n}", len(n)) for n in ("a/b/c/1.jpg", "a/2.jpg", "3 x%20.jpg")}
     assert "binaryFile" not in readers.read_frames(spark, str(tmp_path))._jdf.queryExecution().toString()
+
+
+def test_near_incidents_once(spark):
+    rng = np.random.default_rng(11)
+    xyz = np.round(rng.random((200, 3)) * [12, 9, 5] - 6, 1)
+    rows = [(i % 2, 1000 - i, "T", *map(float, p)) for i, p in enumerate(xyz)] + [(0, 5000, "T", None, None, None)]
+    got = incidents.near_incidents(spark.createDataFrame(rows, "mission_id long, seq long, type string, x double, y double, z double"))
+    d = np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(axis=2))
+    want = sorted((1000 - j, 1000 - i) for i in range(200) for j in range(i + 1, 200) if i % 2 == j % 2 and d[i, j] < 2)
+    assert sorted((r.a, r.b) for r in got.collect()) == want
