@@ -134,3 +134,29 @@ def test_incident_stream_leaves_other_missions_alone(spark, tmp_path):
     stream_incidents.apply_batch(batch, 1, folder, 16)
     after = state.manifest()["files"]
     assert {b for b in after if before.get(b) != after[b]} == {str(b) for b in state.touched(batch)}
+
+
+def test_tracker_wakes_once_for_frames_that_pass_together(spark, tmp_path, monkeypatch):
+    """Frames over several blocks, in any order, some late: the ids of the batch walk, and one timer a mission and watermark."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    plain = tracker.Tracker.handleExpiredTimer
+
+    class Counted(tracker.Tracker):
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            with open(f"{calls}/{key[0]}", "a") as f:
+                f.write("x")
+            yield from plain(self, key, timerValues, expiredTimerInfo)
+
+    monkeypatch.setattr(tracker, "Tracker", Counted)
+    rows = detections(frames=150, missions=2, seed=3)
+    det = spark.createDataFrame(rows, DET)
+    want = {(r.mission_id, r.det_id, r.track_id, r.track_length) for r in track(det).collect()}
+    source, out, state = (str(tmp_path / name) for name in ("in", "out", "state"))
+    last = spark.createDataFrame([(9, 10**6, None, None, None, *[None] * 6, datetime.datetime(2030, 1, 1))], DET)
+    for part in (det.filter("frame_idx >= 90"), det.filter("frame_idx < 90 AND det_id % 2 = 0"), det.filter("frame_idx < 90 AND det_id % 2 = 1"), last):
+        part.repartition(2).write.mode("append").parquet(source)
+    run(spark, source, out, state)
+    got = [(r.mission_id, r.det_id, r.track_id, r.track_length) for r in spark.read.parquet(out).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {p.name: len(p.read_text()) for p in calls.iterdir()} == {"1": 1, "2": 1}
