@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skysift.functions.numeric import clip, is_finite, settled
 from skysift.lineage import cut
-from skysift.operators.ordering import quantiles
+from skysift.operators.ordering import crowded, quantiles
 from skysift.operators.raster import FRAME
 
 
@@ -73,15 +73,16 @@ def align_depth(
     rows = cut(depth.filter(_usable(min_depth, max_depth, conf)).select(*FRAME, "depth", "mono_depth"))
     sizes = rows.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_valid)
     rows = rows.join(sizes.select(*FRAME), FRAME, "left_semi")
+    large = crowded(rows, FRAME)
     if method == "median_ratio":
         ratio = rows.withColumn("_ratio", F.col("depth") / (F.col("mono_depth") + 1e-8))
-        line = quantiles(ratio, FRAME, "_ratio", {"scale": 0.5}).withColumn("shift", F.lit(0.0))
+        line = quantiles(ratio, FRAME, "_ratio", {"scale": 0.5}, large=large).withColumn("shift", F.lit(0.0))
     else:
         line = cut(_solve(rows, F.lit(1.0)))
         for _ in range(3):
             residual = F.abs(F.col("mono_depth") * F.col("scale") + F.col("shift") - F.col("depth"))
             judged = rows.join(line, FRAME).withColumn("_r", residual).drop("scale", "shift")
-            middle = quantiles(judged, FRAME, "_r", {"_med": 0.5})
+            middle = quantiles(judged, FRAME, "_r", {"_med": 0.5}, large=large)
             weight = 1.0 / F.greatest(F.lit(1.0), F.col("_r") / (1.345 * (F.col("_med") + 1e-6)))
             line = cut(_solve(judged.join(middle, FRAME), weight * weight))
         line = line.withColumn("scale", F.greatest(F.lit(1e-4), "scale"))

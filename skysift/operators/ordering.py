@@ -10,8 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skysift.lineage import cut, is_empty
 
 BLOCK = 4096
+#: Rows of a key that one task may sort for a quantile.
+SORTED = 1 << 16
 
 
 def numbered(
@@ -119,8 +122,58 @@ def _holding(counts: DataFrame, keys: list[str], bin_: str) -> DataFrame:
     return placed.filter((F.col("_first") <= F.col("_high")) & (F.col("_end") > F.col("_low"))).drop("_end", "_size")
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float], coarse: int = 8, fine: int = 32) -> DataFrame:
-    """Exact linear-interpolated quantiles per key, by radix selection on the ordered digits of the values.
+def group_medians(df: DataFrame, keys: list[str], value: str, name: str, first: Column | None = None) -> DataFrame:
+    """Median of ``value`` (not null) of every key with a row; for keys whose rows are bounded, as the pixels of one box.
+
+    The rows of a key are sorted once (a sort that spills) and only those in the middle are kept, so nothing is gathered.  Where
+    rows of a key have the flag ``first``, they count alone.
+    """
+    each = Window.partitionBy(*keys)
+    if first is None:
+        ranked = df.withColumns({"_r": 2 * F.row_number().over(each.orderBy(value)), "_n": F.count(F.lit(1)).over(each)})
+    else:
+        # Flagged rows stand before the others, so their ranks are those among themselves.
+        flagged = F.count_if(first).over(each)
+        ranked = df.withColumns({"_r": 2 * F.row_number().over(each.orderBy(first.desc(), value)), "_n": F.when(flagged > 0, flagged).otherwise(F.count(F.lit(1)).over(each))})
+    return ranked.filter(F.col("_r").between(F.col("_n"), F.col("_n") + 2)).groupBy(*keys).agg(F.avg(value).alias(name))
+
+
+def crowded(df: DataFrame, keys: list[str], most: int = SORTED) -> DataFrame | None:
+    """Keys with more than ``most`` rows; None if there are none."""
+    many = cut(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).select(*keys))
+    return None if is_empty(many) else many
+
+
+def quantiles(
+    df: DataFrame, keys: list[str], value: str, points: dict[str, float], coarse: int = 8, fine: int = 32, large: DataFrame | None | str = "count"
+) -> DataFrame:
+    """Exact linear-interpolated quantiles per key: sorted ranks, and digits for the keys in ``large`` (``crowded``; counted if not given).
+
+    A caller that asks several times on the same rows counts once.
+    """
+    finite = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).cast("double").alias("_v"))
+    large = crowded(finite, keys) if isinstance(large, str) else large
+    if large is None:
+        return _sorted_quantiles(finite, keys, points)
+    few, many = finite.join(large, keys, "left_anti"), finite.join(large, keys, "left_semi")
+    return _sorted_quantiles(few, keys, points).unionByName(digit_quantiles(many, keys, "_v", points, coarse, fine))
+
+
+def _sorted_quantiles(finite: DataFrame, keys: list[str], points: dict[str, float]) -> DataFrame:
+    each = Window.partitionBy(*keys)
+    ranked = finite.withColumns({"_r": F.row_number().over(each.orderBy("_v")) - 1, "_n": F.count(F.lit(1)).over(each) - 1})
+    at = {name: F.lit(float(p)) * F.col("_n") for name, p in points.items()}
+    wanted = F.lit(False)
+    for x in at.values():
+        wanted = wanted | F.col("_r").isin(F.floor(x), F.ceil(x))
+    holds = lambda rank: F.max(F.when(F.col("_r") == rank, F.col("_v")))
+    ends = [c for name, x in at.items() for c in (holds(F.floor(x)).alias(f"_a_{name}"), holds(F.ceil(x)).alias(f"_b_{name}"))]
+    picked = ranked.filter(wanted).groupBy(*keys, "_n").agg(*ends)
+    return picked.select(*keys, *[(F.col(f"_a_{n}") + (F.col(f"_b_{n}") - F.col(f"_a_{n}")) * (x - F.floor(x))).alias(n) for n, x in at.items()])
+
+
+def digit_quantiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float], coarse: int = 8, fine: int = 32) -> DataFrame:
+    """Quantiles of keys of any size, by radix selection on the ordered digits of the values.
 
     Equal values are counted first.  Bins of the first digits are counted, and only those that hold a wanted rank are looked into:
     once with ``coarse`` and once with ``fine`` bits of the fraction.  What is left of a key shares 32 bits of its fraction, so
