@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skysift.functions.camera import measure, to_pixel, to_world, unproject
 from skysift.functions.numeric import half_even, is_finite, norm, settled, truncate
 from skysift.lineage import cut
-from skysift.operators.ordering import quantiles
+from skysift.operators.ordering import group_medians, quantiles
 from skysift.operators.spatial import box_pixels
 
 FRAME = ["mission_id", "frame_idx"]
@@ -53,7 +53,7 @@ def _finish(df: DataFrame, depth: Column, tolerance: float) -> DataFrame:
     ).drop("_d", "_x", "_y", "_z", "_ru", "_rv", "_rz", "_err")
 
 
-def localize(det: DataFrame, depth: DataFrame, cameras: DataFrame, tolerance: float = 30.0, tile: int = 64) -> DataFrame:
+def localize(det: DataFrame, depth: DataFrame, cameras: DataFrame, tolerance: float = 30.0, tile: int = 32) -> DataFrame:
     """3D position from the median depth in the middle of the box.
 
     The central 40 % is read first, then the whole box; without a valid depth, or
@@ -92,17 +92,18 @@ def localize(det: DataFrame, depth: DataFrame, cameras: DataFrame, tolerance: fl
     def inside(x1: str, y1: str, x2: str, y2: str) -> Column:
         return (F.col("r") >= F.col(y1)) & (F.col("r") < F.col(y2)) & (F.col("c") >= F.col(x1)) & (F.col("c") < F.col(x2))
 
-    medians = hits.groupBy(*FRAME, "det_id").agg(
-        F.median(F.when(inside("mx1", "my1", "mx2", "my2"), F.col("depth"))).alias("_middle"),
-        F.median(F.when(inside("bx1", "by1", "bx2", "by2"), F.col("depth"))).alias("_whole"),
-    )
+    middle, whole = inside("mx1", "my1", "mx2", "my2"), inside("bx1", "by1", "bx2", "by2")
+    key = [*FRAME, "det_id"]
+    # A depth in the middle decides alone; the whole box is read where there is none.
+    read = hits.filter(middle | whole).select(*key, F.col("depth").cast("double").alias("depth"), middle.alias("_middle"))
+    medians = group_medians(read, key, "depth", "_median", first=F.col("_middle"))
     joined = scaled.join(medians, [*FRAME, "det_id"], "left")
-    return _finish(joined, F.coalesce("_middle", "_whole"), tolerance).drop(
-        "bx1", "by1", "bx2", "by2", "mx1", "my1", "mx2", "my2", "jx2", "jy2", "_middle", "_whole"
+    return _finish(joined, F.col("_median"), tolerance).drop(
+        "bx1", "by1", "bx2", "by2", "mx1", "my1", "mx2", "my2", "jx2", "jy2", "_median"
     )
 
 
-def near_pixels(det: DataFrame, pixels: DataFrame, reach: int = 7, tile: int = 64) -> DataFrame:
+def near_pixels(det: DataFrame, pixels: DataFrame, reach: int = 7, tile: int = 16) -> DataFrame:
     """Pixels of the window around each centre ``ui, vi``, with their ring.
 
     ``ring`` is the half size of the smallest search window (0, 1, 2, 4 or 7)
@@ -129,7 +130,7 @@ def lookup(
     cameras: DataFrame,
     min_depth: float = 0.20,
     max_depth: float = 250.0,
-    tile: int = 64,
+    tile: int = 16,
     box: tuple[str, str, str, str] | None = None,
 ) -> DataFrame:
     """Hierarchical 3D lookup: point map first, then depth; smallest window that hits.
@@ -146,27 +147,34 @@ def lookup(
     probes = centred.filter(inside).select(*FRAME, "det_id", "ui", "vi", *[v.alias(c) for v, c in zip(scaled, corners, strict=True)])
 
     size = norm(F.col("px"), F.col("py"), F.col("pz"))
-    real = points.filter(is_finite(F.col("px"), F.col("py"), F.col("pz")) & (size > 1e-3) & (size < 500.0))
-    usable = depth.filter(is_finite(F.col("depth")) & F.col("depth").between(max(min_depth, 1e-3), max_depth))
+    sound = F.coalesce(is_finite(F.col("px"), F.col("py"), F.col("pz")) & (size > 1e-3) & (size < 500.0), F.lit(False))
+    usable = F.coalesce(is_finite(F.col("depth")) & F.col("depth").between(max(min_depth, 1e-3), max_depth), F.lit(False))
+    values = [F.col(c).cast("double").alias(c) for c in ("px", "py", "pz", "depth")]
 
     none = F.lit(None).cast("double")
-    stock = real.select(*FRAME, "r", "c", F.lit(True).alias("_point"), *[F.col(c).cast("double") for c in ("px", "py", "pz")], none.alias("depth")).unionByName(
-        usable.select(*FRAME, "r", "c", F.lit(False).alias("_point"), *[none.alias(c) for c in ("px", "py", "pz")], F.col("depth").cast("double"))
-    )
-    point = F.col("_point")
+    place = [*FRAME, "r", "c"]
+    if points is depth:  # one row a pixel
+        stock = depth.filter(sound | usable).select(*place, sound.alias("_point"), usable.alias("_deep"), *values)
+    else:
+        stock = points.filter(sound).select(*place, F.lit(True).alias("_point"), F.lit(False).alias("_deep"), *values[:3], none.alias("depth")).unionByName(
+            depth.filter(usable).select(*place, F.lit(False).alias("_point"), F.lit(True).alias("_deep"), *[none.alias(c) for c in ("px", "py", "pz")], values[3])
+        )
     clipped = F.coalesce(F.col("c").between(F.col("_bx1"), F.col("_bx2")) & F.col("r").between(F.col("_by1"), F.col("_by2")), F.lit(True))
-    hits = near_pixels(probes, stock, tile=tile).filter(point | clipped)
+    hits = near_pixels(probes, stock, tile=tile).withColumn("_deep", F.col("_deep") & clipped)
     # Both paths meet the windows in one join; each keeps the smallest ring that holds anything, and only that is averaged.
-    each = Window.partitionBy(*FRAME, "det_id")
-    smallest = lambda flag: F.min(F.when(flag, F.col("ring"))).over(each)
-    kept = hits.withColumn("_least", F.when(point, smallest(point)).otherwise(smallest(~point))).filter(F.col("ring") == F.col("_least"))
-    median = lambda c, flag: F.median(F.when(flag, F.col(c)))
-    ring_of = lambda flag: F.max(F.when(flag, F.col("ring")))
-    medians = kept.groupBy(*FRAME, "det_id").agg(
-        ring_of(point).alias("_pr"), ring_of(~point).alias("_qr"), *[median(c, point).alias(f"_m{c}") for c in ("px", "py", "pz")], median("depth", ~point).alias("_md")
-    )
+    key = [*FRAME, "det_id"]
+    each = Window.partitionBy(*key)
+    nearest_of = lambda flag: F.col(flag) & (F.col("ring") == F.min(F.when(F.col(flag), F.col("ring"))).over(each))
+    kept = hits.select(*key, "ring", "px", "py", "pz", "depth", nearest_of("_point").alias("_point"), nearest_of("_deep").alias("_deep")).filter("_point OR _deep")
+    axis = lambda name, value: F.struct(F.lit(name).alias("axis"), F.col(value).alias("value"))
+    some = lambda flag, *axes: F.when(F.col(flag), F.array(*axes)).otherwise(F.array())
+    axes = F.explode(F.concat(some("_point", axis("x", "px"), axis("y", "py"), axis("z", "pz")), some("_deep", axis("d", "depth"))))
+    read = kept.select(*key, "ring", axes.alias("_a")).select(*key, F.col("_a.axis").alias("axis"), "ring", F.col("_a.value").alias("value"))
+    medians = group_medians(read, [*key, "axis", "ring"], "value", "_m")
+    of = lambda axis, value="_m": F.max(F.when(F.col("axis") == axis, F.col(value)))
     packed = lambda ring, **values: F.when(F.col(ring).isNotNull(), F.struct(F.col(ring).alias("ring"), *[F.col(v).alias(n) for n, v in values.items()]))
-    nearest = medians.select(*FRAME, "det_id", packed("_pr", px="_mpx", py="_mpy", pz="_mpz").alias("_p"), packed("_qr", depth="_md").alias("_q"))
+    wide = medians.groupBy(*key).agg(of("x", "ring").alias("_pr"), of("d", "ring").alias("_qr"), *[of(c).alias(f"_m{c}") for c in "xyzd"])
+    nearest = wide.select(*key, packed("_pr", px="_mx", py="_my", pz="_mz").alias("_p"), packed("_qr", depth="_md").alias("_q"))
     found = centred.join(nearest, [*FRAME, "det_id"], "left")
     world = to_world(unproject(F.col("us"), F.col("vs"), F.col("_q.depth")))
     by_point, by_depth = F.col("_p").isNotNull(), F.col("_q").isNotNull()
