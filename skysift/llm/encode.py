@@ -69,10 +69,10 @@ class Encoder:
 
     def _remember(self, words: set[str]) -> None:
         known = self.known
-        new = [w for w in words if w not in known]  # a set difference would walk all known words
+        new = words.difference(known)  # given the dict itself, it walks the words alone; with its keys view, all known ones
         if len(known) + len(new) > self.limit:
             known = self.known = dict(islice(known.items(), self.core))
-            new = [w for w in words if w not in known]
+            new = words.difference(known)
         ended, plain = {}, set()
         for w in new:
             x = w.rstrip(_PUNCTUATION) if w[-1] in _PUNCTUATION else w
@@ -103,7 +103,7 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         texts = [utf8(t).decode("utf-8", "replace") for t in texts]
         cut = [self._cut(t) for t in texts]
-        self._remember({w for lines in cut if lines for words in lines for w in words})
+        self._remember(set().union(*[words for lines in cut if lines for words in lines]))
         get, line = self.known.__getitem__, self.line if self.spaced else b""
         return [self._whole(t) if lines is None else line.join([b"".join(map(get, words)) for words in lines]) for t, lines in zip(texts, cut, strict=True)]
 

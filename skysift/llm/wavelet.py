@@ -37,7 +37,7 @@ def build(ids: np.ndarray, doc_ids: list, lengths: list[int], block: int = BLOCK
     now = now.astype(np.uint16) if width <= 16 else now
     planes, body, at = [], [], 0
     for bit in range(width - 1, -1, -1):
-        ones = (now >> bit & 1).astype(bool)
+        ones = (now & now.dtype.type(1 << bit)) != 0
         offsets, before, count = [], [], 0
         for i in range(0, len(ones), block):
             piece = ones[i : i + block]
