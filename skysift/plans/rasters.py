@@ -277,4 +277,7 @@ def _(v):
     AND p.r = CAST(floor(s.r * 8 / 1080) AS BIGINT) AND p.c = CAST(floor(s.c * 8 / 1920) AS BIGINT) WHERE p.is_water""",
 )
 def _(v):
-    return raster.mask_points(v.pix, v.samp, (8, 8), (1080, 1920)).select("mission_id", "frame_idx", "r", "c")
+    # Nine samples a box are made for frames with water only; optimizers do not carry the join below the grouping of the samples.
+    wet = v.pix.filter("is_water").select("mission_id", "frame_idx").distinct()
+    points = v.over("samp", "det", v.det.join(wet, ["mission_id", "frame_idx"], "left_semi"))
+    return raster.mask_points(v.pix, points, (8, 8), (1080, 1920)).select("mission_id", "frame_idx", "r", "c")

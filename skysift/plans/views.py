@@ -224,6 +224,12 @@ class Views:
         chain = ", ".join(f"{n} AS ({VIEWS[n].format(**refs)})" for n in closure([name]))
         return self.spark.sql(f"WITH {chain} SELECT * FROM {name}")
 
+    def over(self, name: str, base: str, rows: DataFrame) -> DataFrame:
+        """A view with ``rows`` in place of the view ``base``, so that nothing is derived from rows that are not wanted."""
+        kept = closure([base])
+        chain = ", ".join(f"{n} AS ({VIEWS[n]})" for n in closure([name]) if n not in kept)
+        return self.spark.sql(f"WITH {base} AS (SELECT * FROM {{rows}}), {chain} SELECT * FROM {name}", rows=rows)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
             return self._view(name)

@@ -9,6 +9,7 @@ import numpy as np
 import __spark_entry__ as contract
 from skysift.operators import incidents, spatial, suppression
 from skysift.operators.suppression import nms
+from skysift.plans import registry, views
 from skysift.sources import readers, sinks
 from tests.test_scale_paths import BOXES, crowd, greedy
 
@@ -95,3 +96,15 @@ def test_near_incidents_once(spark):
     d = np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(axis=2))
     want = sorted((1000 - j, 1000 - i) for i in range(200) for j in range(i + 1, 200) if i % 2 == j % 2 and d[i, j] < 2)
     assert sorted((r.a, r.b) for r in got.collect()) == want
+
+
+def test_mask_points_samples_frames_with_water_only(spark, folder, monkeypatch, tmp_path):
+    """Samples of a frame without a mask fail here, so none may be made."""
+    contract.queries()  # loads the plans
+    spark.read.parquet(f"{folder}/embeddings.parquet").filter("vec_id % 3 = 0").write.parquet(f"{tmp_path}/embeddings.parquet")
+    (tmp_path / "events.parquet").symlink_to(f"{folder}/events.parquet")
+    rows = lambda: sorted(registry.QUERIES["c09_mask_points"](views.Views(spark, str(tmp_path))).collect())
+    want = rows()
+    checked = "y1 + CASE WHEN (mission_id * 50 + frame_idx) % 3 > 0 THEN CAST(raise_error('made') AS BIGINT) ELSE 0 END + CAST("
+    monkeypatch.setitem(views.VIEWS, "samp", views.VIEWS["samp"].replace("y1 + CAST(", checked, 1))
+    assert want and rows() == want
