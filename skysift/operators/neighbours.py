@@ -1,7 +1,7 @@
 """Nearest neighbours by a pyramid of cells.
 
 Cells of all sizes know their number of points and a tight box.  A group of neighbouring points (a cell of the given size, or
-an eighth of one that is crowded) starts from the finest level whose 27 cells hold enough points, so its neighbours
+a smaller one inside it where that is crowded) starts from the finest level whose 27 cells hold enough points, so its neighbours
 lie within the 27 cells two levels up.  The boxes found there bound the distance to the k-th neighbour from above; boxes
 beyond that bound go, and crowded or coarse ones are halved and bounded again.  Points are met once, in the boxes that
 are left.  So an isolated group opens the near side of a distant crowd, not the crowd, and nothing but cells takes part in rounds.
@@ -96,15 +96,18 @@ def nearest_means(places: DataFrame, k: int) -> DataFrame:
     )
     found = climbing.join(enough.withColumn("_ok", F.lit(True)), ["scene_id", "level", *INDEX], "left")
     starts = found.groupBy("scene_id", "n", *[f"_{c}" for c in INDEX]).agg(F.coalesce(F.min(F.when(F.col("_ok"), F.col("level"))), F.lit(levels)).alias("start"))
-    crowded = F.col("n") > HEAVY
-    home = starts.select("scene_id", "start", crowded.alias("crowded"), *[F.col(f"_{c}").alias(c) for c in INDEX])
+    home = starts.select("scene_id", "start", *[F.col(f"_{c}").alias(c) for c in INDEX])
     box = [f"{e}_{c}" for c in AXES for e in ("lo", "hi")]
-    # A group is a cell of the given size, or one of the finest cells inside it where it is crowded.
-    own = nodes.filter(F.col("level").isin(0, FINER)).select(
+    # A group is the largest cell, up to the given size, that is not crowded, or one of the finest cells; so it shares what it meets.
+    upper = ["level", *[f"up_{c}" for c in INDEX]]
+    small = nodes.filter(F.col("level") <= FINER).withColumns({f"up_{c}": F.call_function("shiftright", F.col(c), F.lit(1)) for c in INDEX})
+    parted = nodes.filter(F.col("level").between(1, FINER) & (F.col("n") > HEAVY)).select("scene_id", (F.col("level") - 1).alias("level"), *[F.col(c).alias(f"up_{c}") for c in INDEX])
+    held = small.filter(F.col("level") == FINER).unionByName(small.join(parted, ["scene_id", *upper], "left_semi").select(*small.columns))
+    own = held.filter((F.col("n") <= HEAVY) | (F.col("level") == 0)).select(
         "scene_id", F.col("level").alias("_level"), *[F.col(c).alias(f"_{c}") for c in INDEX], *[F.col(c).alias(f"_{c}") for c in box],
         *[F.call_function("shiftright", F.col(c), F.lit(FINER) - F.col("level")).alias(c) for c in INDEX],
     )
-    groups = own.join(home, ["scene_id", *INDEX]).filter((F.col("_level") == 0) == F.col("crowded")).drop("crowded")
+    groups = own.join(home, ["scene_id", *INDEX])
     top = F.least(F.col("start") + 2, F.lit(levels))
     asking = groups.withColumn("_top", top).select(*GROUP, *[f"_{c}" for c in box], F.col("start").alias("level"), *[F.call_function("shiftright", F.col(c), F.col("_top") - FINER).alias(c) for c in INDEX])
     asking = ring(asking, INDEX).toDF(*[f"up_{c}" if c in INDEX else c for c in asking.columns])

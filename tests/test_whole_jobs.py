@@ -5,9 +5,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 
 import __spark_entry__ as contract
-from skysift.operators import incidents, spatial, suppression
+from skysift.operators import incidents, neighbours, spatial, suppression
 from skysift.operators.suppression import nms
 from skysift.plans import registry, views
 from skysift.sources import readers, sinks
@@ -120,3 +121,24 @@ def test_keys_that_boxes_settle_open_no_positions(spark):
     within = sum(math.sqrt(r[2] ** 2 + r[3] ** 2 + r[4] ** 2) <= 1.7 for r in partly)
     assert 0 < within < 580 and weights(1) == [600]  # the half inside the reach; the cut one is not opened
     assert weights(1000) == [600 + within]
+
+
+def test_points_of_crowded_cells_share_their_neighbours(spark, monkeypatch):
+    """Rows that meet a group, for each of its points: few, as a group holds many points where cells are crowded."""
+    rng = np.random.default_rng(4)
+    xyz = rng.random((8_000, 3))
+    places = spark.createDataFrame(pd.DataFrame({"scene_id": 1, "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2], "w": 1, "size": 0.5}))
+    got = {(r.x, r.y, r.z): r.mean_distance for r in neighbours.nearest_means(places, 20).collect()}
+    assert len(got) == len(xyz)
+    for p in xyz[:200]:
+        assert math.isclose(got[tuple(p)], np.sort(np.sqrt(((xyz - p) ** 2).sum(axis=1)))[:20].mean(), rel_tol=1e-9)
+
+    def met(k):
+        def run(key, own, near):
+            return own[["x", "y", "z"]].assign(scene_id=key[0], mean_distance=len(near) / len(own))
+
+        return run
+
+    monkeypatch.setattr(neighbours, "_means", met)
+    share = sum(r.mean_distance for r in neighbours.nearest_means(places, 20).collect()) / len(xyz)
+    assert share < 100, share
