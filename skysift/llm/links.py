@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skysift.lineage import by_sort
 from skysift.llm.common import materialize
 
 
@@ -24,7 +25,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         low = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("low"))
         moved = links.select(F.col("b").alias("node"), F.col("a").alias("near"))
     low = materialize(low, "star-lows")
-    out = moved.join(low, "node").select(F.col("low").alias("a"), F.col("near").alias("b"))
+    out = moved.join(by_sort(low), "node").select(F.col("low").alias("a"), F.col("near").alias("b"))
     if not large:
         out = out.union(low.select(F.col("low"), F.col("node")))
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()

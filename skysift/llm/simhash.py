@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skysift.lineage import by_sort
 from skysift.llm.common import materialize, texts, utf8
 from skysift.llm.links import components
 
@@ -106,12 +107,12 @@ def near_pairs(prints: DataFrame, distance: int = 2, crowd: int = CROWD) -> Data
         ones, n = F.sum("side"), F.count("*")
         pairs = F.when(ones.isNull(), n * (n - 1) / 2).otherwise(ones * (n - ones))
         counts = keyed.groupBy(*keys).agg(pairs.alias("pairs")).where("pairs > 0")
-        shared = materialize(keyed.join(counts, keys), "variants")
+        shared = materialize(keyed.join(by_sort(counts), keys), "variants")
         few = shared if level == LEVELS - 1 else shared.where(F.col("pairs") <= crowd * crowd)
         left = few.where("side IS NULL OR side = 0").select(*keys, F.col("fp").alias("a"))
         right = few.where("side IS NULL OR side = 1").select(*keys, F.col("fp").alias("b"), "side")
         linked = (
-            left.join(right, keys)
+            left.join(by_sort(right), keys)
             .where((F.col("side").isNotNull() | (F.col("a") < F.col("b"))) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance))
             .select("a", "b")
         )
@@ -127,7 +128,7 @@ def classes(docs: DataFrame, size: int = 3, distance: int = 2, crowd: int = CROW
     prints = materialize(fingerprints(docs, size), "fingerprints")
     smallest = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     nodes = components(near_pairs(smallest, distance, crowd))
-    roots = smallest.join(nodes, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    roots = smallest.join(by_sort(nodes), F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     ids = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = materialize(roots.join(ids, "root").select(F.col("fp").alias("own"), "component_id"), "components")
-    return prints.join(labels, F.col("fp") == F.col("own")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    labels = materialize(roots.join(by_sort(ids), "root").select(F.col("fp").alias("own"), "component_id"), "components")
+    return prints.join(by_sort(labels), F.col("fp") == F.col("own")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
